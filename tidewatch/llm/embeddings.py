@@ -31,8 +31,8 @@ def _bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def _visits(threshold: float, blocks: int, axes: int):
-    """Rows (cell, home, id, n, v) of each vector: the block and cell it lives in, and those it visits."""
+def _visits(threshold: float, blocks: int, axes: int, with_vector: bool):
+    """Rows (cell, home, id, n[, v]) of each vector: the block and cell it lives in, and those it visits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -56,15 +56,8 @@ def _visits(threshold: float, blocks: int, axes: int):
                         if not near.any():
                             continue
                         cell = (home + side * move)[near]
-                        yield pd.DataFrame(
-                            {
-                                "cell": [f"{size}:{b}:" + ",".join(map(str, c)) for c in cell.tolist()],
-                                "home": mask == 0,
-                                "id": part["id"].to_numpy()[near],
-                                "n": part["n"].to_numpy()[near],
-                                "v": list(part["v"].to_numpy()[near]),
-                            }
-                        )
+                        out = {"cell": [f"{size}:{b}:" + ",".join(map(str, c)) for c in cell.tolist()], "home": mask == 0, "id": part["id"].to_numpy()[near], "n": part["n"].to_numpy()[near]}
+                        yield pd.DataFrame(out | ({"v": list(part["v"].to_numpy()[near])} if with_vector else {}))
 
     return run
 
@@ -122,23 +115,27 @@ def _verify(threshold: float, blocks: int, tile: int = 1024):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, axes: int = 2, cell_rows: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, axes: int | None = None, cell_rows: int = 32_768) -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept): links are other rows with cosine >= threshold.
 
     Equal vectors are one class that is compared once; its copies count as links of each other. Null, empty and
     zero vectors and those with null or non-finite components link with nothing; vectors of different
     lengths never link. A null id gives a row with no links of its own. Cells with more than `cell_rows` visitors are cut into
     tiles, resident rows against visitors, so no task holds a whole cell; more `axes` make cells smaller at the cost
-    of more visits (up to 2**axes for each block), which pays as the table grows.
+    of more visits (up to 2**axes for each block), which pays as the table grows; by default they follow its size.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     odd = "id IS NULL OR v IS NULL OR size(v) = 0 OR exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) OR forall(v, x -> x = 0)"
     rows = rows.withColumn("ok", ~F.coalesce(F.expr(odd), F.lit(True)))
     classes = cut(rows.filter("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    visits = classes.select("id", "n", F.col("v")).mapInPandas(_visits(threshold, blocks, axes), "cell string, home boolean, id long, n long, v array<double>")
-    visits = cut(visits)
+    if axes is None:
+        axes = min(6, 2 + max(0, (classes.count() >> 17).bit_length()))
+    fields = "cell string, home boolean, id long, n long"
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    visits = classes.mapInPandas(_visits(threshold, blocks, axes, True), f"{fields}, v {kind}")
     # As many rows as there are cells: at most (2 / width + 1) ** axes for a block, whatever the input.
-    tiles = visits.groupBy("cell").count().select("cell", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int").alias("s"))
+    cells = classes.mapInPandas(_visits(threshold, blocks, axes, False), fields).groupBy("cell").count()
+    tiles = F.broadcast(cells.select("cell", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int").alias("s")))
     dealt = visits.join(tiles, "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     span = F.sequence(F.lit(0), F.col("s") - 1)
     visitor = dealt.select("cell", F.explode(span).alias("i"), F.col("mine").alias("j"), "id", "n", "v", F.lit(False).alias("resident"), F.lit(True).alias("visitor"))
