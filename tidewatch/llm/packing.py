@@ -14,7 +14,10 @@ block of token ids. Within a block:
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -29,26 +32,40 @@ END_ID = 1
 STEP_GROUPS = 64
 BLOCK_TOKENS = 2_000_000
 
-SPLIT = " \t\n\r"
+# The file's pre-tokenizer, spelled out for texts of Latin-1 letters (lower-cased): contractions, runs of letters,
+# single digits, runs of anything else but white space.
+_LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}{_SPACE}]+")
+_BLANKS = re.compile("[ \t\n\r]+")
 
 
 class WordTokens:
-    """Token ids of whole texts, by the tokenizer file; what stands between blanks is encoded once and remembered.
+    """Token ids of whole texts, by the tokenizer file; a piece of text is encoded once and remembered.
 
-    The file's pre-tokenizer cuts at white space whatever stands around it, so a text's ids are those of its
-    pieces in a row. The memory is emptied when it has `most` pieces.
+    The tokenizer never joins what its pre-tokenizer has cut, so a text's ids are those of its pieces in a row.
+    Texts beyond Latin-1 are cut at blanks only, which its pre-tokenizer cuts at too. The memory has at
+    most `most` pieces, then starts anew; it stays with the worker process from task to task.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        held = vars(tokenizers).setdefault("_held_by_path", {})  # a module of the worker, so it outlives the task
+        if path not in held:
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            held[path] = tokenizer, {}
+        self.tokenizer, self.known = held[path]
+        self.most = most
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id last."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        try:
+            text.encode("latin-1")
+            words = _PIECES.findall(text.lower())
+        except UnicodeEncodeError:
+            words = _BLANKS.split(text)
         known = self.known
         new = [w for w in {*words} if w not in known]
         if new:
@@ -56,7 +73,7 @@ class WordTokens:
                 known.clear()
                 new = [*{*words}]
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         return b"".join([known[w] for w in words]) + END_ID.to_bytes(4, "little")
 
 
