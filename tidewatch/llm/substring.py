@@ -5,29 +5,33 @@ A phrase is `span` consecutive words. It goes wherever it also starts in a docum
 1. Every phrase has a fingerprint: the least hash of the 5-word grams inside it. Equal phrases have
    equal fingerprints, and neighbours mostly share one, so there are far fewer than phrases. Spark counts
    them and keeps those that two documents have.
-2. A document is streamed once more and sends, for each recurring fingerprint, the stretch of words whose
-   phrases have it. Stretches go to shards by fingerprint; a shard with more than its part is dealt out
-   again by document, and its distinct stretches are copied to each part.
+2. Every document is streamed once more and sends, for each recurring fingerprint, the stretch of words whose
+   phrases have it. Equal stretches of a batch travel as one row with their documents; rows go to shards by
+   fingerprint.
 3. A shard confirms the passages that recur (exactly, word by word) with the first document of each,
    compiles them into an Aho-Corasick automaton and streams the stretches of all documents through it to
-   locate every occurrence.
+   locate every occurrence. It holds the distinct stretches of its part;
+   what a batch has of one beyond MANY documents streams by.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHasher, ascii_space, grams, slices, sliding_min, written
+from tidewatch.llm.common import WordHasher, ascii_space, grams, mix, slices, sliding_min, written
 
 GRAM = 5
 CHUNK = 1 << 20
+MANY = 64
+TELL, ASK, KNOWN = 0, 1, 2
 
 
 def _phrases(texts: list[bytes], hasher: WordHasher, span: int):
@@ -40,51 +44,117 @@ def _phrases(texts: list[bytes], hasher: WordHasher, span: int):
 
 
 def _fingerprints(span: int):
+    """Rows (key, fp, id, kind), pre-aggregated in each batch.
+
+    A fingerprint that one document of the batch has is asked about (ASK) at its key; one that several have
+    recurs for sure: their rows (KNOWN) are spread by document, and one row (TELL) says so at its key. So a
+    fingerprint that very many documents share brings few rows to its key.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_space())
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            found, docs = [], []
             for a, b in slices([len(t) for t in texts], CHUNK):
                 fps, _, text, *_ = _phrases(texts[a:b], hasher, span)
-                if not len(fps):
-                    continue
-                keep = np.concatenate(([True], (fps[1:] != fps[:-1]) | (text[1:] != text[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + text[keep]]), pa.array(fps[keep])], names=["id", "fp"])
+                if len(fps):
+                    keep = np.concatenate(([True], (fps[1:] != fps[:-1]) | (text[1:] != text[:-1])))
+                    found.append(fps[keep])
+                    docs.append(ids[a + text[keep]])
+            if not found:
+                continue
+            fps, docs = np.concatenate(found), np.concatenate(docs)
+            order = np.lexsort((docs, fps))
+            fps, docs = fps[order], docs[order]
+            keep = np.concatenate(([True], (fps[1:] != fps[:-1]) | (docs[1:] != docs[:-1])))
+            fps, docs = fps[keep], docs[keep]
+            first = np.concatenate(([True], fps[1:] != fps[:-1]))
+            shared = ~first
+            shared[:-1] |= ~first[1:]
+            spread = mix(fps.view(np.uint64) ^ mix(docs.astype(np.int64).view(np.uint64))).view(np.int64)
+            told = first & shared
+            columns = (
+                np.concatenate((np.where(shared, spread, fps), fps[told])),
+                np.concatenate((fps, fps[told])),
+                np.concatenate((docs, docs[told])),
+                np.concatenate((np.where(shared, KNOWN, ASK), np.full(int(told.sum()), TELL))).astype(np.int8),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "id", "kind"])
 
     return run
 
 
-def _stretches(span: int):
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp) of the fingerprints that recur; the rows come sorted by key."""
+    held = None
+    names = ("key", "fp", "id", "kind")
+
+    def answer(key, fp, ids, kind):
+        plain = kind != KNOWN
+        keep = ~plain
+        k = key[plain]
+        near = np.zeros(len(k), bool)
+        near[1:] |= k[1:] == k[:-1]
+        near[:-1] |= k[1:] == k[:-1]
+        keep[plain] = near & (kind[plain] == ASK)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(fp[keep])], names=["id", "fp"])
+
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        if last:
+            yield answer(*[x[:last] for x in now])
+        held = [x[last:] for x in now]
+    if held is not None and len(held[0]):
+        yield answer(*held)
+
+
+def _stretches(span: int, text_col: str):
+    """Rows (fp, kind, print, words, low, high, ids, at): the distinct stretches of each batch and who has them."""
+
+    def rows_of(found: dict[tuple[int, bytes], tuple[list[int], list[int]]]) -> pa.RecordBatch:
+        rows = []
+        for (fp, words), (ids, at) in found.items():
+            mark = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+            rows.append((fp, 0, mark, words, min(ids), max(ids), ids[:MANY], at[:MANY]))
+            rows += [(fp, 1, mark, None, None, None, ids[i : i + MANY], at[i : i + MANY]) for i in range(MANY, len(ids), MANY)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["fp", "kind", "print", "words", "low", "high", "ids", "at"])
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_space())
         for batch in frames:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            wanted = batch.column(2)
+            ids, texts, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", text_col, "fps"))
+            some = np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False))
+            ids = ids.to_numpy(zero_copy_only=False)[some]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts.take(pa.array(some)).to_pylist()]
+            found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
             for a, b in slices([len(t) for t in texts], CHUNK):
                 fps, at, text, starts, ends, owner, joined = _phrases(texts[a:b], hasher, span)
                 if not len(fps):
                     continue
                 first = np.searchsorted(owner, np.arange(b - a))
-                new = np.concatenate(([True], (fps[1:] != fps[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)))
+                new = np.concatenate(([True], (fps[1:] != fps[:-1]) | (text[1:] != text[:-1])))
                 runs = np.flatnonzero(new)
                 last = np.concatenate((runs[1:], [len(fps)])) - 1
                 bounds = np.searchsorted(text[runs], np.arange(b - a + 1))
-                rows = []
-                for i in range(b - a):
-                    mine = slice(bounds[i], bounds[i + 1])
-                    rows.append(bounds[i] + np.flatnonzero(np.isin(fps[runs[mine]], wanted[a + i].values.to_numpy())))
-                rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-                if not len(rows):
-                    continue
-                begin, end = at[runs[rows]], at[last[rows]] + span - 1
-                words = [b" ".join(joined[s:e].split()) for s, e in zip(starts[begin].tolist(), ends[end].tolist())]
-                who = text[runs[rows]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a + who]), pa.array(fps[runs[rows]]), pa.array((begin - first[who]).astype(np.int32)), pa.array(words, pa.binary())],
-                    names=["id", "fp", "at", "words"],
-                )
+                rows = [bounds[i] + np.flatnonzero(np.isin(fps[runs[bounds[i] : bounds[i + 1]]], wanted[int(some[a + i])].values.to_numpy())) for i in range(b - a)]
+                rows = np.concatenate(rows)
+                begin, end, who = at[runs[rows]], at[last[rows]] + span - 1, text[runs[rows]]
+                where = (begin - first[who]).tolist()
+                for fp, s, e, i, p in zip(fps[runs[rows]].tolist(), starts[begin].tolist(), ends[end].tolist(), ids[a + who].tolist(), where):
+                    have = found.setdefault((fp, b" ".join(joined[s:e].split())), ([], []))
+                    have[0].append(i)
+                    have[1].append(p)
+                if len(found) > 50_000:
+                    yield rows_of(found)
+                    found = {}
+            if found:
+                yield rows_of(found)
 
     return run
 
@@ -92,140 +162,173 @@ def _stretches(span: int):
 class PhraseAutomaton:
     """Recurring passages of one shard, compiled with pyahocorasick over coded words.
 
-    Each word of the shard's vocabulary has a number, written as three characters of three alphabets, so
-    a match begins and ends with whole words; any other word is a character that no passage has.
+    Each word of the shard has a number, written as two characters of two alphabets, so a match begins and
+    ends with whole words.
     """
 
     def __init__(self, span: int):
         self.span, self.codes, self.first, self.automaton = span, {}, {}, None
 
-    def code(self, words: list[bytes]) -> str:
-        get = self.codes.get
-        return "".join([get(w, "\u0001\u0001\u0001") for w in words])
-
-    def add(self, stretch: bytes, low: int, high: int) -> None:
-        """A distinct stretch of words, with the least and the greatest document that has it."""
-        words, codes = stretch.split(b" "), self.codes
-        for w in words:
-            if w not in codes:
+    def add(self, stretch: bytes, low: int, high: int) -> str:
+        """Takes in a distinct stretch of words, with the least and the greatest document that has it; returns it coded."""
+        codes, line = self.codes, []
+        for w in stretch.split(b" "):
+            c = codes.get(w)
+            if c is None:
                 n = len(codes)
-                codes[w] = chr(0x100 + (n & 127)) + chr(0x200 + (n >> 7 & 127)) + chr(0x1000 + (n >> 14))
-        line, first = self.code(words), self.first
-        for i in range(len(words) - self.span + 1):
-            phrase = line[3 * i : 3 * (i + self.span)]
+                c = codes[w] = chr(0x20000 + (n >> 8)) + chr(0x100 + (n & 255))
+            line.append(c)
+        line, first, size = "".join(line), self.first, 2 * self.span
+        for i in range(0, len(line) - size + 1, 2):
+            phrase = line[i : i + size]
             seen = first.get(phrase)
-            first[phrase] = (low, high) if seen is None else (min(seen[0], low), max(seen[1], high))
+            if seen is None:
+                first[phrase] = low, high
+            elif low < seen[0] or high > seen[1]:
+                first[phrase] = min(seen[0], low), max(seen[1], high)
+        return line
 
     def compile(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for phrase, (low, high) in self.first.items():
             if low < high:  # confirmed: two documents have it
-                self.automaton.add_word(phrase, low)
-        self.first = {}
-        if len(self.automaton):
-            self.automaton.make_automaton()
-        else:
-            self.automaton = None
-
-    def found(self, stretch: bytes, doc: int) -> list[int]:
-        """First words of the phrases that also start in a document before `doc`."""
+                auto.add_word(phrase, low)
+        self.first, self.codes = {}, {}
+        if len(auto):
+            auto.make_automaton()
+            self.automaton = auto
+
+    def found(self, line: str) -> list[tuple[int, int]]:
+        """(first word, first document) of each recurring phrase of a coded stretch."""
         if self.automaton is None:
             return []
         back = self.span - 1
-        return [end // 3 - back for end, low in self.automaton.iter(self.code(stretch.split(b" "))) if low < doc]
+        return [(end // 2 - back, low) for end, low in self.automaton.iter(line)]
+
+
+def _spans(hits: list[tuple[int, int]], doc: int, span: int) -> list[tuple[int, int]]:
+    """Word ranges covered by the phrases that a document before `doc` has too."""
+    out, stop = [], -1
+    for i, low in hits:
+        if low < doc:
+            if i > stop:
+                out.append([i, span])
+            else:
+                out[-1][1] = i + span - out[-1][0]
+            stop = i + span
+    return out
 
 
 def _locate(span: int):
-    """Rows of a shard in order: first its distinct stretches (kind 0), then those of the documents (kind 1)."""
+    """Rows of a shard come with its distinct stretches (kind 0) first, then with further documents of theirs (kind 1)."""
+
+    def answer(hits, rows):
+        out = []
+        for mark, ids, at in rows:
+            if mine := hits.get(mark):
+                for i, p in zip(ids, at):
+                    out += [(i, p + a, n) for a, n in _spans(mine, i, span)]
+        columns = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["id", "at", "length"])
+
+    def compiled(auto, stretches):
+        auto.compile()
+        return {mark: found for mark, line in stretches.items() if (found := auto.found(line))}
+
+    def rows_of(batch):
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        offsets, ids, at = column("ids").offsets.tolist(), column("ids").values.tolist(), column("at").values.tolist()
+        shift = column("at").offsets.tolist()
+        plain = [column(c).to_pylist() for c in ("part", "kind", "print", "words", "low", "high")]
+        for i, row in enumerate(zip(*plain)):
+            yield *row, ids[offsets[i] : offsets[i + 1]], at[shift[i] : shift[i + 1]]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = auto = None
-        for pdf in frames:
-            ids, at, length = [], [], []
-            for part, kind, low, high, begin, words in pdf[["part", "kind", "low", "high", "at", "words"]].itertuples(index=False, name=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, auto, stretches, waiting, hits = None, None, {}, [], None
+        for batch in batches:
+            late = []
+            for part, kind, mark, words, low, high, ids, at in rows_of(batch):
                 if part != shard:
-                    shard, auto = part, PhraseAutomaton(span)
+                    if waiting:
+                        yield answer(compiled(auto, stretches), waiting)
+                    if late:
+                        yield answer(hits, late)
+                    shard, auto, stretches, waiting, late, hits = part, PhraseAutomaton(span), {}, [], [], None
                 if kind == 0:
-                    auto.add(words, low, high)
-                    continue
-                if auto.automaton is None and auto.first:
-                    auto.compile()
-                stop = -1
-                for i in auto.found(words, low):
-                    if i > stop:
-                        ids.append(low)
-                        at.append(begin + i)
-                        length.append(span)
-                    else:
-                        length[-1] = i + span - (at[-1] - begin)
-                    stop = i + span
-            if ids:
-                yield pd.DataFrame({"id": ids, "at": at, "length": length})
+                    stretches[mark] = auto.add(words, low, high)
+                    waiting.append((mark, ids, at))
+                else:
+                    if hits is None:
+                        hits = compiled(auto, stretches)
+                        yield answer(hits, waiting)
+                        waiting = []
+                    late.append((mark, ids, at))
+            if late:
+                yield answer(hits, late)
+        if waiting:
+            yield answer(compiled(auto, stretches), waiting)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 60_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 20_000) -> DataFrame:
     """(id, spans array<struct<at, length>>): word ranges covered by phrases that a smaller id has too.
 
     Documents without such a phrase have no row. Ranges may touch or overlap. `shard_rows` is about how
     many stretches an automaton is compiled for and streamed with; it bounds a task's memory, and more
     rows give more shards. Rows with a null id or text have no phrases.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
-    fps = written(base.mapInArrow(_fingerprints(span), "id long, fp long"), "phrase-fingerprints")
-    recurring = fps.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("fp")
-    wanted = fps.join(recurring, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps"))
-    stretches = written(base.join(wanted, "id").select("id", "t", "fps").mapInArrow(_stretches(span), "id long, fp long, at int, words binary"), "phrase-stretches")
-
-    total = stretches.count()
-    shards = max(1, -(-total // shard_rows))
-    stretches = stretches.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int"))
-    sizes = stretches.groupBy("shard").count()  # as many rows as shards
-    split = sizes.select("shard", F.ceil(F.col("count") / F.lit(2 * shard_rows)).cast("int").alias("parts"))
-    distinct = stretches.groupBy("shard", "words").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    patterns = distinct.join(split, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "low", "high", F.lit(0).alias("at"), "words"
-    )
-    lines = stretches.join(split, "shard").select(
-        "shard", F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("id").alias("low"), F.col("id").alias("high"), "at", "words"
-    )
-    rows = patterns.unionByName(lines).withColumn("part", F.xxhash64("shard", "salt"))
-    # The parts are even, so a task may have several; they come one after another, automaton by automaton.
-    located = rows.repartition("part").sortWithinPartitions("part", "kind").mapInPandas(_locate(span), "id long, at int, length int")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    asked = base.filter("id IS NOT NULL AND t IS NOT NULL").mapInArrow(_fingerprints(span), "key long, fp long, id long, kind byte")
+    recurring = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_recurring, "id long, fp long")
+    recurring = written(recurring, "recurring-phrases")
+    shards = max(1, -(-recurring.count() // shard_rows))
+    wanted = recurring.groupBy("id").agg(F.collect_list("fp").alias("fps"))
+    stretches = _by_id(docs, id_col).join(wanted, F.col("__id") == F.col("id"), "left")  # all columns, as in the join that follows
+    stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, kind int, print long, words binary, low long, high long, ids array<long>, at array<int>")
+    rows = stretches.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).drop("fp")
+    located = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_locate(span), "id long, at int, length int")
     return located.groupBy("id").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
 
 
-def _cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, str, bytes]:
+def _by_id(docs: DataFrame, id_col: str) -> DataFrame:
+    """The side that both joins with the texts share, so that Spark moves the texts once and reads them twice."""
+    return docs.withColumn("__id", F.col(id_col).cast("long"))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, str | None, bytes]:
     """(words, removed words, what is kept as written, kept words joined by one space)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not spans:
         return len(words), 0, text, b" ".join(words)
-    keep = np.ones(len(words), bool)
+    keep = bytearray(b"\1") * len(words)
     for at, length in spans:
-        keep[at : at + length] = False
-    kept = [w for w, k in zip(words, keep.tolist()) if k]
-    hashes = WordHasher(ascii_space())
-    _, starts, ends, _, joined = hashes([raw])
-    edge = np.diff(keep.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
-    out = b"\n".join(joined[starts[a] : ends[b - 1]] for a, b in runs)
+        keep[at : at + length] = bytes(length)
+    kept = [*compress(words, keep)]
+    edge = np.diff(np.frombuffer(keep, np.int8), prepend=np.int8(0), append=np.int8(0))
+    runs = [*zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+    out = b""
+    if runs:
+        places = [m.span() for m in _WORD.finditer(raw)]
+        out = b"\n".join(raw[places[a][0] : places[b - 1][1]] for a, b in runs)
     return len(words), len(words) - len(kept), out.decode("utf-8", "surrogatepass"), b" ".join(kept)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 60_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 20_000, with_text: bool = True) -> DataFrame:
     """Every input row with n_words, n_removed, kept_text and kept_sha256 (hex, of the kept words joined by one space).
 
     kept_text is the text as written without the removed words (a line break where words are missing);
     untouched texts stay as they are. A null text has no words and stays null; a null id never matches
     and keeps all its words; rows that repeat an id keep what no smaller id has.
     """
-    spans = repeated_spans(docs, id_col, text_col, span, shard_rows).withColumnRenamed("id", "__id")
-    rest = docs if with_text else docs.select(id_col, text_col)
-    joined = rest.join(spans, rest[id_col].cast("long") == spans["__id"], "left").drop("__id").withColumnRenamed("spans", "__spans")
+    spans = repeated_spans(docs, id_col, text_col, span, shard_rows).select(F.col("id").alias("__key"), F.col("spans").alias("__spans"))
+    joined = _by_id(docs, id_col).join(spans, F.col("__id") == F.col("__key"), "left").drop("__id", "__key")
     fields = [*[f for f in joined.schema.fields if f.name not in ("__spans", *([] if with_text else [text_col]))]]
     names = [f.name for f in fields]
 
