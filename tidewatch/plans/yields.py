@@ -10,9 +10,13 @@ from tidewatch.functions import text as T
 from tidewatch.operators import dedup, yields
 from tidewatch.plans.catalog import query, table
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
-START = F.lit("2024-01-01 00:00:00").cast("timestamp")
-LATE = F.lit("2024-01-30 00:00:00").cast("timestamp")  # pulls count from here in the ratio, so that some users have none
+
+def day(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+NOW, START = "2024-01-31", "2024-01-01"
+LATE = "2024-01-30"  # pulls count from here in the ratio, so that some users have none
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ FROM n FULL JOIN d ON n.name = d.name
 def q_yield_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions over pulls of each user; null where nothing was pulled in the last day."""
     e = events(spark, sf_dir)
-    up, down = yields.numerator(evidence(e), START, NOW), yields.denominator(pulls(e), LATE, NOW)
+    up, down = yields.numerator(evidence(e), day(START), day(NOW)), yields.denominator(pulls(e), day(LATE), day(NOW))
     return yields.ratios(up, down).select("name", "contributions", "pushed", "pre_viral", "pulls", "yield")
 
 
@@ -57,7 +61,7 @@ LEFT JOIN (SELECT name, {_WEEK} AS week, count(DISTINCT opp_id) AS contributions
 def q_yield_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pulls and contributions by trailing week."""
     e = events(spark, sf_dir)
-    return yields.weekly(pulls(e), evidence(e), NOW, 4)
+    return yields.weekly(pulls(e), evidence(e), day(NOW), 4)
 
 
 @query(f"""
@@ -70,7 +74,7 @@ def q_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     roster = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("track"), (F.col("c_acctbal") >= 0).alias("enabled"))
     spared = e.filter("event_type = 'purchase' AND value < 1").select(F.col("user_id").alias("name")).distinct()
-    return yields.prune(roster, yields.weekly(pulls(e), evidence(e), NOW, 2), spared, 1).select("name", "track")
+    return yields.prune(roster, yields.weekly(pulls(e), evidence(e), day(NOW), 2), spared, 1).select("name", "track")
 
 
 @query(f"""
@@ -92,7 +96,7 @@ def q_suggest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Often pulled users (any event but a purchase) that contribute rarely and have no filter."""
     e = events(spark, sf_dir)
     down = e.filter("event_type <> 'purchase'").select(F.lit("handle").alias("kind"), F.col("user_id").alias("name"), "ts", F.lit(1).alias("kept"))
-    ratio = yields.ratios(yields.numerator(evidence(e), START, NOW), yields.denominator(down, START, NOW))
+    ratio = yields.ratios(yields.numerator(evidence(e), day(START), day(NOW)), yields.denominator(down, day(START), day(NOW)))
     roster = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "ai").alias("topic_filter"))
     return yields.suggest_filters(ratio, roster).select("name", "contributions", "pulls", "yield")
 
@@ -121,7 +125,7 @@ def q_history_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of history, pulls and what they kept."""
     e = events(spark, sf_dir)
     view = F.col("event_type") == "view"
-    return e.agg(F.datediff(NOW, F.min("ts")).cast("long").alias("days"), F.count_if(view).alias("n_pulls"), F.sum(F.when(view, F.col("event_id") % 4).otherwise(0)).alias("kept"))
+    return e.agg(F.datediff(day(NOW), F.min("ts")).cast("long").alias("days"), F.count_if(view).alias("n_pulls"), F.sum(F.when(view, F.col("event_id") % 4).otherwise(0)).alias("kept"))
 
 
 @query("""
@@ -131,7 +135,7 @@ CROSS JOIN LATERAL (SELECT unnest(generate_series(greatest(last + 1, DATE '2024-
 def q_missed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days since each user's last digest (every seventeenth event), the newest seven."""
     last = events(spark, sf_dir).filter("event_id % 17 = 0").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("last"))
-    days = F.explode(yields.missed_dates(F.col("last"), F.to_date(NOW), 7))
+    days = F.explode(yields.missed_dates(F.col("last"), F.to_date(day(NOW)), 7))
     return last.select(F.col("user_id").alias("name"), days.alias("d")).select("name", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
@@ -175,7 +179,7 @@ def q_seen_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.operators import pulse
 
     shown = events(spark, sf_dir).filter("event_id % 29 = 0").select(F.col("user_id").alias("pulse_key"), F.col("ts").alias("last_shown"))
-    out = pulse.merge_seen(shown, shown.limit(0), NOW)
+    out = pulse.merge_seen(shown, shown.limit(0), day(NOW))
     return out.select(F.col("pulse_key").alias("name"), F.date_format("last_shown", "yyyy-MM-dd HH:mm:ss").alias("last_shown"))
 
 
