@@ -17,8 +17,8 @@ def fold_rewards(arms: DataFrame, outcomes: DataFrame, prior: tuple[float, float
     base = lambda c, d: F.when(F.coalesce(F.nanvl(c, F.lit(-1.0)), F.lit(d)) > 0, F.coalesce(c, F.lit(d))).otherwise(1e-9)
     return joined.select(
         "track",
-        F.round(base(F.col("alpha"), prior[0]) + F.coalesce("up", F.lit(0.0)), 6).alias("alpha"),
-        F.round(base(F.col("beta"), prior[1]) + F.coalesce("down", F.lit(0.0)), 6).alias("beta"),
+        F.greatest(F.round(base(F.col("alpha"), prior[0]) + F.coalesce("up", F.lit(0.0)), 6), F.lit(1e-9)).alias("alpha"),
+        F.greatest(F.round(base(F.col("beta"), prior[1]) + F.coalesce("down", F.lit(0.0)), 6), F.lit(1e-9)).alias("beta"),
         (F.coalesce("n", F.lit(0)) + F.coalesce("seen", F.lit(0))).cast("long").alias("n"),
     )
 
