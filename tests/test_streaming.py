@@ -23,15 +23,13 @@ def test_ledger_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{out}/v={number + 1}").orderBy("canonical_key").collect() == before
 
 
-def test_resurfacing_and_dedup(spark, tmp_path):
-    src = str(tmp_path / "cards")
-    spark.createDataFrame([("a", 50.0), ("b", 10.0)], "canonical_key string, score double").coalesce(1).write.parquet(src)
-    got = []
-    stream = state.resurfacing(state.read_events(spark, src, "canonical_key string, score double", files=1))
-    state.run_available(stream, lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "ck"))
-    spark.createDataFrame([("a", 52.0), ("b", 30.0)], "canonical_key string, score double").coalesce(1).write.mode("append").parquet(src)
-    stream = state.resurfacing(state.read_events(spark, src, "canonical_key string, score double", files=1))
-    state.run_available(stream, lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "ck"))
+def test_resurfacing(spark, tmp_path):
+    src, ddl = str(tmp_path / "cards"), "canonical_key string, score double, ts timestamp"
+    t, got = dt.datetime(2026, 6, 1, tzinfo=dt.timezone.utc), []
+    for rows in ([("a", 50.0, t), ("b", 10.0, t)], [("a", 52.0, t), ("b", 30.0, t)]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        stream = state.resurfacing(state.read_events(spark, src, ddl, files=1))
+        state.run_available(stream, lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "ck"))
     assert sorted(got) == [("a", "NEW", 50.0), ("a", "SUPPRESS", 52.0), ("b", "NEW", 10.0), ("b", "RESURFACE", 30.0)]
 
 

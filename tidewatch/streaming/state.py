@@ -29,32 +29,30 @@ def windowed_counts(events: DataFrame, width: str, ts: str = "ts", delay: str =
     return events.withWatermark(ts, delay).groupBy(F.window(ts, width), "event_type").agg(F.count("*").alias("n"))
 
 
-def resurfacing(cards: DataFrame, jump: float = 15.0, ttl_ms: int = 14 * 86_400_000) -> DataFrame:
-    """(canonical_key, branch, score) for a stream of (canonical_key, score): the first is NEW, a jump RESURFACEs, the rest SUPPRESS.
+def resurfacing(cards: DataFrame, jump: float = 15.0, ttl_ms: int = 14 * 86_400_000, delay: str = OVERLAP) -> DataFrame:
+    """(canonical_key, branch, score) for a stream of (canonical_key, score, ts): the first is NEW, a jump RESURFACEs, the rest SUPPRESS.
 
-    One small state for each key; it lapses when a key has been quiet for the retention time.
+    One small state for each key; it lapses when the stream's time has moved on by the retention time since the key's last card.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, rows = state.get[0] if state.exists else None, []
+        last, seen = state.get if state.exists else (None, 0)
+        rows = []
         for pdf in frames:
-            for score in pdf["score"]:
-                if last is None:
-                    rows.append((key[0], "NEW", score))
-                    last = score
-                elif abs(score - last) >= jump:
-                    rows.append((key[0], "RESURFACE", score))
-                    last = score
-                else:
-                    rows.append((key[0], "SUPPRESS", score))
-        state.update((float(last),))
-        state.setTimeoutDuration(ttl_ms)
+            for score, ts in zip(pdf["score"], pdf["ts"]):
+                branch = "NEW" if last is None else "RESURFACE" if abs(score - last) >= jump else "SUPPRESS"
+                rows.append((key[0], branch, score))
+                last = last if branch == "SUPPRESS" else float(score)
+                seen = max(seen, int(ts.timestamp() * 1000))
+        state.update((last, seen))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(rows, columns=["canonical_key", "branch", "score"])
 
-    return cards.groupBy("canonical_key").applyInPandasWithState(step, "canonical_key string, branch string, score double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = cards.withWatermark("ts", delay).groupBy("canonical_key")
+    return timed.applyInPandasWithState(step, "canonical_key string, branch string, score double", "last double, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger_writer(path: str):
