@@ -228,14 +228,15 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """
     templates = site_templates(pages, url_col, html_col, share, least).cache()
     small = templates.count() <= BROADCAST_ROWS
-    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(F.broadcast(templates.withColumnRenamed("host", "__host")) if small else templates.withColumnRenamed("host", "__host"), "__host", "left")
-    rest = [f for f in joined.schema.fields if f.name not in ("__host", "hashes", html_col, "text", "n_chars")]
+    named = templates.select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes"))
+    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(F.broadcast(named) if small else named, "__host", "left")
+    rest = [f for f in joined.schema.fields if f.name not in ("__host", "__hashes", html_col, "text", "n_chars")]
     keep = [f.name for f in rest]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = [main_text(page, set(hashes) if hashes is not None else set()) for page, hashes in zip(pdf[html_col], pdf["hashes"])]
+            texts = [main_text(page, set(hashes) if hashes is not None else set()) for page, hashes in zip(pdf[html_col], pdf["__hashes"])]
             yield pdf[keep].assign(text=texts, n_chars=[len(t) for t in texts])
 
     schema = joined.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    return joined.select(*keep, html_col, "hashes").mapInPandas(run, schema)
+    return joined.select(*keep, html_col, "__hashes").mapInPandas(run, schema)

@@ -128,7 +128,7 @@ def _stretches(span: int, text_col: str):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_space())
         for batch in frames:
-            ids, texts, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", text_col, "fps"))
+            ids, texts, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", text_col, "__fps"))
             some = np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False))
             ids = ids.to_numpy(zero_copy_only=False)[some]
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts.take(pa.array(some)).to_pylist()]
@@ -285,8 +285,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     recurring = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_recurring, "id long, fp long")
     recurring = written(recurring, "recurring-phrases")
     shards = max(1, -(-recurring.count() // shard_rows))
-    wanted = recurring.groupBy("id").agg(F.collect_list("fp").alias("fps"))
-    stretches = _by_id(docs, id_col).join(wanted, F.col("__id") == F.col("id"), "left")  # all columns, as in the join that follows
+    wanted = recurring.groupBy(F.col("id").alias("__key")).agg(F.collect_list("fp").alias("__fps"))
+    stretches = _by_id(docs, id_col).join(wanted, F.col("__id") == F.col("__key"), "left")  # all columns, as in the join that follows
     stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, kind int, print long, words binary, low long, high long, ids array<long>, at array<int>")
     rows = stretches.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).drop("fp")
     located = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_locate(span), "id long, at int, length int")
@@ -327,6 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     untouched texts stay as they are. A null text has no words and stays null; a null id never matches
     and keeps all its words; rows that repeat an id keep what no smaller id has.
     """
+    docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")  # columns of these names give way
     spans = repeated_spans(docs, id_col, text_col, span, shard_rows).select(F.col("id").alias("__key"), F.col("spans").alias("__spans"))
     joined = _by_id(docs, id_col).join(spans, F.col("__id") == F.col("__key"), "left").drop("__id", "__key")
     fields = [*[f for f in joined.schema.fields if f.name not in ("__spans", *([] if with_text else [text_col]))]]
