@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidates, ledger) with entities, tokens, keys and SimHashes of the first 400 characters."""
     d = keyed(spark, sf_dir)
-    hashed = d.join(T.simhash64(d, "doc_id", F.col("text")), "doc_id")
+    # Kept, for the match reads either side several times; a lost block is computed anew.
+    hashed = d.join(T.simhash64(d, "doc_id", F.col("text")), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     return hashed.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "cand_id"), hashed.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "pos")
 
 
