@@ -1,11 +1,12 @@
 """Operators 1, 2 and 6 against brute force: the small tables and awkward rows."""
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import embeddings, queries, simhash, substring
+from tidewatch.llm import embeddings, near_text, queries, simhash, substring
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(40))
@@ -120,3 +121,45 @@ def test_vectors_awkward(spark, cell_rows):
 
 def test_vectors_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def jaccard_groups(docs, least=0.8):
+    sets = {}
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    near = lambda a, b: a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b) - 1e-9)
+    return brute.components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if near(sets[a], sets[b])])
+
+
+def test_near_text_small_table(spark, small):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r["id"]: r["component_id"] for r in near_text.near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == jaccard_groups(rows)
+
+
+@pytest.mark.parametrize("short_run", [8, 1])
+def test_near_text_awkward(spark, monkeypatch, short_run):
+    monkeypatch.setattr(near_text, "SHORT_RUN", short_run)
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(400)]
+    rows = AWKWARD + [(500, " ".join(base))]
+    for i in range(40):  # from well above to well below the threshold
+        own = list(base)
+        for at in rng.choice(400, 2 + i // 2, replace=False):
+            own[at] = f"n{i}x{at}"
+        rows.append((501 + i, " ".join(own)))
+    want = jaccard_groups(rows)
+    got = {r["id"]: r["component_id"] for r in near_text.near_text_groups(frame(spark, rows)).collect()}
+    assert got == want and 1 < len({want[i] for i in want if i >= 500}) < 41
+    assert near_text.near_text_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pipeline_drops_near_duplicates_by_similarity(spark, small):
+    base = [f"b{i}" for i in range(400)]
+    near = [f"n{i}" if i % 50 == 7 else w for i, w in enumerate(base)]  # eight words changed: 356 of 436 shingles shared
+    texts = [" ".join(base), " ".join(near)]
+    a, b = (simhash.fingerprint(t) for t in texts)
+    assert (a ^ b).bit_count() > 4
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()] == [0]
