@@ -41,6 +41,50 @@ def test_substring_awkward(spark, monkeypatch):
     assert kept[1] is None and kept[6] == "head six" and kept[5] == f"{PASSAGE} tail five"
 
 
+def test_substring_frequent_fingerprint(spark, monkeypatch):
+    """A five-word phrase of low hash in ever new contexts must not put all its stretches in one shard."""
+    hasher = substring.WordHasher(substring.ascii_space())
+    tries = [f"h{i} h{i + 1} h{i + 2} h{i + 3} h{i + 4}" for i in range(20_000)]
+    words, *_ = hasher([" ".join(f"h{i}" for i in range(20_004)).encode()])
+    low = tries[int(substring.grams(words, 5).argmin())]
+    rows = [(i, " ".join([*(f"a{i % 150}x{k}" for k in range(12)), low, *(f"z{i % 170}x{k}" for k in range(12))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = {}
+    monkeypatch.setattr(substring, "_locate", lambda span, real=substring._locate: _counted(real(span), spark, held))
+    out = substring.remove_repeats(df, shard_rows=40).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == brute.substring(rows)
+    assert any(r["n_removed"] for r in out)
+    assert held["rows"].value <= 40
+
+
+def _counted(run, spark, held):
+    """`run`, with the most distinct stretches that a part gave it."""
+    from pyspark.accumulators import AccumulatorParam
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):  # noqa: N802
+            return max(a, b)
+
+    most = held["rows"] = spark.sparkContext.accumulator(0, Most())
+
+    def counted(batches):
+        def seen():
+            total = {}
+            for batch in batches:
+                parts, kinds = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "kind"))
+                for p in [p for p, k in zip(parts, kinds) if k == 0]:
+                    total[p] = total.get(p, 0) + 1
+                yield batch
+            most.add(max(total.values(), default=0))
+
+        yield from run(seen())
+
+    return counted
+
+
 def test_substring_empty_and_repeated(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeats(none).collect() == []

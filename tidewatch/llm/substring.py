@@ -12,6 +12,8 @@ A phrase is `span` consecutive words. It goes wherever it also starts in a docum
    compiles them into an Aho-Corasick automaton and streams the stretches of all documents through it to
    locate every occurrence. It holds the distinct stretches of its part;
    what a batch has of one beyond MANY documents streams by.
+4. A fingerprint with more stretches than a shard is made for has no shard: its stretches are cut to their single
+   phrases, which Spark counts and joins by the phrase itself.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from tidewatch.llm.common import WordHasher, ascii_space, grams, mix, slices, sl
 GRAM = 5
 CHUNK = 1 << 20
 MANY = 64
+BROADCAST_ROWS = 50_000
 TELL, ASK, KNOWN = 0, 1, 2
 
 
@@ -121,7 +124,7 @@ def _stretches(span: int, text_col: str):
         for (fp, words), (ids, at) in found.items():
             mark = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
             rows.append((fp, 0, mark, words, min(ids), max(ids), ids[:MANY], at[:MANY]))
-            rows += [(fp, 1, mark, None, None, None, ids[i : i + MANY], at[i : i + MANY]) for i in range(MANY, len(ids), MANY)]
+            rows += [(fp, 1, mark, words, None, None, ids[i : i + MANY], at[i : i + MANY]) for i in range(MANY, len(ids), MANY)]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["fp", "kind", "print", "words", "low", "high", "ids", "at"])
 
@@ -273,12 +276,44 @@ def _locate(span: int):
     return run
 
 
+def _singles(span: int):
+    """Rows (phrase, ids, at): the distinct phrases of each batch of stretches and who has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bytes, tuple[list[int], list[int]]] = {}
+            for stretch, ids, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                words = stretch.split(b" ")
+                for i in range(len(words) - span + 1):
+                    have = found.setdefault(b" ".join(words[i : i + span]), ([], []))
+                    have[0].extend(ids)
+                    have[1].extend([p + i for p in at])
+            rows = [(phrase, ids[i : i + MANY], at[i : i + MANY]) for phrase, (ids, at) in found.items() for i in range(0, len(ids), MANY)]
+            kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), kinds)], names=["phrase", "ids", "at"])
+
+    return run
+
+
+def _frequent(stretches: DataFrame, shard_rows: int) -> DataFrame:
+    """(fp) of the fingerprints with more than `shard_rows` stretches."""
+    return stretches.filter("kind = 0").groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("fp")
+
+
+def _locate_singles(stretches: DataFrame, span: int) -> DataFrame:
+    """(id, at, length) of every phrase of the stretches that a document before id has too, without a shard."""
+    singles = written(stretches.select("words", "ids", "at").mapInArrow(_singles(span), "phrase binary, ids array<long>, at array<int>"), "single-phrases")
+    ends = singles.groupBy("phrase").agg(F.min(F.array_min("ids")).alias("low"), F.max(F.array_max("ids")).alias("high"))
+    met = singles.join(ends.filter("low < high"), "phrase").select("low", F.explode(F.arrays_zip("ids", "at")).alias("x"))
+    return met.filter("x.ids > low").select(F.col("x.ids").alias("id"), F.col("x.at").alias("at"), F.lit(span).alias("length"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 20_000) -> DataFrame:
     """(id, spans array<struct<at, length>>): word ranges covered by phrases that a smaller id has too.
 
     Documents without such a phrase have no row. Ranges may touch or overlap. `shard_rows` is about how
-    many stretches an automaton is compiled for and streamed with; it bounds a task's memory, and more
-    rows give more shards. Rows with a null id or text have no phrases.
+    many stretches an automaton is compiled for and streamed with; more rows give more shards. A fingerprint
+    has at most so many in its shard, so a task holds no more than that above its share. Rows with a null id or text have no phrases.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     asked = base.filter("id IS NOT NULL AND t IS NOT NULL").mapInArrow(_fingerprints(span), "key long, fp long, id long, kind byte")
@@ -288,8 +323,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = recurring.groupBy(F.col("id").alias("__key")).agg(F.collect_list("fp").alias("__fps"))
     stretches = _by_id(docs, id_col).join(wanted, F.col("__id") == F.col("__key"), "left")  # all columns, as in the join that follows
     stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, kind int, print long, words binary, low long, high long, ids array<long>, at array<int>")
-    rows = stretches.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).drop("fp")
+    stretches = written(stretches, "stretches")
+    frequent = written(_frequent(stretches, shard_rows), "frequent-fingerprints")
+    many = frequent.count()
+    rest = stretches
+    if many:
+        known = F.broadcast(frequent) if many <= BROADCAST_ROWS else frequent
+        rest = stretches.join(known, "fp", "left_anti")
+    rows = rest.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).drop("fp")
     located = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_locate(span), "id long, at int, length int")
+    if many:
+        located = located.unionByName(_locate_singles(stretches.join(known, "fp", "left_semi"), span))
     return located.groupBy("id").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
 
 
