@@ -136,3 +136,42 @@ def test_pipeline_awkward(spark, small):
         docs = spark.createDataFrame(stage(spark, docs, small).collect(), "doc_id long, text string, lang string, source string, n_chars long")
         assert docs.filter("doc_id IS NULL").count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() > 0
+
+
+def test_sharding_against_sorted_medians(spark, small):
+    """The tree by sorting every node's points, on the same dimensions."""
+    text = F.coalesce("text", F.lit(""))
+    dims = sharding.text_dimensions()
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", (sharding.text_bytes() + 1).alias("w"), F.xxhash64(text).alias("tie"), *[c.alias(n) for n, c in dims.items()])
+    points = {}
+    for r in rows.collect():
+        key = (*[r[n] or 0.0 for n in dims], r["tie"])
+        points.setdefault(key, [0, []])
+        points[key][0] += r["w"]
+        points[key][1].append(r["doc_id"])
+    nodes = {0: list(points)}
+    for _ in range(3):
+        spread = [max(p[d] for n in nodes.values() for p in n) - min(p[d] for n in nodes.values() for p in n) for d in range(len(dims))]
+        after = {}
+        for name, own in nodes.items():
+            d = max(range(len(dims)), key=lambda d: ((max(p[d] for p in own) - min(p[d] for p in own)) / (spread[d] or 1.0), -d))  # noqa: B023
+            own = sorted(own, key=lambda p: (p[d], p[-1]))  # noqa: B023
+            half, at, below = sum(points[p][0] for p in own) / 2, 0, 0
+            while below + points[own[at]][0] < half:
+                below += points[own[at]][0]
+                at += 1
+            at += points[own[at]][0] <= 2 * (half - below)
+            after[2 * name], after[2 * name + 1] = own[:at], own[at:]
+        nodes = after
+    want = {i: name for name, own in nodes.items() for p in own for i in points[p][1]}
+    got = {r["doc_id"]: r["shard"] for r in queries.op3_kd_sharding(spark, small).collect()}
+    assert got == want
+
+
+def test_slots(spark):
+    df = spark.createDataFrame([(i % 7, 0, i % 3) for i in range(90)] + [(None, 0, 1)], "doc_id long, text_crc32 long, shard int")
+    out = sharding.with_slots(df, "doc_id", bucket_rows=4).collect()
+    for shard in range(3):
+        own = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert own == [*range(len(own))]
+    assert len(out) == 91 and sharding.with_slots(df.limit(0), "doc_id").collect() == []

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import embeddings, near_text, queries, simhash, substring
+from tidewatch.llm import common, embeddings, near_text, queries, simhash, substring
+from tidewatch.llm.common import Spanner
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(40))
@@ -150,14 +151,15 @@ def test_vectors_small_table(spark, small):
     assert got == brute.vectors(rows)
 
 
-@pytest.mark.parametrize("cell_rows", [16, 32_768])
-def test_vectors_awkward(spark, cell_rows):
+@pytest.mark.parametrize(("cell_values", "broadcast_rows"), [(256, 0), (1 << 21, 100_000)])
+def test_vectors_awkward(spark, monkeypatch, cell_values, broadcast_rows):
+    monkeypatch.setattr(embeddings, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((12, 16))
     rows = [(i, [float(x) for x in centre[i % 12] + 0.12 * rng.standard_normal(16)]) for i in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, [2 * x for x in rows[5][1]]), (203, None), (204, []), (205, [0.0] * 16), (206, [float("nan")] + [1.0] * 15), (207, [None] + [1.0] * 15), (208, [1.0, 2.0]), (209, [2.0, 4.0]), (210, [float("inf")] + [1.0] * 15)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "cell": F.lit(1), "v": F.lit(2)})
-    out = embeddings.near_vectors(df, cell_rows=cell_rows).collect()
+    out = embeddings.near_vectors(df, cell_values=cell_values).collect()
     assert {r["id"]: (r["n_links"], r["component_id"]) for r in out} == brute.vectors(rows)
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
     assert len(out) == len(rows)
@@ -182,8 +184,9 @@ def test_near_text_small_table(spark, small):
     assert {r["id"]: r["component_id"] for r in near_text.near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == jaccard_groups(rows)
 
 
-@pytest.mark.parametrize("short_run", [8, 1])
-def test_near_text_awkward(spark, monkeypatch, short_run):
+@pytest.mark.parametrize(("short_run", "tile"), [(8, 1 << 20), (1, 2000)])
+def test_near_text_awkward(spark, monkeypatch, short_run, tile):
+    monkeypatch.setattr(near_text, "TILE", tile)
     monkeypatch.setattr(near_text, "SHORT_RUN", short_run)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(400)]
@@ -207,3 +210,77 @@ def test_pipeline_drops_near_duplicates_by_similarity(spark, small):
     assert (a ^ b).bit_count() > 4
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()] == [0]
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    unique = " ".join(f"u{i}" for i in range(30))
+    rows = [(1, PASSAGE), (5, f"{PASSAGE} tail"), (5, unique), (5, unique), (6, unique), (None, unique)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = substring.remove_repeats(df).select("doc_id", "text", "n_removed").collect()
+    got = sorted((r["doc_id"] or 0, r["text"].split()[0], r["n_removed"]) for r in out)
+    assert got == [(0, "u0", 0), (1, "p0", 0), (5, "p0", 40), (5, "u0", 0), (5, "u0", 0), (6, "u0", 30)]
+
+
+def test_repeated_ids_keep_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (3, None), (None, [0.0, 1.0, 0.0])]
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in out) == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_repeated_ids_in_groups(spark):
+    rows = [(3, LONG), (5, LONG), (5, PASSAGE), (None, PASSAGE), (7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"] or 0, r["component_id"]) for r in simhash.simhash_groups(df).collect())
+    assert got == [(0, 5), (3, 3), (5, 3), (5, 5), (7, 7)]
+    got = sorted((r["id"] or 0, r["component_id"], r["first"]) for r in near_text.near_text_groups(df).collect())
+    assert got == [(0, 5, False), (3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True)]
+
+
+def test_pipeline_near_duplicates_with_repeated_ids(spark, small):
+    rows = [(3, LONG), (5, LONG), (5, PASSAGE), (5, PASSAGE), (None, PASSAGE), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect())
+    assert got == [(0, "p0"), (3, "w0"), (5, "p0"), (8, ""), (8, "")]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), small).collect() == []
+
+
+def test_simhash_long_runs_go_to_tiles(spark):
+    rng = np.random.default_rng(6)
+    words = [f"c{i}" for i in range(250)]
+    rows = [(i, " ".join([*words, f"t{i}"])) for i in range(90)] + [(200 + i, " ".join(rng.choice(words, 50))) for i in range(60)]
+    got = {r["id"]: (f"{r['fp'] & (1 << 64) - 1:016x}", r["component_id"]) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), run_rows=3).collect()}
+    assert got == brute.simhash(rows)
+    assert len({fp for i, (fp, _) in got.items() if i < 90}) > 3
+
+
+def test_spanner():
+    rng = np.random.default_rng(7)
+    spanner, links = Spanner(500), []
+    for _ in range(5):
+        i, j = rng.integers(0, 500, (2, 80))
+        links += [*zip(i.tolist(), j.tolist())]
+        new = spanner.add(i, j)
+        assert len({*new.tolist()}) == len(new)
+    want = brute.components(range(500), links)
+    assert len({*spanner.label.tolist()}) == len({*want.values()})
+    assert all(spanner.label[a] == spanner.label[b] for a, b in links)
+
+
+def test_components_can_be_split(spark):
+    """No aggregate stands between an exchange and a join, so AQE can split a vertex with many edges; and tables go."""
+    edges = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(5000, 5001), (5001, 5002), (None, 1), (7, 7)], "a long, b long"))
+    joins, real = [], common.written
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        common.written = lambda df, name: joins.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name)
+        comps = {r["id"]: r["component"] for r in common.connected_components(edges).collect()}
+    finally:
+        common.written = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 << 20)
+    assert comps == {i: 0 for i in range(3000)} | {5000: 5000, 5001: 5000, 5002: 5000}
+    for plan in joins:
+        if "SortMergeJoin" in plan:
+            below = plan[plan.index("SortMergeJoin") :]
+            assert "HashAggregate" not in below, below
+    common.release(spark)
+    assert not common._PATHS

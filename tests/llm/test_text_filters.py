@@ -1,8 +1,12 @@
 """Operators 4, 5, 7, 9 and 10."""
 
 import hashlib
+import math
 import re
+import time
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +154,94 @@ def test_classifiers_without_labels(spark):
 def test_keep_best(spark):
     df = spark.range(1000).select((F.col("id") / 1000).alias("quality_score"))
     assert abs(quality.keep_best(df, 0.2).count() - 200) <= 2
+
+
+def test_pages_deep_and_broken():
+    assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, {1}) == "deep"
+    for page in ("<a '" * 250_000, "<a \"'" * 150_000 + ">", "<div>" * 5000 + "</p></x>" * 50_000, "<ul>" + "<li>a" * 20_000, "<" * 300_000, "<script>" * 100_000):
+        began = time.perf_counter()
+        html.main_text(page, {1})
+        assert time.perf_counter() - began < 10
+
+
+def test_names_spare_the_article():
+    body = "<p>Some words of the article</p>"
+    for page in (f"<body class='single no-sidebar'>{body}</body>", f"<div class='content with-related'>{body}</div>", f"<article class='post has-comments'>{body}</article>", f"<div class='layout-sidebar'>{body}</div>"):
+        assert html.main_text(page, set()) == "Some words of the article"
+    assert html.main_text(f"<div>{body}</div><div class='top-nav'>x</div><ul class='comment-list'><li>{'y ' * 99}</ul>", set()) == "Some words of the article"
+
+
+def test_unnamed_templates_go(spark):
+    """A menu with changing links, a banner on a quarter of the pages and a box inside the article; nothing of it has a telling name."""
+
+    def page(i):
+        menu = "".join(f"<li><a href='/{k}'>topic {i * 7 + k}</a></li>" for k in range(5))
+        banner = "<div class=x7>Sale until Friday, all week</div>" if i % 4 == 0 else ""
+        own = "".join(f"<p>Sentence {i}.{k} of this very page</p>" for k in range(4))
+        return f"<body><div class=q><ul>{menu}</ul></div>{banner}<article><p>Lead {i}</p>{own}<div class=z><span>Our app</span> is in the store</div></article><div class=b>About us</div></body>"
+
+    def bare(i):
+        return page(i).replace("<article>", "<div>").replace("</article>", "</div>")
+
+    rows = [(i, f"https://a.org/{i}", page(i)) for i in range(80)] + [(100 + i, f"https://b.org/{i}", bare(i)) for i in range(80)] + [(300 + i, f"https://c.org/{i}", page(0)) for i in range(40)] + [(400, "https://d.org/", bare(4))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_text(df, many=20).collect()}
+    own = lambda i: " ".join([f"Lead {i}", *(f"Sentence {i}.{k} of this very page" for k in range(4))])
+    assert all(got[i] == own(i) == got[100 + i] for i in range(80))
+    assert all(got[300 + i].startswith(own(0)) for i in range(40))  # copied articles stay
+    assert "Sale" in got[400] and "About" in got[400]  # one page tells nothing of its site
+    assert html.extract_text(df.limit(0)).collect() == []
+    twice = df.limit(1).unionByName(df.limit(1))
+    assert [r["text"] for r in html.extract_text(twice).collect()] == [got[0] + " Our app is in the store"] * 2
+
+
+def test_folding():
+    lex = toxicity.Lexicon({" idiot": 5.0}, [], -4, 6)
+    auto = lex.automaton()
+    for text in ("id!ot", "an id\u200biot", "ídíot", "you i d i o t !", "i.d.i.o.t", "1d10t", "i-d-i-o-t"):
+        assert lex.density(toxicity.fold(text), auto) > 0, text
+    assert lex.density(toxicity.fold("I am a d. B! c|d e"), auto) == 0
+
+
+def test_lexicon_against_plain_counts(spark):
+    """Terms, scores and a rare term: in a few of 100 toxic documents and in none of 1,500 others."""
+    toxic = [int(i % 16 == 1) for i in range(1600)]
+    docs = [(i, f"word{i % 50} filler{i % 7} {'nasty' if toxic[i] and i > 120 else 'kind'} {'rareinsult' if toxic[i] and i <= 120 else ''} end{i % 3}") for i in range(1600)]
+    labels = [(i, None, toxic[i]) for i in range(1600)]
+    d, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lex = toxicity.learn(d, marks)
+    used = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 5]
+    assert 4 <= sum(toxic[i] for i in used if i <= 120) <= 8 and any(t.startswith(" rarei") for t in lex.terms) and any(t.startswith(" nast") for t in lex.terms)
+    for t, w in lex.terms.items():
+        bad = sum(t in toxicity.fold(docs[i][1]) for i in used if toxic[i])
+        good = sum(t in toxicity.fold(docs[i][1]) for i in used if not toxic[i])
+        b, g = sum(toxic[i] for i in used), sum(1 - toxic[i] for i in used)
+        assert w == pytest.approx(math.log((bad + 0.5) / (b + 1)) - math.log((good + 0.5) / (g + 1)) - 1.64 * math.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))
+    auto = lex.automaton()
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.with_toxicity(d, lex).collect()}
+    assert all(got[i] == pytest.approx(lex.score(lex.density(toxicity.fold(t), auto))) for i, t in docs)
+    assert toxicity.with_toxicity(d.limit(0), lex).collect() == []
+
+
+def test_pair_loss_against_all_pairs():
+    rng = np.random.default_rng(8)
+    good, bad, w = rng.standard_normal((70, 5)), rng.standard_normal((40, 5)) - 0.3, rng.standard_normal(5)
+    d = (good[:, None] - bad[None]).reshape(-1, 5)
+    p = 1 / (1 + np.exp(-d @ w))
+    slope, curve = quality.pair_moments(good, bad, w, block=16)
+    assert np.allclose(slope, (1 - p) @ d) and np.allclose(curve, (d.T * (p * (1 - p))) @ d)
+    ranker = quality.bradley_terry(np.concatenate((good, bad)), np.repeat([1, 0], [70, 40]))
+    z = np.clip((np.concatenate((good, bad)) - ranker.mean) / ranker.scale, -4, 4)
+    z = np.column_stack((z, z * z))
+    slope, _ = quality.pair_moments(z[:70], z[70:], ranker.weights)
+    assert np.allclose(slope / 2800, 1e-4 * ranker.weights, atol=1e-4)  # the loss is at its least
+
+
+def test_quality_features_against_plain_counts():
+    text = "Hello World! Hello again, 42 times.\nline two\nline two"
+    x = dict(zip(quality.FEATURES, quality.features(text)))
+    words = text.split()
+    assert x["log_words"] == pytest.approx(math.log1p(len(words))) and x["distinct_lines"] == pytest.approx(2 / 3)
+    assert x["digits"] == pytest.approx(math.sqrt(2 / len(text))) and x["stops"] == pytest.approx(math.sqrt(1 / len(words)))
+    assert x["common_word"] == pytest.approx(math.sqrt(2 / len(words))) and x["case_starts"] == pytest.approx(math.sqrt(3 / len(words)))
+    assert len(quality.features(None)) == len(quality.FEATURES) and quality.features(None) == quality.features("")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,18 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_PATHS: set[str] = set()
+_PATH_OF: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs only a reread."""
+    """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs only a reread.
+
+    Tables stay until `discard` or `release`, since what an operator returns may still read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _PATHS.add(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _PATHS.discard(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, _PATH_OF.pop(table))
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes all written tables of this driver but `keep`: for the end of a job, when its results are stored elsewhere."""
+    stay = {_PATH_OF[t] for t in keep if t in _PATH_OF}
+    for path in [p for p in _PATHS if p not in stay]:
+        _delete(spark, path)
 
 
 def text_bytes(text: str | Column = "text") -> Column:
@@ -145,6 +169,30 @@ def slices(sizes: list[int], most: int):
 # ---------------------------------------------------------------- components
 
 
+class Spanner:
+    """Components of n things in one task, by arrays: which of many links join what earlier ones have apart."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Indices of links (i, j) that span all of them; every larger label hooks on to a smaller one, so no circle arises."""
+        picked, rest = [], np.arange(len(i))
+        while True:
+            a, b = self.label[i[rest]], self.label[j[rest]]
+            rest = rest[a != b]
+            if not len(rest):
+                return np.concatenate(picked) if picked else rest
+            a, b = self.label[i[rest]], self.label[j[rest]]
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            picked.append(rest[at])
+            parent = np.arange(len(self.label))
+            parent[high] = np.minimum(a, b)[at]
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            self.label = parent[self.label]
+
+
 class Forest:
     """Union-find over the few hashable ids that one task has linked."""
 
@@ -172,20 +220,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     """(id, component) for every id of an edge; component is the smallest id reachable.
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014) until the edges are a set of
-    stars. Each step is an aggregate with map-side combine and a join, so a vertex with many edges is
-    split by AQE; the driver sees two numbers a round. Null ends, loops and repeated edges don't count.
+    stars. Each step is an aggregate with map-side combine and a join. The aggregates are written before they are
+    joined, so that AQE can split a vertex with many edges (no aggregate stands between exchange and join); the driver
+    sees two numbers a round. Null ends, loops and repeated edges don't count.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     e = e.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
+    e = written(e, "edges")
     before = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct())
+        last, e = e, written(small.unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct(), "edges")
+        discard(last, least, large, low)
         now = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if now == before:
             break

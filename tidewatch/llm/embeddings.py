@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Forest, connected_components, cut
+from tidewatch.llm.common import Spanner, connected_components, written
 
 SLACK = 1e-9
+ROUNDED = 1e-5  # more than a squared distance of unit vectors can be off in single precision
+BROADCAST_ROWS = 100_000
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -32,7 +34,7 @@ def _bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def _visits(threshold: float, blocks: int, axes: int, with_vector: bool):
-    """Rows (cell, home, id, n[, v]) of each vector: the block and cell it lives in, and those it visits."""
+    """Rows (cell, home, k, n[, v]) of each vector: the block and cell it lives in, and those it visits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -56,96 +58,107 @@ def _visits(threshold: float, blocks: int, axes: int, with_vector: bool):
                         if not near.any():
                             continue
                         cell = (home + side * move)[near]
-                        out = {"cell": [f"{size}:{b}:" + ",".join(map(str, c)) for c in cell.tolist()], "home": mask == 0, "id": part["id"].to_numpy()[near], "n": part["n"].to_numpy()[near]}
+                        out = {"cell": [f"{size}:{b}:" + ",".join(map(str, c)) for c in cell.tolist()], "home": mask == 0, "k": part["k"].to_numpy()[near], "n": part["n"].to_numpy()[near]}
                         yield pd.DataFrame(out | ({"v": list(part["v"].to_numpy()[near])} if with_vector else {}))
 
     return run
 
 
-def _verify(threshold: float, blocks: int, tile: int = 1024):
+def _verify(threshold: float, blocks: int, tile: int = 1024, chunk: int = 1 << 16):
     """Of one tile group (residents i by visitors j of a cell): links counted once, and links that span them.
 
-    A pair counts where its smaller id lives, in the first block within budget, so it counts once in all.
+    A pair counts where its smaller key lives, in the first block within budget, so it counts once in all. Single precision
+    rules out what is surely beyond the block's budget; double precision decides the rest.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
         b = int(pdf["cell"].iloc[0].split(":")[1])
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+        keys, n = pdf["k"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
         size = raw.shape[1]
         norm = np.linalg.norm(raw, axis=1)
         turned = (raw / norm[:, None]) @ rotation(size)
         cuts = _bounds(size, blocks)
         budget = [(2 - 2 * threshold) * (hi - lo) / size + SLACK for lo, hi in cuts]
         rows, cols = np.flatnonzero(pdf["resident"].to_numpy()), np.flatnonzero(pdf["visitor"].to_numpy())
-        count, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
+        count, edges = np.zeros(len(keys), np.int64), []
+        _, place = np.unique(keys, return_inverse=True)
+        spanner = Spanner(int(place.max()) + 1)
         lo, hi = cuts[b]
-        part = turned[:, lo:hi]
-        square = (part**2).sum(axis=1)
+        part = turned[:, lo:hi].astype(np.float32)
+        half = (part**2).sum(axis=1, keepdims=True) / 2
+        one = np.ones_like(half)
+        left, right = np.hstack((part[rows], -half[rows], one[rows])), np.hstack((part[cols], one[cols], -half[cols]))
+        least = np.float32(-(budget[b] + ROUNDED) / 2)
+
+        def settle(i: np.ndarray, j: np.ndarray) -> None:
+            fit = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
+            fit &= ((turned[i, lo:hi] - turned[j, lo:hi]) ** 2).sum(axis=1) <= budget[b]
+            i, j = i[fit], j[fit]
+            for first, past in cuts[:b]:
+                later = ((turned[i, first:past] - turned[j, first:past]) ** 2).sum(axis=1) > (2 - 2 * threshold) * (past - first) / size + SLACK
+                i, j = i[later], j[later]
+            np.add.at(count, i, n[j])
+            np.add.at(count, j, n[i])
+            new = spanner.add(place[i], place[j])
+            edges.append(np.column_stack((keys[i[new]], keys[j[new]])))
+
         for at in range(0, len(rows), tile):
             r = rows[at : at + tile]
-            for to in range(0, len(cols), tile):
-                c = cols[to : to + tile]
-                near = square[r][:, None] + square[c] - 2 * (part[r] @ part[c].T) <= budget[b] + SLACK
-                i, j = np.nonzero(near)
-                i, j = r[i], c[j]
-                fit = ids[i] < ids[j]
-                i, j = i[fit], j[fit]
-                if not len(i):
-                    continue
-                fit = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
-                # the tile test above has rounded; decide blocks by one formula, the same in every group
-                fit &= ((turned[i, lo:hi] - turned[j, lo:hi]) ** 2).sum(axis=1) <= budget[b]
+            # only visitors with a greater key count, and they come sorted
+            for to in range(int(np.searchsorted(keys[cols], keys[r[0]], side="right")), len(cols), tile):
+                i, j = np.nonzero(left[at : at + tile] @ right[to : to + tile].T >= least)
+                i, j = r[i], cols[to : to + tile][j]
+                fit = keys[i] < keys[j]
                 i, j = i[fit], j[fit]
-                for k in range(b):
-                    first, past = cuts[k]
-                    later = ((turned[i, first:past] - turned[j, first:past]) ** 2).sum(axis=1) > budget[k]
-                    i, j = i[later], j[later]
-                np.add.at(count, i, n[j])
-                np.add.at(count, j, n[i])
-                label = {}
-                for x, y in zip(ids[i].tolist(), ids[j].tolist()):
-                    if (label.get(x), label.get(y)) != (0, 0) and forest.union(x, y):
-                        edges.append((x, y))
+                for x in range(0, len(i), chunk):
+                    settle(i[x : x + chunk], j[x : x + chunk])
         has = count > 0
-        found = pd.DataFrame({"id": ids[has], "links": count[has], "other": pd.array([pd.NA] * int(has.sum()), "Int64")})
-        more = pd.DataFrame({"id": [e[0] for e in edges], "links": 0, "other": pd.array([e[1] for e in edges], "Int64")})
-        return pd.concat([found, more]).astype({"id": "int64", "links": "int64"})
+        pairs = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        found = pd.DataFrame({"k": keys[has], "links": count[has], "other": pd.array([pd.NA] * int(has.sum()), "Int64")})
+        more = pd.DataFrame({"k": pairs[:, 0], "links": 0, "other": pd.array(pairs[:, 1], "Int64")})
+        return pd.concat([found, more]).astype({"k": "int64", "links": "int64"})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, axes: int | None = None, cell_rows: int = 32_768) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, blocks: int = 4, axes: int | None = None, cell_values: int = 1 << 21) -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept): links are other rows with cosine >= threshold.
 
-    Equal vectors are one class that is compared once; its copies count as links of each other. Null, empty and
-    zero vectors and those with null or non-finite components link with nothing; vectors of different
-    lengths never link. A null id gives a row with no links of its own. Cells with more than `cell_rows` visitors are cut into
+    Equal vectors are one class that is compared once; its copies count as links of each other. Rows that repeat an id are
+    rows of their own, linked by what their vectors are. Null, empty and zero vectors and those with null or non-finite
+    components link with nothing; vectors of different lengths never link. A null id gives a row with no links of its own
+    and is none of others. An empty table stays empty. Cells with more than `cell_values` vector components are cut into
     tiles, resident rows against visitors, so no task holds a whole cell; more `axes` make cells smaller at the cost
-    of more visits (up to 2**axes for each block), which pays as the table grows; by default they follow its size.
+    of more visits (up to 2**axes for each block), which pays as the table grows; by default they follow its size. The
+    table of cells is broadcast only if it has at most BROADCAST_ROWS rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     odd = "id IS NULL OR v IS NULL OR size(v) = 0 OR exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) OR forall(v, x -> x = 0)"
     rows = rows.withColumn("ok", ~F.coalesce(F.expr(odd), F.lit(True)))
-    classes = cut(rows.filter("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    # k names a class: unlike the least id, no two classes share it
+    classes = written(rows.filter("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("k", F.monotonically_increasing_id()), "vector-classes")
     if axes is None:
         axes = min(6, 2 + max(0, (classes.count() >> 17).bit_length()))
-    fields = "cell string, home boolean, id long, n long"
+    fields = "cell string, home boolean, k long, n long"
     kind = vectors.schema[vec_col].dataType.simpleString()
     visits = classes.mapInPandas(_visits(threshold, blocks, axes, True), f"{fields}, v {kind}")
-    # As many rows as there are cells: at most (2 / width + 1) ** axes for a block, whatever the input.
     cells = classes.mapInPandas(_visits(threshold, blocks, axes, False), fields).groupBy("cell").count()
-    tiles = F.broadcast(cells.select("cell", F.ceil(F.col("count") / F.lit(cell_rows)).cast("int").alias("s")))
-    dealt = visits.join(tiles, "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    values = F.col("count") * F.split_part("cell", F.lit(":"), F.lit(1)).cast("long")
+    tiles = written(cells.select("cell", F.ceil(values / F.lit(cell_values)).cast("int").alias("s")), "vector-cells")
+    small = tiles.count() <= BROADCAST_ROWS
+    dealt = visits.join(F.broadcast(tiles) if small else tiles, "cell").withColumn("mine", F.pmod(F.xxhash64("k"), F.col("s")).cast("int"))
     span = F.sequence(F.lit(0), F.col("s") - 1)
-    visitor = dealt.select("cell", F.explode(span).alias("i"), F.col("mine").alias("j"), "id", "n", "v", F.lit(False).alias("resident"), F.lit(True).alias("visitor"))
-    resident = dealt.filter("home").select("cell", F.col("mine").alias("i"), F.explode(span).alias("j"), "id", "n", "v", F.lit(True).alias("resident"), F.lit(False).alias("visitor"))
-    found = cut(visitor.unionByName(resident).groupBy("cell", "i", "j").applyInPandas(_verify(threshold, blocks), "id long, links long, other long"))
-
-    comps = connected_components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    # Ids of classes are the least of theirs, so the least id of a component is its least class id.
-    classed = classes.join(links, "id", "left").join(comps, "id", "left").select(F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.filter("ok").join(classed, F.col("v") == F.col("cv")).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    visitor = dealt.select("cell", F.explode(span).alias("i"), F.col("mine").alias("j"), "k", "n", "v", F.lit(False).alias("resident"), F.lit(True).alias("visitor"))
+    resident = dealt.filter("home").select("cell", F.col("mine").alias("i"), F.explode(span).alias("j"), "k", "n", "v", F.lit(True).alias("resident"), F.lit(False).alias("visitor"))
+    found = written(visitor.unionByName(resident).groupBy("cell", "i", "j").applyInPandas(_verify(threshold, blocks), "k long, links long, other long"), "vector-links")
+
+    comps = connected_components(found.filter("other IS NOT NULL").select(F.col("k").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy("k").agg(F.sum("links").alias("links"))
+    members = classes.join(comps.withColumnRenamed("id", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    firsts = written(members.groupBy("component").agg(F.min("id").alias("first")), "first-ids")  # written, so that AQE can split a large component
+    classed = members.join(firsts, "component").join(links, "k", "left").select(F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "first")
+    out = rows.filter("ok").join(classed, F.col("v") == F.col("cv")).select("id", F.col("links").alias("n_links"), F.col("first").alias("component_id"))
     rest = rows.filter("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

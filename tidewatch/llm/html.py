@@ -1,23 +1,28 @@
 """Operator 4: main text of web pages, with site template removal.
 
-Each page's element subtrees are hashed. Spark counts, for every host, the pages that have a subtree; those
-that recur across many pages of their host are the site's template and are deleted, together with what
-elements say of themselves (menus, footers, adverts, ...). The text of what is left of the article follows
-in page order.
+Every element's subtree is hashed, once with its text and, for lists of links, once as a shape of tags and class names. Spark
+counts, for every host, the pages that have a hash; subtrees that recur across many pages of their host are the site's
+template and are deleted. What elements say of themselves (menus, footers, adverts, ...) decides where a host has too few
+pages to count. The text of what is left of the article follows in page order.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import written
+
 BROADCAST_ROWS = 50_000
+#: Elements nested deeper are siblings of each other, as in browsers.
+DEPTH = 512
 
 # HTML's own element kinds.
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
@@ -27,86 +32,137 @@ BLOCK = {
 }
 CLOSES_P = BLOCK - {"br", "option", "select", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = {*"head script style noscript template nav footer aside form iframe svg math canvas button select input textarea dialog menu object embed audio video noembed noframes xmp map".split()}
-# Names that sites give to what is not the article.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side-bar|rail|menu|navbar|nav|navigation|breadcrumb\w*|pagination|pager|toolbar|footer|foot|masthead|site-header|page-header|comment|comments|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|widget|skip-link|hidden)(?:$|[\s_-])",
-    re.I,
-)
-_ATTRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
+HIDDEN = {*"head title script style noscript template svg math canvas object embed audio video iframe noembed noframes xmp map".split()}
+DROPPED = HIDDEN | {*"nav footer aside form button select input textarea dialog menu".split()}
+LAYOUT = {"div", "section", "ul", "ol", "table", "header", "dl", "center", "details", "fieldset"} | DROPPED - HIDDEN
+WHOLE = {"html", "body", "main", "article"}
+# Names that sites give to what is not the article: parts of a class or id. Parts that turn a name round spare it.
+SPARED = {"no", "non", "not", "without", "with", "has", "is", "hide", "had"}
+COMMENTS = {*"comment comments commentlist disqus respond reply replies".split()}
+NAMES = COMMENTS | {
+    *"ad ads adbox adsense banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar rail menu navbar nav navigation pagination pager toolbar footer foot masthead share sharing social related newsletter subscribe signup login widget hidden".split()
+}
+_STEMS = ("advert", "sponsor", "promo", "breadcrumb", "recommend")
+_PAIRS = {("site", "header"), ("page", "header"), ("skip", "link"), ("side", "bar")}
+ROLES = {*"navigation banner contentinfo complementary search dialog form".split()}
+_ATTRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+_CLOSES = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    """An element. Filled in by `measure`: text and shape hashes, characters in all and in links, and its part in the page."""
+
+    __slots__ = ("attrs", "chars", "children", "depth", "holds", "inside", "links", "parent", "shape", "tag", "text")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.holds = self.inside = False
+        self.chars = self.links = self.text = self.shape = 0
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page, with the end tags that HTML lets one leave out."""
+def parse(page: str) -> list[Node]:
+    """The elements of a page in page order, the root first, with the end tags that HTML lets one leave out."""
     root = at = Node("#root", "", None)
-    pos, end, lower = 0, len(page), None
+    nodes, opened, pos, end = [root], Counter(), 0, len(page)
+
+    def up_to(node: Node) -> Node:
+        """Closes everything from the innermost element to this one."""
+        n = at
+        while n is not node:
+            opened[n.tag] -= 1
+            n = n.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     while pos < end:
-        m = _TOKEN.search(page, pos)
-        if m is None:
+        start = page.find("<", pos)
+        if start < 0:
             at.children.append(page[pos:])
             break
-        if m.start() > pos:
-            at.children.append(page[pos : m.start()])
-        pos = m.end()
-        tag = m[2]
-        if not tag:
+        if start > pos:
+            at.children.append(page[pos:start])
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            pos = end if stop < 0 else stop + 3
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = at
+        if page.startswith(("<!", "<?"), start):
+            mark = "]]>" if page.startswith("<![CDATA[", start) else ">"
+            stop = page.find(mark, start)
+            pos = end if stop < 0 else stop + len(mark)
+            continue
+        m = _NAME.match(page, start)
+        if m is None:
+            at.children.append("<")
+            pos = start + 1
+            continue
+        rest = _REST.match(page, m.end())
+        pos = rest.end() if rest else page.find(">", m.end()) + 1
+        if not pos:  # a tag that the page breaks off in
+            break
+        tag, attrs = m[1].lower(), page[m.end() : pos - 1]
+        if page[start + 1] == "/":
+            node = at if opened[tag] > 0 else root
             while node is not root and node.tag != tag:
-                if tag not in BLOCK and node.tag in ("td", "th", "article", "section", "div", "body"):
-                    node = root  # an inline end tag doesn't close a block
-                    break
-                node = node.parent
+                # an inline end tag doesn't close a block
+                node = root if tag not in BLOCK and node.tag in ("td", "th", "article", "section", "div", "body") else node.parent
             if node is not root:
-                at = node.parent
+                at = up_to(node)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"] > 0:
             node = at
             while node is not root and node.tag != "p" and (node.tag not in BLOCK or node.tag == "br"):
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
+                at = up_to(node)
         if tag in SELF_CLOSING:
-            same, stop = SELF_CLOSING[tag]
-            node = at
-            while node is not root and node.tag not in same and node.tag not in stop:
+            same, stop_at = SELF_CLOSING[tag]
+            node = at if any(opened[t] > 0 for t in same) else root
+            while node is not root and node.tag not in same and node.tag not in stop_at:
                 node = node.parent
             if node.tag in same:
-                at = node.parent
-        node = Node(tag, m[3] or "", at)
+                at = up_to(node)
+        node = Node(tag, attrs, at)
+        nodes.append(node)
         at.children.append(node)
         if tag in RAW:
-            lower = lower or page.lower()
-            close = lower.find(f"</{tag}", pos)
-            close = end if close < 0 else close
-            node.children.append(page[pos:close])
-            pos = lower.find(">", close) + 1 or end
-        elif tag not in VOID and not (m[4] and tag in ("svg", "path")):
+            close = _CLOSES[tag].search(page, pos)
+            node.children.append(page[pos : close.start() if close else end])
+            pos = page.find(">", close.end()) + 1 or end if close else end
+        elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")) and node.depth < DEPTH:
             at = node
-    return root
+            opened[tag] += 1
+    return nodes
+
 
+def _attributes(node: Node) -> Iterator[tuple[str, str]]:
+    for name, *values in _ATTRS.findall(node.attrs) if node.attrs.strip() else ():
+        yield name.lower(), next((v for v in values if v), "")
 
-def _named_out(node: Node) -> bool:
-    if not node.attrs.strip():
+
+def _parts(value: str) -> Iterator[list[str]]:
+    for name in value.lower().split():
+        yield re.split(r"[-_:]+", name)
+
+
+def _named_out(node: Node, half: int) -> bool:
+    """Whether an element's names say that it is no part of the article; what holds most of a page is no side matter, unless it is comments."""
+    if node.tag in WHOLE or node.holds:
         return False
-    for name, *values in _ATTRS.findall(node.attrs):
-        name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id", "role", "aria-label", "data-role", "itemprop") and _NAMES.search(value):
-            return True
+    for name, value in _attributes(node):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form"):
+        if name == "role" and value in ROLES:
             return True
+        if name in ("class", "id", "aria-label", "data-role", "itemprop"):
+            for parts in _parts(value):
+                if SPARED.isdisjoint(parts):
+                    if not COMMENTS.isdisjoint(parts):
+                        return True
+                    if node.chars <= half and (not NAMES.isdisjoint(parts) or any(p.startswith(_STEMS) for p in parts) or any(p in _PAIRS for p in zip(parts, parts[1:]))):
+                        return True
     return False
 
 
@@ -114,87 +170,120 @@ def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or 'role="main"' in node.attrs or "articleBody" in node.attrs
 
 
-def _words(node: Node, out: list[str]) -> None:
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        else:
-            out.append(f"<{c.tag}>")
-            _words(c, out)
-
-
-def subtree_hash(node: Node) -> int:
-    """64 bits of an element's tags and text; attributes, which often number, don't count."""
-    out = [f"<{node.tag}>"]
-    _words(node, out)
-    return int.from_bytes(hashlib.blake2b(" ".join("".join(out).split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
+def _digest(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def candidates(root: Node) -> list[tuple[Node, int]]:
-    """Elements that can be a site's template, with their hashes: none that holds the article, nor its own paragraphs."""
-    found: list[tuple[Node, int]] = []
 
-    def holds(node: Node) -> bool:
-        return any(_is_main(c) or holds(c) for c in node.children if isinstance(c, Node))
-
-    def walk(node: Node, inside: bool) -> None:
+def measure(nodes: list[Node]) -> None:
+    """Hashes and sizes of all elements, each from those of its children: one step an element, however deep the page."""
+    for node in nodes[1:]:
+        node.inside = node.parent.inside or _is_main(node.parent)
+    for node in reversed(nodes):
+        if node.tag in HIDDEN:
+            continue
+        text, shape, said = [node.tag], [node.tag, *sorted(re.sub(r"\d+", "", n) for name, value in _attributes(node) if name == "class" for n in value.split())], False
         for c in node.children:
-            if not isinstance(c, Node) or c.tag in DROPPED:
-                continue
-            main = _is_main(c)
-            own = c.tag in BLOCK and not main and c.tag not in ("html", "body", "br", "hr")
-            if own and (c.tag in ("div", "section", "ul", "ol", "table", "header", "dl", "center", "details", "fieldset") if inside else True) and (inside or not holds(c)):
-                found.append((c, subtree_hash(c)))
-            walk(c, inside or main)
-
-    walk(root, False)
-    return found
+            if isinstance(c, str):
+                line = " ".join(c.split())
+                if line:
+                    text.append(line)
+                    node.chars += len(line)
+                    said = True
+            elif c.tag not in HIDDEN:
+                text.append(f"<{c.text}")
+                if shape[-1] != f"<{c.shape}":  # a list is a list however long
+                    shape.append(f"<{c.shape}")
+                node.chars += c.chars
+                node.links += c.links
+                node.holds = node.holds or c.holds or _is_main(c)
+        if node.tag == "a":
+            node.links = node.chars
+        node.text = _digest(*text)
+        node.shape = _digest("shape", *shape, "text" if said else "")
+
+
+def _hashes(node: Node) -> tuple[int, ...]:
+    """The hashes by which an element can be a site's template: of its text, and of its shape if it is a list of links."""
+    return (node.text, node.shape) if node.links * 3 >= node.chars * 2 and len(node.children) else (node.text,)
+
+
+def candidates(nodes: list[Node]) -> list[Node]:
+    """Elements that can be a site's template: none that holds the article, nor its own paragraphs."""
+    return [n for n in nodes[1:] if n.chars and n.tag in BLOCK | DROPPED and n.tag not in HIDDEN | WHOLE and not n.holds and not _is_main(n) and (n.tag in LAYOUT or not n.inside)]
+
+
+def template_nodes(nodes: list[Node], template: set[int]) -> set[int]:
+    """id() of the elements to delete: templates, and what consists of them for two thirds of its text.
+
+    Templates never take more than half of an article's text, nor all of a page that has no article.
+    """
+    if not template:
+        return set()
+    able = candidates(nodes)
+    gone = {id(n) for n in able if not template.isdisjoint(_hashes(n))}
+    if not gone:
+        return gone
+    taken: dict[int, int] = {}
+    allowed = {id(n) for n in able}
+    for n in reversed(nodes):
+        lost = n.chars if id(n) in gone else sum(taken[id(c)] for c in n.children if isinstance(c, Node))
+        if id(n) in allowed and lost * 3 >= n.chars * 2 and lost:
+            gone.add(id(n))
+            lost = n.chars
+        taken[id(n)] = lost
+    for n in nodes:
+        if _is_main(n) and not n.inside and taken[id(n)] * 2 > n.chars:
+            gone -= {id(x) for x in nodes if x.inside}
+    if not nodes[0].holds and taken[id(nodes[0])] == nodes[0].chars:
+        return set()
+    return gone
+
+
+def _articles(nodes: list[Node], out) -> list[Node]:
+    """The outermost article and main elements in page order; of a main element, the articles in it if it has any."""
+    found: list[Node] = []
+    stack = [nodes[0]]
+    while stack:
+        node = stack.pop()
+        if _is_main(node) and (node.tag != "main" or not node.holds):
+            found.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in DROPPED and not out(c))
+    return found or [n for n in nodes if n.tag == "main"][:1]
 
 
 def main_text(page: str | None, template: set[int]) -> str:
     """The article's text: blocks in page order, one space between."""
-    root = parse(page or "")
-    gone = {id(n) for n, h in candidates(root) if h in template} if template else set()
-    roots: list[Node] = []
-
-    def find(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, Node) and c.tag not in DROPPED and not _named_out(c):
-                if _is_main(c):
-                    roots.append(c)
-                else:
-                    find(c)
-
-    find(root)
-    inner = [r for r in roots if r.tag == "main"]
-    articles: list[Node] = []
-    for r in inner:  # a main element may hold the article and more
-        before = len(roots)
-        find(r)
-        articles += roots[before:]
-        del roots[before:]
-    if articles:
-        roots = [r for r in roots if r.tag != "main"] + articles
-    out: list[str] = []
-
-    def write(node: Node, top: bool) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(html.unescape(c) if "&" in c else c)
-            elif c.tag in DROPPED or c.tag == "title" or id(c) in gone or _named_out(c) or (c.tag == "header" and top):
-                out.append(" ")
-            else:
-                block = c.tag in BLOCK
-                if block:
-                    out.append(" ")
-                write(c, False)
-                if block:
-                    out.append(" ")
-
-    for r in roots or [root]:
-        write(r, not roots)
-        out.append(" ")
-    return " ".join("".join(out).split())
+    nodes = parse(page or "")
+    measure(nodes)
+    half = nodes[0].chars // 2
+    named: dict[int, bool] = {}
+
+    def out(node: Node) -> bool:
+        known = named.get(id(node))
+        if known is None:
+            known = named[id(node)] = _named_out(node, half)
+        return known
+
+    gone = template_nodes(nodes, template)
+    roots = _articles(nodes, out)
+    top = not roots
+    text: list[str] = []
+    stack: list = [*reversed(roots or [nodes[0]])]
+    first = {id(n) for n in stack}
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            text.append(html.unescape(c) if "&" in c else c)
+        elif id(c) not in first and (c.tag in DROPPED or id(c) in gone or out(c) or (c.tag == "header" and top and not c.holds and c.depth <= 3)):
+            text.append(" ")
+        elif c.tag in BLOCK or id(c) in first:
+            text.append(" ")
+            stack.append(" ")
+            stack.extend(reversed(c.children))
+        else:
+            stack.extend(reversed(c.children))
+    return " ".join("".join(text).split())
 
 
 def host_of(url: Column) -> Column:
@@ -202,32 +291,38 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10) -> DataFrame:
-    """(host, hashes): subtrees on at least `least` pages and a `share` of the pages of their host.
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10, many: int = 200) -> DataFrame:
+    """(host, hashes): subtrees on at least `least` pages of their host and on a `share` of them, or on `many`.
 
-    Counts are of pages, summed before they are shuffled, so a large host is no large task; a host has at most
-    (candidates of a page) / share hashes.
+    Counts are of pages, summed before they are shuffled, so a large host is no large task. A host has at most
+    (candidates of a page) / share hashes, or (candidates of its pages) / many.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(host, h) for host, page in zip(pdf["host"], pdf["html"]) for h in {h for _, h in candidates(parse(page or ""))}]
+            rows = []
+            for host, page in zip(pdf["host"], pdf["html"]):
+                nodes = parse(page or "")
+                measure(nodes)
+                rows += [(host, h) for h in {h for n in candidates(nodes) for h in _hashes(n)}]
             yield pd.DataFrame(rows, columns=["host", "hash"]).astype({"hash": "int64"})
 
     hosts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     seen = hosts.mapInPandas(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     sizes = hosts.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    often = (F.col("n") >= share * F.col("pages")) | (F.col("n") >= many)
+    return seen.join(sizes, "host").filter(often).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10) -> DataFrame:
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10, many: int = 200) -> DataFrame:
     """pages, without the html, with columns text and n_chars (code points).
 
     Null and empty pages give an empty text; a null or odd URL is a host of its own. A page without article or main element gives
-    what is left of its body. The table of templates is broadcast only if it has at most BROADCAST_ROWS hosts.
+    what is left of its body. Repeated rows are counted each and answered each; an empty table stays empty; columns named
+    text and n_chars give way. The table of templates is broadcast only if it has at most BROADCAST_ROWS hashes.
     """
-    templates = site_templates(pages, url_col, html_col, share, least).cache()
-    small = templates.count() <= BROADCAST_ROWS
+    templates = written(site_templates(pages, url_col, html_col, share, least, many), "site-templates")
+    small = (templates.agg(F.sum(F.size("hashes")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
     named = templates.select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes"))
     joined = pages.withColumn("__host", host_of(F.col(url_col))).join(F.broadcast(named) if small else named, "__host", "left")
     rest = [f for f in joined.schema.fields if f.name not in ("__host", "__hashes", html_col, "text", "n_chars")]

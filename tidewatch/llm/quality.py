@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.toxicity import SAMPLE_ROWS, logistic, training_rows
+from tidewatch.llm.toxicity import logistic, training_rows
+
+SAMPLE_ROWS = 10_000
 
 FEATURES = (
     "log_words", "letters", "upper", "digits", "marks", "signs", "other", "word_length", "long_words", "distinct_words",
@@ -79,22 +81,40 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.a + self.b * self.raw(x), -30, 30)))
 
 
-def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1.0, seed: int = 5) -> Ranker:
-    """Weights by Newton's method on the logistic loss of feature differences of (label 1, label 0) pairs."""
+def pair_moments(good: np.ndarray, bad: np.ndarray, w: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the logistic loss over the differences of all (good, bad) pairs, a block of rows at a time."""
+    g, b = good @ w, bad @ w
+    k = good.shape[1]
+    slope, curve, miss_bad, weigh_bad = np.zeros(k), np.zeros((k, k)), np.zeros(len(bad)), np.zeros(len(bad))
+    for at in range(0, len(good), block):
+        own = good[at : at + block]
+        p = 1 / (1 + np.exp(-np.clip(g[at : at + block, None] - b, -30, 30)))
+        miss, weight = 1 - p, p * (1 - p)
+        slope += miss.sum(axis=1) @ own
+        miss_bad += miss.sum(axis=0)
+        weigh_bad += weight.sum(axis=0)
+        cross = own.T @ (weight @ bad)
+        curve += (own.T * weight.sum(axis=1)) @ own - cross - cross.T
+    return slope - miss_bad @ bad, curve + (bad.T * weigh_bad) @ bad
+
+
+def bradley_terry(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> Ranker:
+    """Weights by Newton's method on the logistic loss of feature differences, over all (label 1, label 0) pairs.
+
+    `ridge` is a share of the number of pairs. Labels of one kind give a ranker that scores everything alike.
+    """
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.clip((x - mean) / scale, -4, 4)
     z = np.column_stack((z, z * z))
-    rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    good, bad = z[y == 1], z[y == 0]
     if not len(good) or not len(bad):
         return Ranker(mean, scale, np.zeros(z.shape[1]), 5.0 if len(good) else -5.0, 0.0)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
+    w, pairs = np.zeros(z.shape[1]), len(good) * len(bad)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w)), d.T @ (1 - p) - ridge * w)
+        slope, curve = pair_moments(good, bad, w)
+        step = np.linalg.solve(curve / pairs + ridge * np.eye(len(w)), slope / pairs - ridge * w)
         w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     ranker = Ranker(mean, scale, w)
     ranker.a, ranker.b = logistic(ranker.raw(x), y.astype(float))
@@ -102,7 +122,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ranker:
-    """A ranker from labels.quality; figures of at most `rows` labelled, not held-out documents reach the driver."""
+    """A ranker from labels.quality; figures of at most `rows` labelled, not held-out documents reach the driver, which fits all their pairs."""
     sample = training_rows(docs, labels, "quality", rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ranker
 
 
 def with_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text", out: str = "quality_score") -> DataFrame:
-    """docs with column `out`: the probability of label 1, of the whole text; null and empty texts are scored as such."""
+    """docs with column `out`: the probability of label 1, of the whole text.
+
+    Null and empty texts are scored as empty; repeated rows score alike; an empty table stays empty.
+    """
     docs = docs.drop(out)  # a column of that name gives way
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     at = docs.columns.index(text_col)

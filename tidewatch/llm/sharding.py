@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import cut, text_bytes
+from tidewatch.llm.common import text_bytes, written
 
 BINS = 1024
 ROUNDS = 5
@@ -54,7 +54,7 @@ def _splits(points: DataFrame, dims: list[str]) -> dict[int, tuple[str, float, f
     if not dim:
         return {}
     value = reduce(lambda c, d: F.when(_by_node(dim) == d, F.col(d)).otherwise(c), dims, F.lit(None).cast("double"))
-    points = cut(points.withColumn("x", value))
+    points = written(points.withColumn("x", value), "split-points")
     for _ in range(ROUNDS):
         inside = points.withColumns({"lo": _by_node(lo), "hi": _by_node(hi)}).filter("x BETWEEN lo AND hi")
         place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
@@ -89,7 +89,7 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, tie: Colum
     names = [f"__d{i}" for i in range(len(dims))]
     rows = df.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, dims.values())], weight.cast("long").alias("__weight"), tie.cast("long").alias("__tie"), F.lit(0).alias("__node"))
     # One point for all rows that must stay together, with their weight: copies are counted before anything moves.
-    points = cut(rows.groupBy(*names, "__tie").agg(F.sum("__weight").alias("weight"))).withColumnRenamed("__tie", "tie").withColumn("node", F.lit(0))
+    points = written(rows.groupBy(*names, "__tie").agg(F.sum("__weight").alias("weight")), "points").withColumnRenamed("__tie", "tie").withColumn("node", F.lit(0))
 
     def right(found: dict, node: str, tie: str) -> Column:
         """1 for the rows of a node beyond its split, else 0."""
@@ -98,7 +98,7 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, tie: Colum
 
     for _ in range(shards.bit_length() - 1):
         found = _splits(points, names)
-        points = cut(points.withColumn("node", F.col("node") * 2 + right(found, "node", "tie")))
+        points = points.withColumn("node", F.col("node") * 2 + right(found, "node", "tie"))
         rows = rows.withColumn("__node", F.col("__node") * 2 + right(found, "__node", "__tie"))
     return rows.withColumn("shard", F.col("__node").cast("int")).drop(*names, "__weight", "__tie", "__node")
 

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Forest, connected_components, cut
+from tidewatch.llm.common import Forest, Spanner, connected_components, written
 
 SEED = 42
+RUN_ROWS = 4096
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -135,43 +136,93 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, most: int, forest: Forest) -> l
     return out
 
 
-def _links(most: int):
+def _links(most: int, run_rows: int):
+    """Links (key -1, a, b) of the runs of equal keys, and the rows (key, fp, 0) of the runs with more than `run_rows`."""
+
+    def of(keys, fps, forest):
+        if not len(keys):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        lengths = np.diff(np.append(starts, len(keys)))
+        long = np.repeat(lengths > run_rows, lengths)
+        if long.any():
+            yield _frame(fps[long], np.zeros(int(long.sum()), np.uint64), keys[long])
+        if new := _spanning(keys[~long], fps[~long], most, forest):
+            yield _frame(*np.array(new, np.uint64).T)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, held = Forest(), None
+        forest, held, streamed = Forest(), None, None
         for pdf in frames:
             keys, fps = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+            if streamed is not None:
+                past = int(np.searchsorted(keys, streamed, side="right"))
+                if past:
+                    yield _frame(fps[:past], np.zeros(past, np.uint64), keys[:past])
+                keys, fps = keys[past:], fps[past:]
             if held is not None:
                 keys, fps = np.concatenate((held[0], keys)), np.concatenate((held[1], fps))
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            yield from of(keys[:last], fps[:last], forest)
             held = keys[last:], fps[last:]
-            if new := _spanning(keys[:last], fps[:last], most, forest):
-                yield _frame(new)
-        if held is not None and (new := _spanning(*held, most, forest)):
-            yield _frame(new)
+            if len(held[0]) > run_rows:  # streams on, so that no task holds a long run
+                streamed = held[0][0]
+                yield from of(*held, forest)
+                held = None
+        if held is not None:
+            yield from of(*held, forest)
+
+    return run
+
+
+def _tile_links(most: int):
+    """Links that span the fingerprints of one tile: blocks i and j of a long run."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps, block = pdf["fp"].to_numpy().view(np.uint64), pdf["block"].to_numpy()
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        spanner, links = Spanner(len(fps)), []
+        for at in range(0, len(rows), 512):
+            own = rows[at : at + 512]
+            x, y = np.nonzero(np.bitwise_count(fps[own][:, None] ^ fps[cols]) <= most)
+            x, y = own[x], cols[y]
+            new = spanner.add(x, y)
+            links.append(np.column_stack((fps[x[new]], fps[y[new]])))
+        links = np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
+        return _frame(links[:, 0], links[:, 1]).drop(columns="key")
 
     return run
 
 
-def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    ends = np.array(pairs, np.uint64).view(np.int64)
-    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+def _frame(a: np.ndarray, b: np.ndarray, keys: np.ndarray | int = -1) -> pd.DataFrame:
+    return pd.DataFrame({"key": np.broadcast_to(np.asarray(keys, np.int32), len(a)), "a": np.ascontiguousarray(a).view(np.int64), "b": np.ascontiguousarray(b).view(np.int64)})
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4, run_rows: int = RUN_ROWS) -> DataFrame:
     """One row per input row: (id, fp, component_id), component_id the smallest id reachable by links.
 
     Fingerprints link at `most` (up to 4) or fewer differing bits; equal fingerprints are one class and
-    meet the others once. A null id is returned with a null component, unless its class has ids.
-    Nothing quadratic leaves a task: a run of equal keys gives links that span it, not its pairs.
+    meet the others once. A null id is returned with a null component, unless its class has ids; rows that repeat an id
+    are rows of their own; an empty table stays empty. Nothing quadratic leaves a task: a run of equal keys gives links
+    that span it, not its pairs. A key that more than `run_rows` fingerprints share is cut into blocks, which meet
+    two by two in tasks of their own.
     """
     if not 0 <= most <= 4:
         raise ValueError("the keys guarantee at most four differing bits")
-    fps = cut(with_fingerprint(docs, id_col, text_col, k))
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    fps = written(with_fingerprint(docs, id_col, text_col, k), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-classes")
     keyed = classes.select("fp").mapInArrow(_emit_keys, "key int, fp long")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most), "a long, b long")
+    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most, run_rows), "key int, a long, b long"), "key-links")
+    edges = met.filter("key < 0").select("a", "b")
+    long = met.filter("key >= 0").select("key", F.col("a").alias("fp"))
+    blocks = written(long.groupBy("key").agg(F.ceil(F.count("*") / F.lit(run_rows)).cast("int").alias("s")), "long-runs")
+    if not blocks.isEmpty():
+        dealt = long.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        tiles = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
+        edges = edges.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(_tile_links(most), "a long, b long"))
     comps = connected_components(edges).withColumnRenamed("id", "fp")
     members = classes.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    firsts = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    firsts = written(members.groupBy("component").agg(F.min("first").alias("component_id")), "first-ids")  # written, so that AQE can split a large component
     named = members.join(firsts, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("id", "fp", "component_id")

@@ -5,15 +5,16 @@ A phrase is `span` consecutive words. It goes wherever it also starts in a docum
 1. Every phrase has a fingerprint: the least hash of the 5-word grams inside it. Equal phrases have
    equal fingerprints, and neighbours mostly share one, so there are far fewer than phrases. Spark counts
    them and keeps those that two documents have.
-2. Every document is streamed once more and sends, for each recurring fingerprint, the stretch of words whose
-   phrases have it. Equal stretches of a batch travel as one row with their documents; rows go to shards by
-   fingerprint.
-3. A shard confirms the passages that recur (exactly, word by word) with the first document of each,
-   compiles them into an Aho-Corasick automaton and streams the stretches of all documents through it to
-   locate every occurrence. It holds the distinct stretches of its part;
-   what a batch has of one beyond MANY documents streams by.
+2. Every document is streamed once more and gives, for each recurring fingerprint, the stretch of words whose
+   phrases have it. Equal stretches of a batch are one row, with the documents that have it in lists of at most MANY.
+3. Distinct stretches go to shards by fingerprint, without their documents. A shard confirms the passages that recur
+   (exactly, word by word) with the first document of each, compiles them into an Aho-Corasick automaton and streams its
+   stretches through it to locate every passage. Where a stretch has any, Spark joins the documents that have the stretch;
+   a stretch that very many share is a skewed join, which AQE splits, and no matter of one shard.
 4. A fingerprint with more stretches than a shard is made for has no shard: its stretches are cut to their single
    phrases, which Spark counts and joins by the phrase itself.
+
+A document is a row's id and text together (`doc`, a 64-bit print of both), so rows that repeat an id stay apart.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHasher, ascii_space, grams, mix, slices, sliding_min, written
+from tidewatch.llm.common import WordHasher, ascii_space, discard, grams, mix, slices, sliding_min, written
 
 GRAM = 5
 CHUNK = 1 << 20
@@ -47,7 +48,7 @@ def _phrases(texts: list[bytes], hasher: WordHasher, span: int):
 
 
 def _fingerprints(span: int):
-    """Rows (key, fp, id, kind), pre-aggregated in each batch.
+    """Rows (key, fp, doc, kind), pre-aggregated in each batch.
 
     A fingerprint that one document of the batch has is asked about (ASK) at its key; one that several have
     recurs for sure: their rows (KNOWN) are spread by document, and one row (TELL) says so at its key. So a
@@ -84,17 +85,17 @@ def _fingerprints(span: int):
                 np.concatenate((docs, docs[told])),
                 np.concatenate((np.where(shared, KNOWN, ASK), np.full(int(told.sum()), TELL))).astype(np.int8),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "id", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "doc", "kind"])
 
     return run
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, fp) of the fingerprints that recur; the rows come sorted by key."""
+    """(doc, fp) of the fingerprints that recur; the rows come sorted by key."""
     held = None
-    names = ("key", "fp", "id", "kind")
+    names = ("key", "fp", "doc", "kind")
 
-    def answer(key, fp, ids, kind):
+    def answer(key, fp, docs, kind):
         plain = kind != KNOWN
         keep = ~plain
         k = key[plain]
@@ -102,7 +103,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near[1:] |= k[1:] == k[:-1]
         near[:-1] |= k[1:] == k[:-1]
         keep[plain] = near & (kind[plain] == ASK)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(fp[keep])], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(fp[keep])], names=["doc", "fp"])
 
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
@@ -117,25 +118,26 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(span: int, text_col: str):
-    """Rows (fp, kind, print, words, low, high, ids, at): the distinct stretches of each batch and who has them."""
+    """Rows (fp, print, words, low, high, docs, ids, at): the distinct stretches of each batch and who has them."""
 
-    def rows_of(found: dict[tuple[int, bytes], tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    def rows_of(found: dict[tuple[int, bytes], tuple[list[int], list[int], list[int]]]) -> pa.RecordBatch:
         rows = []
-        for (fp, words), (ids, at) in found.items():
+        for (fp, words), (docs, ids, at) in found.items():
             mark = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
-            rows.append((fp, 0, mark, words, min(ids), max(ids), ids[:MANY], at[:MANY]))
-            rows += [(fp, 1, mark, words, None, None, ids[i : i + MANY], at[i : i + MANY]) for i in range(MANY, len(ids), MANY)]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["fp", "kind", "print", "words", "low", "high", "ids", "at"])
+            low, high = min(ids), max(ids)
+            # the words go with the first list only
+            rows += [(fp, mark, None if i else words, low, high, docs[i : i + MANY], ids[i : i + MANY], at[i : i + MANY]) for i in range(0, len(ids), MANY)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["fp", "print", "words", "low", "high", "docs", "ids", "at"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_space())
         for batch in frames:
-            ids, texts, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", text_col, "__fps"))
+            docs, ids, texts, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("__doc", "__id", text_col, "__fps"))
             some = np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False))
-            ids = ids.to_numpy(zero_copy_only=False)[some]
+            docs, ids = docs.to_numpy(zero_copy_only=False)[some], ids.to_numpy(zero_copy_only=False)[some]
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts.take(pa.array(some)).to_pylist()]
-            found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
+            found: dict[tuple[int, bytes], tuple[list[int], list[int], list[int]]] = {}
             for a, b in slices([len(t) for t in texts], CHUNK):
                 fps, at, text, starts, ends, owner, joined = _phrases(texts[a:b], hasher, span)
                 if not len(fps):
@@ -149,10 +151,11 @@ def _stretches(span: int, text_col: str):
                 rows = np.concatenate(rows)
                 begin, end, who = at[runs[rows]], at[last[rows]] + span - 1, text[runs[rows]]
                 where = (begin - first[who]).tolist()
-                for fp, s, e, i, p in zip(fps[runs[rows]].tolist(), starts[begin].tolist(), ends[end].tolist(), ids[a + who].tolist(), where):
-                    have = found.setdefault((fp, b" ".join(joined[s:e].split())), ([], []))
-                    have[0].append(i)
-                    have[1].append(p)
+                for fp, s, e, d, i, p in zip(fps[runs[rows]].tolist(), starts[begin].tolist(), ends[end].tolist(), docs[a + who].tolist(), ids[a + who].tolist(), where):
+                    have = found.setdefault((fp, b" ".join(joined[s:e].split())), ([], [], []))
+                    have[0].append(d)
+                    have[1].append(i)
+                    have[2].append(p)
                 if len(found) > 50_000:
                     yield rows_of(found)
                     found = {}
@@ -211,118 +214,101 @@ class PhraseAutomaton:
         return [(end // 2 - back, low) for end, low in self.automaton.iter(line)]
 
 
-def _spans(hits: list[tuple[int, int]], doc: int, span: int) -> list[tuple[int, int]]:
-    """Word ranges covered by the phrases that a document before `doc` has too."""
-    out, stop = [], -1
+def _runs(hits: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Neighbouring phrases with the same first document as one: (first words, numbers of phrases, first documents)."""
+    at, n, lows = [], [], []
     for i, low in hits:
-        if low < doc:
-            if i > stop:
-                out.append([i, span])
-            else:
-                out[-1][1] = i + span - out[-1][0]
-            stop = i + span
-    return out
+        if at and low == lows[-1] and i == at[-1] + n[-1]:
+            n[-1] += 1
+        else:
+            at.append(i)
+            n.append(1)
+            lows.append(low)
+    return at, n, lows
 
 
 def _locate(span: int):
-    """Rows of a shard come with its distinct stretches (kind 0) first, then with further documents of theirs (kind 1)."""
-
-    def answer(hits, rows):
-        out = []
-        for mark, ids, at in rows:
-            if mine := hits.get(mark):
-                for i, p in zip(ids, at):
-                    out += [(i, p + a, n) for a, n in _spans(mine, i, span)]
-        columns = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["id", "at", "length"])
-
-    def compiled(auto, stretches):
-        auto.compile()
-        return {mark: found for mark, line in stretches.items() if (found := auto.found(line))}
+    """Rows (fp, print, at, n, first) of the stretches of each shard that have recurring phrases; rows come sorted by part."""
 
-    def rows_of(batch):
-        column = lambda c: batch.column(batch.schema.get_field_index(c))
-        offsets, ids, at = column("ids").offsets.tolist(), column("ids").values.tolist(), column("at").values.tolist()
-        shift = column("at").offsets.tolist()
-        plain = [column(c).to_pylist() for c in ("part", "kind", "print", "words", "low", "high")]
-        for i, row in enumerate(zip(*plain)):
-            yield *row, ids[offsets[i] : offsets[i + 1]], at[shift[i] : shift[i + 1]]
+    def answer(auto, stretches):
+        auto.compile()
+        rows = [(*mark, *_runs(found)) for mark, line in stretches.items() if (found := auto.found(line))]
+        kinds = pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())
+        columns = zip(*rows) if rows else ((),) * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["fp", "print", "at", "n", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, auto, stretches, waiting, hits = None, None, {}, [], None
+        shard, auto, stretches = None, None, {}
         for batch in batches:
-            late = []
-            for part, kind, mark, words, low, high, ids, at in rows_of(batch):
+            for part, fp, mark, words, low, high in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "fp", "print", "words", "low", "high")]):
                 if part != shard:
-                    if waiting:
-                        yield answer(compiled(auto, stretches), waiting)
-                    if late:
-                        yield answer(hits, late)
-                    shard, auto, stretches, waiting, late, hits = part, PhraseAutomaton(span), {}, [], [], None
-                if kind == 0:
-                    stretches[mark] = auto.add(words, low, high)
-                    waiting.append((mark, ids, at))
-                else:
-                    if hits is None:
-                        hits = compiled(auto, stretches)
-                        yield answer(hits, waiting)
-                        waiting = []
-                    late.append((mark, ids, at))
-            if late:
-                yield answer(hits, late)
-        if waiting:
-            yield answer(compiled(auto, stretches), waiting)
+                    if stretches:
+                        yield answer(auto, stretches)
+                    shard, auto, stretches = part, PhraseAutomaton(span), {}
+                stretches[fp, mark] = auto.add(words, low, high)
+        if stretches:
+            yield answer(auto, stretches)
 
     return run
 
 
 def _singles(span: int):
-    """Rows (phrase, ids, at): the distinct phrases of each batch of stretches and who has them."""
+    """Rows (phrase, docs, ids, at): the distinct phrases of each batch of stretches and who has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[bytes, tuple[list[int], list[int]]] = {}
-            for stretch, ids, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            found: dict[bytes, tuple[list[int], list[int], list[int]]] = {}
+            for stretch, docs, ids, at in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 words = stretch.split(b" ")
                 for i in range(len(words) - span + 1):
-                    have = found.setdefault(b" ".join(words[i : i + span]), ([], []))
-                    have[0].extend(ids)
-                    have[1].extend([p + i for p in at])
-            rows = [(phrase, ids[i : i + MANY], at[i : i + MANY]) for phrase, (ids, at) in found.items() for i in range(0, len(ids), MANY)]
-            kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), kinds)], names=["phrase", "ids", "at"])
+                    have = found.setdefault(b" ".join(words[i : i + span]), ([], [], []))
+                    have[0].extend(docs)
+                    have[1].extend(ids)
+                    have[2].extend([p + i for p in at])
+            rows = [(phrase, *(x[i : i + MANY] for x in have)) for phrase, have in found.items() for i in range(0, len(have[0]), MANY)]
+            kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 4, kinds)], names=["phrase", "docs", "ids", "at"])
 
     return run
 
 
 def _frequent(stretches: DataFrame, shard_rows: int) -> DataFrame:
     """(fp) of the fingerprints with more than `shard_rows` stretches."""
-    return stretches.filter("kind = 0").groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("fp")
+    return stretches.filter("words IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("fp")
 
 
 def _locate_singles(stretches: DataFrame, span: int) -> DataFrame:
-    """(id, at, length) of every phrase of the stretches that a document before id has too, without a shard."""
-    singles = written(stretches.select("words", "ids", "at").mapInArrow(_singles(span), "phrase binary, ids array<long>, at array<int>"), "single-phrases")
+    """(doc, at, length) of every phrase of the stretches that a document before it has too, without a shard."""
+    worded = stretches.filter("words IS NOT NULL").groupBy("fp", "print").agg(F.first("words").alias("words"))
+    full = stretches.drop("words").join(worded, ["fp", "print"])
+    singles = written(full.select("words", "docs", "ids", "at").mapInArrow(_singles(span), "phrase binary, docs array<long>, ids array<long>, at array<int>"), "single-phrases")
     ends = singles.groupBy("phrase").agg(F.min(F.array_min("ids")).alias("low"), F.max(F.array_max("ids")).alias("high"))
-    met = singles.join(ends.filter("low < high"), "phrase").select("low", F.explode(F.arrays_zip("ids", "at")).alias("x"))
-    return met.filter("x.ids > low").select(F.col("x.ids").alias("id"), F.col("x.at").alias("at"), F.lit(span).alias("length"))
+    ends = written(ends.filter("low < high"), "recurring-singles")  # written, so that AQE can split a frequent phrase
+    met = singles.join(ends, "phrase").select("low", F.inline(F.arrays_zip("docs", "ids", "at")))
+    return met.filter("ids > low").select(F.col("docs").alias("doc"), "at", F.lit(span).alias("length"))
+
+
+def _with_doc(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return docs.withColumns({"__id": F.col(id_col).cast("long"), "__doc": key})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, shard_rows: int = 20_000) -> DataFrame:
-    """(id, spans array<struct<at, length>>): word ranges covered by phrases that a smaller id has too.
+    """(doc, spans array<struct<at, length>>): word ranges covered by phrases that a smaller id has too.
 
-    Documents without such a phrase have no row. Ranges may touch or overlap. `shard_rows` is about how
-    many stretches an automaton is compiled for and streamed with; more rows give more shards. A fingerprint
-    has at most so many in its shard, so a task holds no more than that above its share. Rows with a null id or text have no phrases.
+    doc is the print of a row's id and text. Documents without such a phrase have no row. Ranges may touch or overlap.
+    `shard_rows` is about how many stretches an automaton is compiled for and streamed with; more rows give more shards.
+    A fingerprint has at most so many in its shard, so a task holds no more than that above its share. Rows with a null id
+    or text have no phrases.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    asked = base.filter("id IS NOT NULL AND t IS NOT NULL").mapInArrow(_fingerprints(span), "key long, fp long, id long, kind byte")
-    recurring = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_recurring, "id long, fp long")
+    base = _with_doc(docs, id_col, text_col).filter("__doc IS NOT NULL")
+    asked = base.select("__doc", F.col(text_col).cast("string")).mapInArrow(_fingerprints(span), "key long, fp long, doc long, kind byte")
+    recurring = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_recurring, "doc long, fp long")
     recurring = written(recurring, "recurring-phrases")
     shards = max(1, -(-recurring.count() // shard_rows))
-    wanted = recurring.groupBy(F.col("id").alias("__key")).agg(F.collect_list("fp").alias("__fps"))
-    stretches = _by_id(docs, id_col).join(wanted, F.col("__id") == F.col("__key"), "left")  # all columns, as in the join that follows
-    stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, kind int, print long, words binary, low long, high long, ids array<long>, at array<int>")
+    wanted = recurring.groupBy(F.col("doc").alias("__key")).agg(F.collect_set("fp").alias("__fps"))
+    stretches = base.select("__doc", "__id", text_col).join(wanted, F.col("__doc") == F.col("__key"))
+    stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, print long, words binary, low long, high long, docs array<long>, ids array<long>, at array<int>")
     stretches = written(stretches, "stretches")
     frequent = written(_frequent(stretches, shard_rows), "frequent-fingerprints")
     many = frequent.count()
@@ -330,16 +316,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if many:
         known = F.broadcast(frequent) if many <= BROADCAST_ROWS else frequent
         rest = stretches.join(known, "fp", "left_anti")
-    rows = rest.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).drop("fp")
-    located = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_locate(span), "id long, at int, length int")
+    rows = rest.filter("words IS NOT NULL").select(F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("part"), "fp", "print", "words", "low", "high")
+    hits = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_locate(span), "fp long, print long, at array<int>, n array<int>, first array<long>")
+    hits = written(hits.select("fp", "print", F.arrays_zip("at", "n", "first").alias("hits")), "stretch-hits")  # written, so that AQE can split a frequent stretch
+    met = rest.select("fp", "print", F.arrays_zip("docs", "ids", "at").alias("who")).join(hits, ["fp", "print"]).select(F.explode("who").alias("x"), "hits")
+    met = met.select(F.col("x.docs").alias("doc"), F.col("x.at").alias("from"), F.explode(F.filter("hits", lambda h: h["first"] < F.col("x.ids"))).alias("h"))
+    located = met.select("doc", (F.col("from") + F.col("h.at")).alias("at"), (F.col("h.n") + F.lit(span - 1)).alias("length"))
     if many:
         located = located.unionByName(_locate_singles(stretches.join(known, "fp", "left_semi"), span))
-    return located.groupBy("id").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
-
-
-def _by_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """The side that both joins with the texts share, so that Spark moves the texts once and reads them twice."""
-    return docs.withColumn("__id", F.col(id_col).cast("long"))
+    spans = written(located.groupBy("doc").agg(F.collect_set(F.struct("at", "length")).alias("spans")), "repeated-spans")
+    discard(recurring, stretches, frequent, hits)
+    return spans
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -369,11 +356,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept_text is the text as written without the removed words (a line break where words are missing);
     untouched texts stay as they are. A null text has no words and stays null; a null id never matches
-    and keeps all its words; rows that repeat an id keep what no smaller id has.
+    and keeps all its words; rows that repeat an id each keep what no smaller id has. An empty table stays empty.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")  # columns of these names give way
-    spans = repeated_spans(docs, id_col, text_col, span, shard_rows).select(F.col("id").alias("__key"), F.col("spans").alias("__spans"))
-    joined = _by_id(docs, id_col).join(spans, F.col("__id") == F.col("__key"), "left").drop("__id", "__key")
+    spans = repeated_spans(docs, id_col, text_col, span, shard_rows).select(F.col("doc").alias("__key"), F.col("spans").alias("__spans"))
+    joined = _with_doc(docs, id_col, text_col).join(spans, F.col("__doc") == F.col("__key"), "left").drop("__id", "__doc", "__key")
     fields = [*[f for f in joined.schema.fields if f.name not in ("__spans", *([] if with_text else [text_col]))]]
     names = [f.name for f in fields]
 

@@ -1,10 +1,11 @@
 """Operator 10: toxicity by a weighted lexicon and Aho-Corasick.
 
 Texts are folded first: lower case, look-alike letters of other scripts, digits and signs that stand for
-letters, everything else to blanks. The lexicon's terms are whole words or word beginnings with a weight,
-its exceptions are two-word phrases in which a term is harmless. Both are learned from labels: a term's weight
-is its log odds between toxic and other documents. A text's score is a logistic function of the weights
-found, outside exceptions, normalised by its length.
+letters, invisible characters out, letters written one by one joined, everything else to blanks. A text with accents is read
+once with and once without them. The lexicon's terms are whole words or word beginnings with a weight, its exceptions are
+two-word phrases in which a term is harmless. Both are learned from labels: a term's weight is the lower limit of its log
+odds between toxic and other documents. A text's score is a logistic function of the weights found, outside exceptions,
+normalised by its length.
 """
 
 from __future__ import annotations
@@ -26,23 +27,32 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import slices
 
 SAMPLE_ROWS = 20_000
-PREFIXES = range(4, 8)
+PREFIXES = range(3, 9)
 
-# Letters that look like Latin ones, and what stands for letters.
+# Letters that look like Latin ones, what stands for letters, and what can't be seen.
 LOOK_ALIKE = dict(zip("абсԁеһіјκӏмпорԛѕтυνѡхуαεικοντρχ", "abcdehijklmnopqstuvwxyaeikovtpx"))
 STANDS_FOR = dict(zip("0134579", "oieastg"))
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _TABLE = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(k): v for k, v in (LOOK_ALIKE | STANDS_FOR).items()}
-_SIGN = re.compile(r"[@$](?=[a-z])")
+_SIGN = re.compile(r"[@$](?=[a-z])|(?<=[a-z])[!|](?=[a-z0-9])")
+_SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+_SPACED = re.compile(r"(?<= )(?:[^\W_] ){2,}[^\W_](?= )")
 
 
 def fold(text: str | None) -> str:
     """A text as the lexicon sees it, between blanks."""
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    if "@" in text or "$" in text:
-        text = _SIGN.sub(lambda m: "a" if m[0] == "@" else "s", text)
-    return f" {text.translate(_TABLE)} "
+        text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
+    text = _SIGN.sub(lambda m: _SIGNS[m[0]], text)
+    return _SPACED.sub(lambda m: m[0].replace(" ", ""), f" {text.translate(_TABLE)} ")
+
+
+def unaccented(folded: str) -> str:
+    """A folded text without accents; itself if it has none."""
+    if folded.isascii():
+        return folded
+    return "".join(c for c in unicodedata.normalize("NFD", folded) if not unicodedata.combining(c))
 
 
 @dataclass
@@ -76,15 +86,16 @@ class Lexicon:
             (spared if weight is None else hits).append((end - n + 1, end, weight))
         if spared:
             hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)]
-        total, last = 0.0, -1
-        for start, _, weight in hits:
-            if start != last:  # a word counts once, by its shortest term
-                total += weight
-            last = start
-        return total
+        heaviest: dict[int, float] = {}
+        for start, _, weight in hits:  # a word counts once, by its heaviest term
+            heaviest[start] = max(weight, heaviest.get(start, 0.0))
+        return sum(heaviest.values())
 
     def density(self, folded: str, auto) -> float:
-        return self.found(folded, auto) / (1 + math.log1p(folded.count(" ")))
+        found, plain = self.found(folded, auto), unaccented(folded)
+        if plain != folded:
+            found = max(found, self.found(plain, auto))
+        return found / (1 + math.log1p(folded.count(" ")))
 
     def score(self, density: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a + self.b * math.log1p(density)))))
@@ -135,8 +146,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, purity: float = 0.9, most_terms: int = 5_000) -> Lexicon:
-    """A lexicon from labels.toxic: terms that few but toxic documents have, and phrases that only others have."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lift: float = 2.0, z: float = 1.64, least: int = 4) -> Lexicon:
+    """A lexicon from labels.toxic of at most `rows` labelled documents: terms of toxic documents, and phrases that only others have.
+
+    A term is taken in if `least` toxic documents have it and the lower limit of its log odds, `z` standard errors under the
+    smoothed value, reaches `lift`, however rare it is among them. What reaches the driver is bounded by the sample.
+    No usable labels, or labels of one kind, give an empty lexicon.
+    """
     sample = training_rows(docs, labels, "toxic", rows).cache()
     try:
         kinds = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -148,17 +164,22 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, purity: f
             counts = sample.mapInArrow(lambda batches: _tally(batches, items_of), "item string, bad long, good long")
             return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
-        least = max(4, bad // 33)
-        pure = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)
-        found = tallied(_features).filter((F.col("bad") >= least) & (pure >= purity)).orderBy(F.desc("bad"), "item").limit(most_terms).collect()
+        odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+        found = tallied(_features).filter(F.col("bad") >= least).withColumn("low", odds - z * error).filter(F.col("low") >= lift).select("item", "bad", "low").collect()
+        have = {r["item"]: r["bad"] for r in found if not r["item"].endswith(" ")}
+        # a beginning that stands for little but one longer beginning leaves the word to that
+        vague = {item[:n] for item, n_bad in have.items() for n in range(2, len(item)) if n_bad >= 0.95 * have.get(item[:n], math.inf)}
         terms: dict[str, float] = {}
-        for r in sorted(found, key=lambda r: (len(r["item"].strip()), r["item"])):
-            if not any(r["item"].startswith(t) for t in terms):
-                terms[r["item"]] = math.log((r["bad"] + 0.5) / (r["good"] + 0.5) * (good + 1) / (bad + 1))
+        for item, _, low in sorted(found, key=lambda r: (len(r["item"].strip()), r["item"])):
+            if item in vague:
+                continue
+            # a longer term says more than its beginning only if it weighs clearly more
+            if low > max((terms.get(item[:n], -1.0) for n in range(2, len(item))), default=-1.0) + 0.5:
+                terms[item] = low
         exceptions = []
         if terms:
-            harmless = tallied(_phrases([*terms])).filter("good >= 3 AND bad = 0").orderBy(F.desc("good"), "item").limit(most_terms)
-            exceptions = [r["item"] for r in harmless.collect()]
+            exceptions = sorted(r["item"] for r in tallied(_phrases([*terms])).filter("good >= 3 AND bad = 0").select("item").collect())
         lexicon = Lexicon(terms, exceptions)
 
         def densities(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
