@@ -39,7 +39,7 @@ STOP = (
 ).split()
 
 DUP_JACCARD, DUP_HAMMING, SOFT_JACCARD = 0.83, 3, 0.45
-RESURFACE_JUMP, SAMPLES_CAP = 15.0, 30
+RESURFACE_JUMP, SAMPLES_CAP, LEDGER_TEXT = 15.0, 30, 400
 WINDOW_DAYS, FLOOR, PRUNE_WEEKS, MIN_HISTORY_DAYS, PROPOSE_MIN, PRE_VIRAL_FAVES, NOISY_PULLS, NOISY_YIELD = 30, 0, 2, 7, 2, 500, 10, 0.1
 DRIFT_TAU, DRIFT_CHURN, BLOCK_TAU, BLOCK_CHURN = 0.25, 0.20, 0.6, 0.5
 PULSE_MAX_AGE_H, PULSE_CAP, PULSE_RETENTION_DAYS, HEAT_K = 72.0, 8, 14, 25.0

@@ -76,3 +76,44 @@ def pulse_rank(fresh_or_null: Column, heat: Column) -> Column:
 
 def outcome_reward(blocked: Column, pushed: Column, archived: Column, score: Column) -> Column:
     return clamp(F.when(blocked, 0.0).when(pushed, 1.0).when(archived, 0.6).otherwise(F.coalesce(score, F.lit(0.0)) / 100), 0, 1)
+
+
+def configured_weight(track: Column, weights: dict[str, float]) -> Column:
+    """A track's weight by its id, 1.0 for others."""
+    if not weights:
+        return F.lit(1.0)
+    known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
+    return F.coalesce(F.try_element_at(known, track), F.lit(1.0))
+
+
+def effective_track_weight(track: Column, weights: dict[str, float], explore: Column | None = None) -> Column:
+    """The configured weight, nudged by the bandit's exploration weight where there is one (null: none)."""
+    static = configured_weight(track, weights)
+    return static if explore is None else F.coalesce(F.round(static * explore, 6), static)
+
+
+def final_score_with(weights: tuple[float, ...], dims: list[Column], n_sources: Column, age: Column, velocity: Column, track_weight: Column, stage: Column) -> Column:
+    """The final score of the supply side under other weights, to compare rankings."""
+    track = 1 + (clamp(track_weight, 0.5, 1.5) - 1) * 0.5
+    return F.round(clamp(raw_score(dims, weights) * confidence(n_sources) * adjusted_freshness(age, velocity, F.lit("supply")) * track * stage_weight(stage), 0, 100), 4)
+
+
+def clamped_settings(scoring: dict, yields: dict) -> tuple[dict, dict]:
+    """Settings that may only tighten the shipped rails; what can't be read is as shipped."""
+
+    def number(value, default, better):
+        try:
+            return value if better(float(value), float(default)) else default
+        except (TypeError, ValueError):
+            return default
+
+    up, down = lambda v, d: v >= d, lambda v, d: v <= d
+    bars = {"min_independent_sources": K.MIN_SOURCES, "min_score_to_archive": K.ARCHIVE_BAR, "min_score_to_push": K.PUSH_BAR}
+    scoring = scoring | {k: number(scoring.get(k), d, up) for k, d in bars.items()}
+    scoring["min_independent_sources"] = int(float(scoring["min_independent_sources"]))
+    out = yields | {"floor": number(yields.get("floor", K.FLOOR), K.FLOOR, down)}
+    out["prune_after_weeks"] = number(yields.get("prune_after_weeks", K.PRUNE_WEEKS), K.PRUNE_WEEKS, up)
+    out["min_history_days"] = number(yields.get("min_history_days", K.MIN_HISTORY_DAYS), K.MIN_HISTORY_DAYS, up)
+    least = max(K.WINDOW_DAYS, 7 * int(float(out["prune_after_weeks"])))
+    out["window_days"] = number(yields.get("window_days", least), least, up)
+    return scoring, out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +26,17 @@ def entities(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(tokens(text)), 1, most)
 
 
+def slug(name: Column) -> Column:
+    """Trimmed and lower-cased, aliases folded; null is empty."""
+    alias = F.create_map(*[F.lit(x) for kv in K.ALIAS.items() for x in kv])
+    bare = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return F.coalesce(F.try_element_at(alias, bare), bare)
+
+
 def canonical_key(names: Column, track: Column) -> Column:
-    """Sorted distinct entities joined by | and the track; an empty list gives '::track'."""
-    return F.concat(F.concat_ws("|", F.array_sort(F.array_distinct(names))), F.lit("::"), track)
+    """Sorted distinct slugs of the entities joined by | and the slug of the track; an empty list gives '::track'."""
+    kept = F.filter(names, lambda e: e != "")
+    return F.concat(F.concat_ws("|", F.array_sort(F.array_distinct(F.transform(kept, slug)))), F.lit("::"), slug(track))
 
 
 def opportunity_id(key: Column) -> Column:
@@ -36,19 +48,34 @@ def hash64(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("long")
 
 
+def _majority(lists: pd.Series) -> np.ndarray:
+    """Majority votes of the token hashes of each list, as unsigned 64-bit numbers."""
+    known: dict[str, int] = {}
+    sizes = lists.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    codes = np.fromiter((known.setdefault(t, len(known)) for x in lists if x is not None for t in x), np.int64, int(sizes.sum()))
+    raw = b"".join(md5(t.encode("utf-8", "surrogatepass")).digest()[:8] for t in known)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
+    ends = np.cumsum(sizes)
+    out = np.zeros((len(lists), 64), bool)
+    for i, (end, n) in enumerate(zip(ends, sizes)):
+        if n:
+            tally = np.bincount(codes[end - n : end], minlength=0)
+            at = np.flatnonzero(tally)
+            out[i] = 2 * (tally[at] @ bits[at].astype(np.int64)) > n
+    return np.packbits(out, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
 def simhash64(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, simhash) by majority votes over every token occurrence; a text without tokens has 0.
+    """(id, simhash) of every row by majority votes over every token occurrence; a text without tokens has 0.
 
-    Tokens are counted a text at a time before their bits are, so the wide rows are few.
+    A row needs nothing but its own tokens, so nothing is shuffled: Arrow batches of tokens go in, a number a row comes out.
     """
-    counted = docs.select(id_col, F.explode_outer(tokens(text)).alias("t")).groupBy(id_col, "t").agg(F.count("t").alias("n"))
-    hashed = counted.withColumn("h", hash64(F.col("t")))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
-    bits = [F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    merged = bits[0]
-    for b in bits[1:]:
-        merged = merged.bitwiseOR(b)
-    return hashed.groupBy(id_col).agg(*votes).select(id_col, merged.alias("simhash"))
+
+    @F.pandas_udf("long")
+    def votes(lists: pd.Series) -> pd.Series:
+        return pd.Series(_majority(lists).view(np.int64))
+
+    return docs.select(id_col, votes(tokens(text)).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -95,9 +122,17 @@ def pulse_key(url: Column, title: Column) -> Column:
     return F.when(bare != "", F.concat(F.lit("u:"), bare)).when(name != "", F.concat(F.lit("t:"), name)).otherwise("")
 
 
+HANDLE = "^[A-Za-z0-9_]{1,15}$"
+
+
+def bare_handle(handle: Column) -> Column:
+    """Trimmed, one leading @ taken off."""
+    return F.regexp_replace(F.trim(handle), "^@", "")
+
+
 def handle_key(handle: Column) -> Column:
     """Trimmed, one leading @ taken off, lower-cased."""
-    return F.lower(F.regexp_replace(F.trim(handle), "^@", ""))
+    return F.lower(bare_handle(handle))
 
 
 def iso_week(ts: Column) -> Column:

@@ -33,17 +33,25 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, toks: str
     return a.join(b, "t").filter(sized).select("lid", "rid").distinct()
 
 
+def _strong_keys() -> Column:
+    """What two rows must share to agree strongly: a pair of entities, or an entity and the track."""
+    ends = F.array_sort(F.array_distinct("ents"))
+    pairs = F.flatten(F.transform(ends, lambda a, i: F.transform(F.slice(ends, i + 2, F.size(ends)), lambda b: F.concat_ws("|", F.lit("p"), a, b))))
+    return F.concat(pairs, F.transform(ends, lambda a: F.concat_ws("|", F.lit("t"), a, F.col("track"))))
+
+
 def soft_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     """(cand_id, row_pos, similarity): the best ledger row by token Jaccard, the last of equals.
 
     Both sides have columns ents (key entities), track, toks (at most 64 tokens) and simhash. A row matches
     with a Jaccard of DUP_JACCARD; or, if keys agree strongly and subjects agree, with near SimHashes or a Jaccard of
-    SOFT_JACCARD. The first case is found by prefix filtering, the others need a shared key entity; both are equi joins.
+    SOFT_JACCARD. The first case is found by prefix filtering. The others need two shared key entities, or one and the
+    track, so the sides meet on pairs of entities and on entities with their track: one frequent entity makes no pairs.
     """
     left = cands.select(F.col("cand_id").alias("lid"), "toks")
     right = ledger.filter(F.col("text") != "").select(F.col("pos").alias("rid"), "toks")
     alike = similar_pairs(left, right, K.DUP_JACCARD)
-    keyed = cands.select(F.col("cand_id").alias("lid"), F.explode("ents").alias("e")).join(ledger.filter(F.col("text") != "").select(F.col("pos").alias("rid"), F.explode("ents").alias("e")), "e").select("lid", "rid")
+    keyed = cands.select(F.col("cand_id").alias("lid"), F.explode(_strong_keys()).alias("e")).join(ledger.filter(F.col("text") != "").select(F.col("pos").alias("rid"), F.explode(_strong_keys()).alias("e")), "e").select("lid", "rid")
     pairs = alike.unionByName(keyed).distinct()
     c = cands.select(F.col("cand_id").alias("lid"), *[F.col(x).alias(f"c_{x}") for x in ("ents", "track", "toks", "simhash")])
     r = ledger.select(F.col("pos").alias("rid"), *[F.col(x).alias(f"r_{x}") for x in ("ents", "track", "toks", "simhash")])

@@ -24,14 +24,14 @@ def card_errors(track: Column, dims: dict[str, Column], score: Column, good_evid
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), name) for bad, name in rules]))
 
 
-def buckets(cards: DataFrame, errors: str = "errors", score: str = "final_score", side: str = "side", id_col: str = "id", most: int = K.MAX_PER_DAY) -> DataFrame:
+def buckets(cards: DataFrame, errors: str = "errors", score: str = "final_score", side: str = "side", id_col: str = "id", most: int = K.MAX_PER_DAY, pos: str | None = None) -> DataFrame:
     """cards with columns passed, archivable, pushable and bucket (pushable, digest_only, passed or blocked).
 
-    Pushable are the best `most` of those at the push bar, ties by id; a top-k, not a sort of all cards.
+    Pushable are the best `most` of those at the push bar, ties in the order of `pos` (the input order where it is given, else the id); a top-k, not a sort of all cards.
     """
     cards = cards.withColumn("passed", F.size(errors) == 0)
     bar = F.when(F.col(side) == "demand", K.DEMAND_BAR).otherwise(K.ARCHIVE_BAR)
     cards = cards.withColumn("archivable", F.col("passed") & (F.col(score) >= bar))
-    top = cards.filter(F.col("passed") & (F.col(score) >= K.PUSH_BAR)).orderBy(F.desc(score), id_col).limit(most).select(id_col, F.lit(True).alias("pushable"))
+    top = cards.filter(F.col("passed") & (F.col(score) >= K.PUSH_BAR)).orderBy(F.desc(score), pos or id_col).limit(most).select(id_col, F.lit(True).alias("pushable"))
     out = cards.join(F.broadcast(top), id_col, "left").withColumn("pushable", F.coalesce("pushable", F.lit(False)))
     return out.withColumn("bucket", F.when(F.col("pushable"), "pushable").when(F.col("archivable"), "digest_only").when(F.col("passed"), "passed").otherwise("blocked"))

@@ -83,6 +83,9 @@ def redact_text(text: str | None, order: tuple[str, ...] = CORE) -> tuple[str, d
     A value that repeats has one placeholder. With '*' a text in which nothing is found comes back as it was.
     """
     work, found, aside = _normal(text or ""), Counter(), []
+    frame = "\0"  # frames the numbers of what is set aside; a text that has it gets a longer one
+    while frame in work:
+        frame += "\0"
     numbers: dict[str, dict[str, int]] = {}
     for name in order:
         if name == "*":
@@ -91,7 +94,7 @@ def redact_text(text: str | None, order: tuple[str, ...] = CORE) -> tuple[str, d
 
                 def put_aside(m):
                     aside.append(m[0])
-                    return f"{chr(0xE100 + len(aside) - 1)}"
+                    return f"{frame}{len(aside) - 1}{frame}"
 
                 work = pattern.sub(put_aside, work)
             continue
@@ -106,20 +109,30 @@ def redact_text(text: str | None, order: tuple[str, ...] = CORE) -> tuple[str, d
             return f"[{kind}_{seen.setdefault(re.sub(strip, '', value) if strip else value, len(seen) + 1)}]"
 
         work = pattern.sub(replace, work)
-    for i, value in enumerate(aside):
-        work = work.replace(f"{chr(0xE100 + i)}", value)
+    if aside:
+        work = re.sub(f"{frame}(\\d+){frame}", lambda m: aside[int(m[1])], work)
     return (text or "" if "*" in order and not found else work), dict(found)
 
 
+#: What every rule needs some of: an @, a run of digits, colons, a link, a long token, or a character that normalising may change.
+MAY_HAVE = r"(?i)@|\d[\d\s().\-]{7,}\d|(?:\d{1,3}\.){3}\d|::|(?:[0-9a-f]{1,4}:){7}|https?://|discord|[a-z0-9_\-]{24}|[^\x00-\x7F\x{C0}-\x{131}]"
+
+
 def redact(text: Column, order: tuple[str, ...] = CORE) -> Column:
-    """struct<redacted, found> of redact_text(); sequential numbering is what keeps this in Python."""
+    """struct<redacted, found> of redact_text(); sequential numbering is what keeps this in Python.
+
+    Texts in which no rule can find anything don't go there: they come back as they are.
+    """
 
     @F.pandas_udf(REDACTED)
     def run(texts: pd.Series) -> pd.DataFrame:
-        out = [redact_text(t, order) for t in texts]
+        out = [("", {}) if t is None else redact_text(t, order) for t in texts]
         return pd.DataFrame({"redacted": [r for r, _ in out], "found": [f for _, f in out]})
 
-    return run(text)
+    text = F.coalesce(text, F.lit(""))
+    asked = text.rlike(MAY_HAVE)
+    done = run(F.when(asked, text))
+    return F.struct(F.when(asked, done["redacted"]).otherwise(text).alias("redacted"), done["found"].alias("found"))
 
 
 def has_pii(text: Column) -> Column:
@@ -144,26 +157,41 @@ _D = "[–—]"
 
 def fix_dashes(segment: Column) -> Column:
     """Spaced dashes become a comma, ASCII ranges 'A to B', what is left a comma by its place; table cells are for fix_table_row."""
-    s = F.regexp_replace(segment, rf"(?<=\S)[ \t]+{_D}+[ \t]+(?=\S)", ", ")
-    s = F.regexp_replace(s, rf"([A-Za-z0-9]){_D}([A-Za-z0-9])", "$1 to $2")
-    s = F.regexp_replace(s, rf"^[ \t]*{_D}+[ \t]+", "")
-    s = F.regexp_replace(s, rf"[ \t]*{_D}+[ \t]*$", ",")
+    s = F.regexp_replace(segment, rf"(?U)\s+{_D}+\s+", ", ")
+    s = F.regexp_replace(s, rf"([A-Za-z0-9]){_D}+([A-Za-z0-9])", "$1 to $2")
+    s = F.regexp_replace(s, rf"(?:[ \t]+{_D}+[ \t]*|{_D}+[ \t]+)(?=\r?\z)", ",")
+    s = F.regexp_replace(s, rf"\A[ \t]*{_D}+[ \t]+", "")
     s = F.regexp_replace(s, rf"[ \t]+{_D}+[ \t]*|{_D}+[ \t]+", ", ")
     return F.regexp_replace(s, rf"{_D}+", ",")
 
 
+def fix_line(line: Column) -> Column:
+    """A line of Markdown outside fences: its table cells, then its prose, without what stands in inline code."""
+    line = fix_table_row(line)
+    code = F.regexp_extract_all(line, F.lit("(`[^`]*`)"), 1)
+    prose = F.transform(F.split(line, "`[^`]*`"), fix_dashes)
+    return F.array_join(F.flatten(F.transform(prose, lambda p, i: F.array(p, F.coalesce(F.get(code, i), F.lit(""))))), "")
+
+
+def rewrite_dashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lineno, line) with the dashes of prose rewritten; fenced lines stay as they are."""
+    lines = lines_with_fences(docs, id_col, text_col)
+    return lines.select(id_col, "lineno", F.when(F.col("fenced"), F.col("line")).otherwise(fix_line(F.col("line"))).alias("line"))
+
+
 def fix_table_row(line: Column) -> Column:
     """In a pipe row a cell that is a dash says none, and one that opens with a dash opens with a hyphen."""
     row = line.rlike(r"^ {0,3}\|.*\|")
-    out = F.regexp_replace(line, rf"(?<=\|)[ \t]*{_D}+[ \t]*(?=\|)", " none ")
-    out = F.regexp_replace(out, rf"(?<=\|)([ \t]*){_D}+(?=[ \t]\S)", "$1-")
+    out = F.regexp_replace(line, rf"(?U)(?<=\|)\s*{_D}+\s*(?=\|)", " none ")
+    out = F.regexp_replace(out, rf"(?U)(?<=\|)\s*{_D}+\s*?(?=\r?\z)", " none")
+    out = F.regexp_replace(out, rf"(?U)(?<=\|)(\s*){_D}+(?=[ \t]\S)", "$1-")
     return F.when(row, out).otherwise(line)
 
 
 def lines_with_fences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lineno, line, fenced): a fence line and those up to the next one are code; the state is a running count."""
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("lineno", "line"))
-    mark = F.col("line").rlike(r"^\s*```").cast("int")
+    mark = F.col("line").rlike(r"^\s*(```|~~~)").cast("int")
     upto = F.sum(mark).over(Window.partitionBy(id_col).orderBy("lineno"))
     return lines.withColumn("fenced", (upto % 2 == 1) | (mark == 1))
 
@@ -172,10 +200,11 @@ def lines_with_fences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (id, shingle)."""
+    """Distinct (id, shingle), a shingle as its 64-bit hash."""
     words = docs.select(id_col, T.prose_words(F.col(text_col)).alias("words"))
     # explode_outer: explode would add a filter on the array, and so compute the words again for each shingle.
-    return words.select(id_col, F.explode_outer(T.shingles(F.col("words"))).alias("shingle")).filter("shingle IS NOT NULL").distinct()
+    # A shingle is known by 64 bits of its words from here on: an eighth of what its text would shuffle.
+    return words.select(id_col, F.explode_outer(F.transform(T.shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("shingle")).filter("shingle IS NOT NULL").distinct()
 
 
 def duplicate_share(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", ref_col: str = "item_id", text_col: str = "text") -> DataFrame:

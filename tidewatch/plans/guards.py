@@ -140,8 +140,7 @@ def q_fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_dash_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashes of prose and table lines rewritten; commas of the text stand for dashes, for the table has none."""
-    d = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.translate("text", ",", "—"), "\n")).alias("lineno", "line"))
-    return d.select("doc_id", "lineno", guards.fix_dashes(guards.fix_table_row(F.col("line"))).alias("line"))
+    return guards.rewrite_dashes(docs(spark, sf_dir).select("doc_id", F.translate("text", ",", "—").alias("text")))
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_full_match(trim(url), 'https?://[^\s<>]+') THEN trim(url) ELSE '' END AS clean FROM pages")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +23,9 @@ _HEAD = f"SELECT doc_id, text, source, {_TOKENS} AS toks FROM documents"
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their key entities (of the first 400 characters), track and key."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 400).alias("text"))
-    ents = T.entities(F.col("text"), 8)
-    return d.select("doc_id", "source", "text", ents.alias("ents"), T.entities(F.col("text"), 64).alias("toks"), F.col("source").alias("track")).withColumn("canonical_key", T.canonical_key(F.col("ents"), F.col("track")))
+    """Documents with their key entities, first 64 tokens, track and key, all of the whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("toks", T.entities(F.col("text"), 64))
+    return d.select("doc_id", "source", "text", F.slice("toks", 1, 8).alias("ents"), "toks", F.col("source").alias("track")).withColumn("canonical_key", T.canonical_key(F.col("ents"), F.col("track")))
 
 
 @query(f"SELECT doc_id, array_to_string({_DISTINCT}[1:8], ' ') AS entities, len(toks) AS n_tokens FROM ({_HEAD})")
@@ -37,7 +35,7 @@ def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.slice(F.array_distinct("toks"), 1, 8), " ").alias("entities"), F.size("toks").cast("long").alias("n_tokens"))
 
 
-@query(f"SELECT doc_id, k AS canonical_key, 'op-' || left(sha1(k), 16) AS opportunity_id FROM (SELECT doc_id, array_to_string(list_sort({_DISTINCT}[1:8]), '|') || '::' || source AS k FROM ({_HEAD.replace('lower(text)', 'lower(left(text, 400))')}))")
+@query(f"SELECT doc_id, k AS canonical_key, 'op-' || left(sha1(k), 16) AS opportunity_id FROM (SELECT doc_id, array_to_string(list_sort({_DISTINCT}[1:8]), '|') || '::' || lower(trim(source)) AS k FROM ({_HEAD}))")
 def q_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content key and opportunity id of each document."""
     return keyed(spark, sf_dir).select("doc_id", "canonical_key", T.opportunity_id(F.col("canonical_key")).alias("opportunity_id"))
@@ -55,17 +53,22 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates, ledger) with entities, tokens, keys and SimHashes of the first 400 characters."""
+    """(candidates, ledger) with entities, keys and SimHashes of whole texts.
+
+    A ledger row stores the first 400 characters of its text (K.LEDGER_TEXT), and its tokens are those of what it stores;
+    a candidate's are those of its whole text.
+    """
     d = keyed(spark, sf_dir)
-    # Kept, for the match reads either side several times; a lost block is computed anew.
-    hashed = d.join(T.simhash64(d, "doc_id", F.col("text")), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return hashed.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "cand_id"), hashed.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "pos")
+    hashed = d.join(T.simhash64(d, "doc_id", F.col("text")), "doc_id")
+    cands = hashed.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "cand_id").drop("text")
+    stored = F.substring("text", 1, K.LEDGER_TEXT)
+    ledger = hashed.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "pos").withColumn("text", stored).withColumn("toks", T.entities(F.col("text"), 64))
+    return cands, ledger
 
 
-_KEYED = f"SELECT doc_id, source, toks, {_DISTINCT}[1:8] AS ents, {_DISTINCT}[1:64] AS top FROM ({_HEAD.replace('lower(text)', 'lower(left(text, 400))')})"
-_SIM400 = _SIM.replace("lower(text)", "lower(left(text, 400))")
+_KEYED = f"SELECT a.doc_id, a.source, {_DISTINCT}[1:8] AS ents, CASE WHEN a.doc_id % 2 = 1 THEN {_DISTINCT}[1:64] ELSE list_filter(stored, lambda x, i: list_position(stored, x) = i)[1:64] END AS top FROM ({_HEAD}) a JOIN (SELECT doc_id, toks AS stored FROM ({_HEAD.replace('lower(text)', 'lower(left(text, 400))')})) USING (doc_id)"
 _MATCH = f"""
-WITH k AS (SELECT k.*, array_to_string(list_sort(ents), '|') || '::' || source AS ckey, coalesce(h, 0::UBIGINT) AS h FROM ({_KEYED}) k LEFT JOIN ({_SIM400}) USING (doc_id)),
+WITH k AS (SELECT k.*, array_to_string(list_sort(ents), '|') || '::' || lower(trim(source)) AS ckey, coalesce(h, 0::UBIGINT) AS h FROM ({_KEYED}) k LEFT JOIN ({_SIM}) USING (doc_id)),
 c AS (SELECT * FROM k WHERE doc_id % 2 = 1), r AS (SELECT * FROM k WHERE doc_id % 2 = 0),
 exact AS (SELECT c.doc_id AS cand_id, min(r.doc_id) AS row_pos FROM c JOIN r USING (ckey) GROUP BY ALL),
 p AS (SELECT c.doc_id AS cand_id, r.doc_id AS row_pos, len(list_intersect(c.ents, r.ents)) AS shared, c.source = r.source AS same_track, bit_count(xor(c.h, r.h)) AS ham, r.h AS rh,

@@ -41,12 +41,12 @@ def resurfacing(cards: DataFrame, jump: float = 15.0, ttl_ms: int = 14 * 86_400_
             return
         last, seen = state.get if state.exists else (None, 0)
         rows = []
-        for pdf in frames:
-            for score, ts in zip(pdf["score"], pdf["ts"]):
-                branch = "NEW" if last is None else "RESURFACE" if abs(score - last) >= jump else "SUPPRESS"
-                rows.append((key[0], branch, score))
-                last = last if branch == "SUPPRESS" else float(score)
-                seen = max(seen, int(ts.timestamp() * 1000))
+        # a key's few cards of a batch, by time: they come in the order in which they were shuffled
+        for ts, score in sorted((ts, score) for pdf in frames for ts, score in zip(pdf["ts"], pdf["score"])):
+            branch = "NEW" if last is None else "RESURFACE" if abs(score - last) >= jump else "SUPPRESS"
+            rows.append((key[0], branch, score))
+            last = last if branch == "SUPPRESS" else float(score)
+            seen = max(seen, int(ts.timestamp() * 1000))
         state.update((last, seen))
         state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(rows, columns=["canonical_key", "branch", "score"])
