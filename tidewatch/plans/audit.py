@@ -91,7 +91,7 @@ def q_record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHTS = {"machinery": 1.2, "building": 0.8}
 
 
-@query("SELECT c_custkey AS id, CASE lower(c_mktsegment) WHEN 'machinery' THEN 1.2 WHEN 'building' THEN 0.8 ELSE 1.0 END * CASE WHEN c_custkey % 2 = 0 THEN 1.25 ELSE 1 END AS weight FROM customer")
+@query("SELECT c_custkey AS id, round(CAST(CASE lower(c_mktsegment) WHEN 'machinery' THEN 1.2 WHEN 'building' THEN 0.8 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN c_custkey % 2 = 0 THEN 1.25 ELSE 1 END AS DOUBLE), 6) AS weight FROM customer")
 def q_track_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configured weight of each track, nudged where the bandit has drawn."""
     weight = S.effective_track_weight(F.lower("c_mktsegment"), _WEIGHTS, F.when(F.col("c_custkey") % 2 == 0, F.lit(1.25)))
@@ -107,7 +107,7 @@ def q_show_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", evidence.truncated(F.col("text"), 200).alias("summary"), evidence.cell(F.col("text")).alias("cell"))
 
 
-@query("SELECT min(name) AS track, 2.0 AS theta FROM (SELECT lower(c_mktsegment) AS name FROM customer)")
+@query("SELECT min(name) AS track, CAST(2.0 AS DOUBLE) AS theta FROM (SELECT lower(c_mktsegment) AS name FROM customer)")
 def q_best_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arm with the greatest draw; all tie here, so the first name."""
     return bandit.best_track(table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("track"), F.lit(2.0).alias("theta")).distinct())
