@@ -102,6 +102,23 @@ def test_licenses(spark):
     assert 0.8 <= got[4, "mit-grant"]["containment"] < 1
 
 
+def test_licenses_edited_copies(spark):
+    """Of every template a whole copy and one with every fiftieth word changed, in the midst of other words."""
+    filler, rows, want = " ".join(f"f{i}" for i in range(60)), [], set()
+    for n, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        words = text.split()
+        rows.append((2 * n, f"{filler} {text} {filler}"))
+        want.add((2 * n, name))
+        if len(words) >= 60:  # a changed word takes five shingles
+            words[::50] = ["changed"] * len(words[::50])
+            rows.append((2 * n + 1, f"{filler} {' '.join(words)} {filler}"))
+            want.add((2 * n + 1, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["template"]) for r in licenses.license_matches(df).collect()}
+    assert want <= got
+    assert licenses.license_matches(df.limit(0)).collect() == []
+
+
 def test_licenses_against_brute_force(spark, small):
     got = {(r["doc_id"], r["license"]) for r in queries.op5_license_scan(spark, small).collect()}
     want = set()
