@@ -82,7 +82,7 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, tie: Colum
     """df with column `shard` (0 to shards - 1): the leaf of each row in a k-d tree of even weights.
 
     `dims` and `tie` must be equal for rows that have to stay together. `shards` is a power of two.
-    Null dimensions count as 0. An empty table stays empty.
+    Null dimensions count as 0. An empty table stays empty; repeated rows share a shard; a column `shard` gives way.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -113,7 +113,7 @@ def shards_for(df: DataFrame, weight: Column, target_bytes: int) -> int:
 
 
 def with_slots(df: DataFrame, id_col: str, bucket_rows: int = 20_000) -> DataFrame:
-    """df with column `slot`: a gapless number from 0 within each shard.
+    """df, which has columns shard and text_crc32, with column `slot` in place of one it has: a gapless number from 0 within each shard.
 
     Rows of a shard are dealt to buckets by hash; a bucket starts where those before it end, so no task
     numbers a whole shard.
