@@ -216,6 +216,17 @@ def duplicate_share(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", re
     return out.withColumn("dup_pct", F.round(100 * F.col("n_dup") / F.greatest("n_shingles", F.lit(1)), 2))
 
 
+def top_offenders(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", ref_col: str = "item_id", text_col: str = "text", most: int = 5) -> DataFrame:
+    """(id, ref, n): the `most` references that share the most distinct shingles with a document, ties by the greater id.
+
+    A report of the top few by definition; what is counted for it covers all shingles of all references.
+    """
+    own, known = shingle_rows(docs, id_col, text_col), shingle_rows(refs, ref_col, text_col)
+    shared = own.join(known, "shingle").groupBy(id_col, ref_col).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), F.desc(ref_col)))
+    return shared.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+
+
 def shared_first_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12) -> DataFrame:
     """(a, b, n): pairs of documents that own many shingles together; of each shingle the two least owners count."""
     rows = shingle_rows(docs, id_col, text_col)

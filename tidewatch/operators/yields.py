@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,34 @@ def identity_flags(roster: DataFrame, sweep: DataFrame) -> DataFrame:
     return seen.withColumn("flag", F.when(dead, "dead").when(drift, "drift")).filter("flag IS NOT NULL").select("name", "flag")
 
 
+def report(roster: DataFrame, evidence: DataFrame, pulls: DataFrame, now: Column, sweep: DataFrame | None = None, apply: bool = False, floor: int = K.FLOOR, pre_viral: float = K.PRE_VIRAL_FAVES) -> DataFrame:
+    """(section, name): the week's prune, disabled, propose_add, suggest_filters, drift and dead names.
+
+    Nothing is pruned before the records go back MIN_HISTORY_DAYS; names with an early find in the window are spared.
+    With `apply` the pruned names count as disabled too. Nothing is ever added to the roster. Names are handles.
+    """
+    start = now - F.expr(f"INTERVAL {K.WINDOW_DAYS} DAYS")
+    found, pulled = evidence.filter("kind = 'handle'"), pulls.filter("kind = 'handle'")
+    inside = found.filter(window_of(F.col("ts"), start, now))
+    spared = inside.filter(F.col("faves") < pre_viral).select("name").distinct()
+    oldest = evidence.select("ts").unionByName(pulls.select("ts")).agg(F.min("ts").alias("oldest"))
+    warm = oldest.filter(F.unix_micros(now) - F.unix_micros("oldest") >= K.MIN_HISTORY_DAYS * 86_400_000_000).select(F.lit(True).alias("warm"))
+    out = prune(roster, weekly(pulled, found, now, K.PRUNE_WEEKS), spared, floor).select("name").join(F.broadcast(warm), how="cross").select("name")  # warm: at most one row
+    off = roster.filter(~F.col("enabled")).select("name")
+    ratio = ratios(numerator(found, start, now), denominator(pulled, start, now))
+    parts = {"prune": out, "disabled": off.union(out) if apply else off, "propose_add": propose(inside, roster), "suggest_filters": suggest_filters(ratio, roster)}
+    rows = [d.select(F.lit(section).alias("section"), F.col("name").cast("string")) for section, d in parts.items()]
+    if sweep is not None:
+        rows.append(identity_flags(roster, sweep).select(F.col("flag").alias("section"), F.col("name").cast("string")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def marked_once(markers: DataFrame, runs: DataFrame) -> DataFrame:
+    """markers (label, at) with a row for each label of `runs` that had none; a label marked before stays as it was."""
+    fresh = runs.groupBy("label").agg(F.min("at").alias("at")).join(markers.select("label"), "label", "left_anti")
+    return markers.select("label", "at").unionByName(fresh.select("label", "at"))
+
+
 def missed_dates(last: Column, today: Column, most: int = 30) -> Column:
     """The days after `last` up to today, the newest `most`; none if last is today or later."""
     first = F.greatest(F.date_add(last, 1), F.date_sub(today, most - 1))

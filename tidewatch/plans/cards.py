@@ -215,3 +215,17 @@ def q_label_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels")
     joined = d.join(lab.withColumn("has", F.lit(1)), "doc_id", "left")
     return joined.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.count("has").alias("n_labelled"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.coalesce(F.sum("quality"), F.lit(0)).alias("n_good"))
+
+
+_CONFIG = """'{"yield":{"floor":' || (c_custkey % 2) || ',"prune_after_weeks":' || (1 + c_custkey % 8) || ',"min_history_days":' || CASE WHEN c_custkey % 5 = 0 THEN '"x"' ELSE CAST(c_custkey % 10 AS STRING) END || ',"window_days":' || (20 + c_custkey % 40) || '},"sources":{"twitterapi":{"min_faves_rostered":' || (c_custkey % 700) || '},"forum":{"keep_nodes":' || CASE WHEN c_custkey % 3 = 0 THEN '"geek"' ELSE '["geek"]' END || '}}}'"""
+
+
+@query("""
+SELECT c_custkey AS id, array_to_string(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'yield.min_history_days no number' END, CASE WHEN c_custkey % 2 > 0 THEN 'yield.floor clamped' END, CASE WHEN 1 + c_custkey % 8 < 2 THEN 'yield.prune_after_weeks clamped' END,
+  CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 10 < 7 THEN 'yield.min_history_days clamped' END, CASE WHEN 20 + c_custkey % 40 < greatest(30, 7 * greatest(2, 1 + c_custkey % 8)) THEN 'yield.window_days clamped' END,
+  CASE WHEN c_custkey % 700 > 500 THEN 'min_faves_rostered clamped' END, CASE WHEN c_custkey % 3 = 0 THEN 'forum.keep_nodes no list of strings' END], lambda e: e IS NOT NULL), '; ') AS errors FROM customer
+""")
+def q_setting_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each of many configurations."""
+    configs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_CONFIG).alias("config"))
+    return configs.select("id", F.array_join(gate.setting_errors(F.col("config")), "; ").alias("errors"))

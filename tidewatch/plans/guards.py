@@ -86,6 +86,12 @@ def q_cross_doc_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.shared_first_owners(docs(spark, sf_dir))
 
 
+@query("WITH d AS (" + _shingles(id="doc_id", table="documents") + "), b AS (" + _shingles(id="item_id", table="benchmark") + "), n AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN b USING (s) GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id DESC) <= 5")
+def q_top_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five benchmark items that share the most shingles with each document."""
+    return guards.top_offenders(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("""
 SELECT d.doc_id, kind, domain, CASE WHEN kind = 'secret' THEN 'BLOCK' WHEN kind = 'linkage' AND domain = 'history' THEN 'DEBT' WHEN kind = 'linkage' THEN 'BLOCK' ELSE 'WARN' END AS severity FROM
 (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'secret' WHEN 1 THEN 'linkage' ELSE 'derived' END AS kind, CASE WHEN l.doc_id IS NULL THEN 'history' ELSE 'tree' END AS domain FROM documents d LEFT JOIN labels l USING (doc_id)) d

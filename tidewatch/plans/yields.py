@@ -139,6 +139,33 @@ def q_missed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("user_id").alias("name"), days.alias("d")).select("name", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
+_SECTIONS = f"""
+WITH ev AS ({_EV}), dead AS (SELECT name FROM ({_WEEKLY}) WHERE week < 2 GROUP BY name HAVING bool_and(pulls >= 1 AND contributions <= 1)),
+p AS (SELECT c_custkey AS name FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT name FROM dead) AND c_custkey NOT IN (SELECT name FROM ev WHERE value < 1)),
+n AS (SELECT name, count(DISTINCT opp_id) AS c FROM ev GROUP BY ALL), d AS (SELECT user_id AS name, count(*) AS pulls FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT 'prune' AS section, name::VARCHAR AS name FROM p UNION ALL SELECT 'disabled', name::VARCHAR FROM p UNION ALL SELECT 'disabled', c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'propose_add', name::VARCHAR FROM n WHERE c >= 2 AND name NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'suggest_filters', name::VARCHAR FROM n JOIN d USING (name) JOIN customer ON c_custkey = name WHERE c_custkey % 2 = 1 AND pulls >= 10 AND round(c / pulls, 6) < 0.1
+UNION ALL SELECT 'dead', c_custkey::VARCHAR FROM customer WHERE c_custkey % 7 = 0"""
+
+
+@query(_SECTIONS)
+def q_yield_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly report with its pruning applied; a seventh of the customers were swept and not found."""
+    e, key = events(spark, sf_dir), F.col("c_custkey")
+    roster = table(spark, sf_dir, "customer").select(key.alias("name"), (F.col("c_acctbal") >= 0).alias("enabled"), F.when(key % 2 == 0, "ai").alias("topic_filter"))
+    sweep = roster.filter("name % 7 = 0").select("name", F.lit(None).cast("string").alias("found_name"), F.lit(0).alias("posts"))
+    return yields.report(roster, evidence(e), pulls(e), day(NOW), sweep, apply=True, floor=1, pre_viral=1)
+
+
+@query("SELECT isoyear(ts)::VARCHAR || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS label, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at FROM events GROUP BY ALL")
+def q_run_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One marker for each ISO week, however often its run is repeated; all runs come after those of half a month."""
+    runs = events(spark, sf_dir).select(T.iso_week(F.col("ts")).alias("label"), F.col("ts").alias("at"))
+    early = yields.marked_once(runs.limit(0), runs.filter(F.col("at") < day("2024-01-16")))
+    return yields.marked_once(early, runs).select("label", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("SELECT isoyear(ts)::VARCHAR || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS iso_week, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def q_iso_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by ISO week."""
