@@ -70,10 +70,12 @@ def _splits(points: DataFrame, dims: list[str]) -> dict[int, tuple[str, float, f
     weight = {}
     for shift in (54, 44, 34, 24, 14, 4, 0):
         inside = tied.filter(F.col("tie").between(_by_node(first), _by_node(last)))
-        counts = inside.groupBy("node", F.shiftright("tie", shift).alias("bin")).agg(F.sum("weight").alias("w"))
-        for n, p in _reached(counts, {n: half[n] - below[n] for n in dim}, []).items():
+        counts = inside.groupBy("node", F.shiftright("tie", shift).alias("bin")).agg(F.sum("weight").alias("w"), F.min("tie").alias("a"), F.max("tie").alias("b"))
+        for n, p in _reached(counts, {n: half[n] - below[n] for n in dim}, ["a", "b"]).items():
             below[n] += p["upto"] - p["w"]
-            first[n], last[n], weight[n] = p["bin"] << shift, (p["bin"] << shift) + (1 << shift) - 1, p["w"]
+            first[n], last[n], weight[n] = p["a"], p["b"], p["w"]
+        if first == last:
+            break
     # The median's own point goes to the side that leaves the halves nearer.
     return {n: (dim[n], lo[n], hi[n], first[n] if weight[n] <= 2 * (half[n] - below[n]) else first[n] - 1) for n in dim}
 
