@@ -149,6 +149,18 @@ def test_feeds(spark):
     assert got[0]["category"] == "python" and got[0]["heat"] == 3.0 and got[1]["ts"] is None
 
 
+def test_timeline_pages_of_the_last_response(spark):
+    import json
+
+    post = lambda i: {"id": str(i), "text": "x", "likeCount": 9, "createdAt": "2024-02-01T00:00:00Z"}
+    body = lambda *ids: json.dumps({"tweets": [post(i) for i in ids]})
+    roster = spark.createDataFrame([("A", "t", 1, True, None), ("b", "t", 1, True, None)], "handle string, track string, tier int, enabled boolean, topic_filter string")
+    responses = spark.createDataFrame([("@a", body(1), 0), ("a", body(2, 3), 1), ("A", body(4), 1), ("b", None, None)], "handle string, body string, pos int")
+    signals, pulls = feeds.collect_timelines(roster, responses, F.lit("2024-01-01").cast("timestamp"))
+    assert signals.count() == 3
+    assert {tuple(r) for r in pulls.collect()} == {("a", 3, 3), ("b", 0, 0)}
+
+
 def test_sinks(spark, tmp_path):
     cards = spark.createDataFrame([("k1", T0, True), ("k2", T0, False)], "canonical_key string, last_seen timestamp, passed boolean")
     sinks.append_archive(cards, str(tmp_path / "a"), dry_run=True)

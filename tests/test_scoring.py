@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring as S
@@ -84,3 +85,18 @@ def test_drift(spark):
     assert drift.rank_drift(same).first()["verdict"] == "auto_pass"
     row = drift.rank_drift(back).first()
     assert row["tau"] == 1.0 and row["verdict"] == "block"
+
+
+@pytest.mark.parametrize("bucket_rows", [5, 40, 1000])
+def test_ranks_and_discordant_pairs_against_brute_force(spark, bucket_rows):
+    rows = [(i, float(i * 37 % 11), float(i * 53 % 17)) for i in range(97)] + [(97, None, 3.0), (98, float("nan"), None)]
+    r = drift.ranked(spark.createDataFrame(rows, "id long, a double, b double"), bucket_rows=bucket_rows)
+    got = {x["id"]: (x["ra"], x["rb"]) for x in r.collect()}
+    key = lambda v: float("inf") if v is None or v != v else -v
+    for at in (1, 2):
+        want = sorted(rows, key=lambda x: (key(x[at]), str(x[0])))
+        assert [got[x[0]][at - 1] for x in want] == [*range(1, 100)]
+    bad = sum(p < q and s > t for p, s in got.values() for q, t in got.values())
+    assert drift.discordant(r).first()["n"] == bad
+    assert drift.discordant(r, block=7).first()["n"] == bad
+    assert drift.discordant(r.limit(0)).first()["n"] == 0

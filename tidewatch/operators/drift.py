@@ -8,41 +8,77 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed as K
 
+BUCKET_ROWS = 1 << 20
+SAMPLES = 32
 
-def ranked(scores: DataFrame) -> DataFrame:
-    """(id, ra, rb): positions by either score, ties by the id as text. One ordering for the whole set, so the set
-    must be a batch of cards, which is what a weight change is judged on."""
-    key = F.col("id").cast("string")
-    return scores.select("id", "a", "b", F.row_number().over(Window.orderBy(F.desc("a"), key)).alias("ra"), F.row_number().over(Window.orderBy(F.desc("b"), key)).alias("rb"))
 
+def _placed(cards: DataFrame, score: str, out: str, n: int, bucket_rows: int) -> DataFrame:
+    """cards with column `out`: the place of each by falling score, ties by `key`.
 
-def discordant(ranks: DataFrame, blocks: int = 64) -> DataFrame:
-    """One row (n): pairs ordered one way by ra and the other by rb, by counting block pairs of positions.
+    Cards are dealt to ranges of (score, key) of about `bucket_rows`, numbered within each, and a range starts where those
+    before it end. The bounds of the ranges come from a sample by hash; any bounds give the same places.
+    """
+    ranges = -(-n // bucket_rows)
+    order = [F.desc(score), F.col("key")]
+    if ranges < 2:
+        return cards.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    step = max(1, n // (SAMPLES * ranges))
+    some = cards.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select(score, "key").collect()  # about SAMPLES a range
+    bounds = sorted(((r[score], r["key"]) for r in some), key=lambda b: (-b[0], b[1]))[SAMPLES::SAMPLES]
+    listed = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s, k in bounds])
+    first = lambda b: (b["s"] > F.col(score)) | ((b["s"] == F.col(score)) & (b["k"] <= F.col("key")))
+    dealt = cards.withColumn("__range", F.size(F.filter(listed, first)) if bounds else F.lit(0))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
+def ranked(scores: DataFrame, n: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, a, b, ra, rb): positions by either score, ties by the id as text; a score that is missing or no number comes last.
+
+    `n` is the number of rows, counted here if it is not given.
+    """
+    n = scores.count() if n is None else n
+    last = F.lit(float("-inf"))
+    score = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), last), last)
+    cards = scores.select("id", "a", "b", score("a").alias("__a"), score("b").alias("__b"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"))
+    placed = _placed(_placed(cards, "__a", "ra", n, bucket_rows), "__b", "rb", n, bucket_rows)
+    return placed.select("id", "a", "b", "ra", "rb")
+
+
+def discordant(ranks: DataFrame, n: int | None = None, block: int = 1 << 17) -> DataFrame:
+    """One row (n): pairs ordered one way by ra and the other by rb, counted as a merge sort would, level by level.
 
-    A block of ra against a block of rb before it contributes the product of counts; only pairs inside a shared
-    block are compared one by one.
+    On each level, two cards meet whose positions by ra differ in that bit but in none above it; of those, the later ones
+    that rb puts first are counted by a running sum over rb. A running sum covers at most `block` cards; what lies in
+    earlier blocks is added from their counts. Rows grow as n log n, no pair is formed.
     """
-    n = ranks.agg(F.max("ra").alias("n")).first()["n"] or 0
-    size = max(1, -(-n // blocks))
-    r = ranks.select("ra", "rb", F.floor((F.col("ra") - 1) / size).alias("ba"), F.floor((F.col("rb") - 1) / size).alias("bb"))
-    cells = r.groupBy("ba", "bb").agg(F.count("*").alias("c"))  # at most blocks * blocks rows
-    far = cells.alias("x").join(cells.alias("y"), (F.col("x.ba") < F.col("y.ba")) & (F.col("x.bb") > F.col("y.bb"))).agg(F.coalesce(F.sum(F.col("x.c") * F.col("y.c")), F.lit(0)).alias("n"))
-    same_a = r.alias("x").join(r.alias("y"), (F.col("x.ba") == F.col("y.ba")) & (F.col("x.ra") < F.col("y.ra")) & (F.col("x.rb") > F.col("y.rb"))).agg(F.count("*").alias("n"))
-    same_b = r.alias("x").join(r.alias("y"), (F.col("x.bb") == F.col("y.bb")) & (F.col("x.ba") < F.col("y.ba")) & (F.col("x.rb") > F.col("y.rb"))).agg(F.count("*").alias("n"))
-    return far.unionByName(same_a).unionByName(same_b).agg(F.sum("n").alias("n"))
+    n = ranks.count() if n is None else n
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, n.bit_length() - 1))))
+    rows = ranks.select((F.col("ra") - 1).alias("p"), "rb", levels.alias("level"))
+    rows = rows.select("level", F.expr("shiftright(p, level + 1)").alias("node"), F.expr("shiftright(p, level) & 1").alias("late"), "rb", F.floor((F.col("rb") - 1) / block).alias("block"))
+    passed = F.sum("late").over(Window.partitionBy("level", "node", "block").orderBy("rb").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.sum(F.when(F.col("late") == 0, F.col("passed")).otherwise(0))
+    blocks = rows.withColumn("passed", passed).groupBy("level", "node", "block").agg(inside.alias("inside"), F.sum("late").alias("late"), F.count_if(F.col("late") == 0).alias("early"))
+    before = F.sum("late").over(Window.partitionBy("level", "node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    pairs = F.col("inside") + F.col("early") * F.coalesce("before", F.lit(0))
+    return blocks.withColumn("before", before).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("n"))
 
 
 def rank_drift(scores: DataFrame, push_bar: float = K.PUSH_BAR) -> DataFrame:
     """One row: n, tau (normalised Kendall distance), max_shift, push_churn, top_churn and the verdict on the change."""
-    r = ranked(scores)
-    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
-    n = r.agg(F.count("*").alias("n"), F.coalesce(F.max(F.abs(F.col("ra") - F.col("rb"))), F.lit(0)).alias("max_shift"))
-    flips = r.crossJoin(F.broadcast(n.select("n"))).agg(
+    n = scores.count()
+    r = ranked(scores, n)
+    half = max(1, n // 2)
+    out = r.agg(
+        F.lit(n).cast("long").alias("n"),
+        F.coalesce(F.max(F.abs(F.col("ra") - F.col("rb"))), F.lit(0)).alias("max_shift"),
         F.count_if((F.col("a") >= push_bar) != (F.col("b") >= push_bar)).alias("flipped"),
         F.count_if((F.col("a") >= push_bar) | (F.col("b") >= push_bar)).alias("either"),
         F.count_if((F.col("ra") <= half) & (F.col("rb") > half)).alias("left_top"),
-    )
-    out = n.crossJoin(flips).crossJoin(discordant(r).select(F.col("n").alias("bad")))
+    ).crossJoin(discordant(r, n).select(F.col("n").alias("bad")))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     tau = F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("bad") / F.nullif(pairs, F.lit(0.0)), 6))
     churn = F.round(F.col("flipped") / F.greatest(F.col("either"), F.lit(1)), 6)

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import fixed as K
+from tidewatch.functions import scoring as S
+from tidewatch.operators import origins
 from tidewatch.plans.catalog import query, table
 from tidewatch.sources import feeds
 
+PAGE = 4096
+
 
 @query("SELECT page_id, regexp_matches(html, '(?i)^\\s*<!DOCTYPE') AS rejected FROM pages")
 def q_doctype_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +25,14 @@ SELECT 'x.com/c' || user_id AS origin, count(*) AS n, round(sum(value), 4) AS fa
 WHERE ts >= '2024-01-10' AND value >= 5 AND (c_custkey % 2 = 1 OR event_type = 'purchase') GROUP BY ALL
 """)
 def q_timeline_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of rostered handles from raw timeline JSON that is made of events: freshness, engagement and topic filters."""
+    """Signals of rostered handles from raw timeline JSON that is made of events: freshness, engagement and topic filters.
+
+    A page of a timeline holds the events of one user among PAGE consecutive ones, so no user makes a large row.
+    """
     e = table(spark, sf_dir, "events")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     post = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.col("value").alias("likeCount"), stamp.alias("createdAt"))
-    raw = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(post).alias("tweets"))).alias("body"))
+    raw = e.groupBy("user_id", F.floor(F.col("event_id") / PAGE).alias("page")).agg(F.to_json(F.struct(F.collect_list(post).alias("tweets"))).alias("body"))
     responses = raw.select(F.concat(F.lit("@C"), "user_id").alias("handle"), "body", F.lit(0).alias("pos"))
     roster = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c"), "c_custkey").alias("handle"), F.col("c_mktsegment").alias("track"), F.lit(1).alias("tier"), (F.col("c_acctbal") >= 0).alias("enabled"),
@@ -32,3 +40,43 @@ def q_timeline_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     signals, _ = feeds.collect_timelines(roster, responses, F.lit("2024-01-10").cast("timestamp"), 5)
     return signals.groupBy("origin").agg(F.count("*").alias("n"), F.round(F.sum("faves"), 4).alias("faves"))
+
+
+@query("""
+SELECT 'forum' AS origin, event_type AS category, count(*) AS n, sum(user_id)::DOUBLE AS heat, NULL AS first_url FROM events WHERE ts >= '2024-01-10' AND event_type IN ('purchase', 'view') GROUP BY ALL
+UNION ALL SELECT 'news', 'C' || page_id % 3, count(*), NULL, min(url) FROM pages WHERE page_id >= 12 AND page_id % 7 <> 0 AND page_id % 3 <> 1 GROUP BY ALL
+""")
+def q_community_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of two community lanes by category: a forum's JSON made of events, and RSS made of pages, some with a DOCTYPE."""
+    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
+    topic = F.struct(
+        F.col("event_id").alias("id"), F.lit("t").alias("title"), F.lit("").alias("url"), F.col("user_id").alias("replies"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("created"),
+        F.struct(F.col("event_type").alias("name")).alias("node"),
+    )
+    forum = feeds.parse_topics(e.groupBy(F.floor(F.col("event_id") / PAGE)).agg(F.to_json(F.collect_list(topic)).alias("body")))
+    hour = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("page_id") * 3600), "EEE, dd MMM yyyy HH:mm:ss")
+    prolog = F.when(F.col("page_id") % 7 == 0, "<!DOCTYPE rss>").otherwise("")
+    link = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>t</title><link>"), link, F.lit("</link><category>C"), F.col("page_id") % 3, F.lit("</category><pubDate>"), hour, F.lit(" GMT</pubDate></item>"))
+    news = feeds.parse_rss(p.select(F.concat(prolog, F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("body")))
+    topics, _ = feeds.collect_community(forum, "forum", F.lit("2024-01-10").cast("timestamp"), keep=["Purchase", "view"])
+    items, _ = feeds.collect_community(news, "news", F.lit("2024-01-01 12:00:00").cast("timestamp"), drop=["c1"])
+    both = feeds.union_lanes([topics, items])
+    return both.groupBy("origin", "category").agg(F.count("*").alias("n"), F.sum("heat").alias("heat"), F.min(F.nullif("url", F.lit(""))).alias("first_url"))
+
+
+_FORUM = K.COMMUNITY_SOURCES[0]
+
+
+@query(f"""
+SELECT event_id, floor(age)::BIGINT AS age, CASE WHEN user_id % 3 >= {K.MIN_SOURCES} THEN 'card' WHEN event_id % 11 <> 0 AND event_id % 2 = 0 AND (event_type = 'view' OR event_id % 3 = 0) AND age <= {K.PULSE_MAX_AGE_H} THEN 'pulse' ELSE 'below_sources' END AS lane
+FROM (SELECT *, greatest((epoch_us(TIMESTAMP '2024-01-08') - epoch_us(ts)) / 3.6e9::DOUBLE, 0) AS age FROM events)
+""")
+def q_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each event goes: a card with enough sources, else the rumour lane if it is fresh and of a community, else nowhere."""
+    e = table(spark, sf_dir, "events")
+    n, blank = F.col("event_id"), F.lit(None).cast("string")
+    found = F.struct(F.when(F.col("event_type") == "view", _FORUM.upper()).alias("origin_source"), blank.alias("source"), F.when(n % 3 == 0, f" {_FORUM} ").alias("origin"))
+    age = S.age_hours(F.col("ts").cast("timestamp"), F.lit("2024-01-08").cast("timestamp"))
+    eligible = origins.pulse_eligible(n % 11 == 0, n % 2 == 0, origins.is_community(found), age)
+    return e.select("event_id", F.floor(age).alias("age"), origins.lane(F.col("user_id") % 3, eligible).alias("lane"))

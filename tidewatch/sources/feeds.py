@@ -96,12 +96,13 @@ def fresh(ts: Column, last_run: Column) -> Column:
 def collect_timelines(roster: DataFrame, responses: DataFrame, last_run: Column, min_faves: int = 0, tier: int = 1) -> tuple[DataFrame, DataFrame]:
     """(signals, pulls) of raw timeline responses (handle, body, pos) for the enabled handles of a tier.
 
-    The last response of a handle counts. A handle with a response gives one pull row, however little it holds; one
+    The last response of a handle counts: all rows of its greatest pos, so that a long timeline may come in many pages. A handle with a response gives one pull row, however little it holds; one
     without gives none. A quoted voice outside the roster is a signal of its own, marked with who quoted it.
     """
     plan = roster.filter((F.col("tier") == tier) & F.col("enabled") & (F.trim("handle") != "")).select(T.handle_key(F.col("handle")).alias("key"), F.col("handle"), "track", "topic_filter")
-    last = responses.groupBy(T.handle_key(F.col("handle")).alias("key")).agg(F.max_by("body", "pos").alias("body"))
-    pulled = plan.join(last, "key").withColumn("r", F.from_json("body", TIMELINE))
+    pages = responses.select(T.handle_key(F.col("handle")).alias("key"), F.coalesce("pos", F.lit(0)).alias("pos"), "body")
+    last = pages.groupBy("key").agg(F.max("pos").alias("pos"))
+    pulled = pages.join(plan.join(last, "key"), ["key", "pos"]).withColumn("r", F.from_json("body", TIMELINE))
     posts = pulled.select("key", "handle", "track", "topic_filter", F.explode_outer("r.tweets").alias("t")).withColumn("ts", posted_at(F.col("t.createdAt")))
     ok = F.col("t").isNotNull() & fresh(F.col("ts"), last_run) & (F.coalesce("t.likeCount", F.lit(0.0)) >= min_faves) & topic_match(F.col("t.text"), F.col("topic_filter"))
     posts = posts.withColumn("kept", ok)
