@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,19 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_PATHS: set[str] = set()
+class Scope:
+    """The paths of the tables that are written while it is open, in one thread of the driver."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+
+_SCOPE: contextvars.ContextVar[Scope] = contextvars.ContextVar("tidewatch-written", default=Scope())
 _PATH_OF: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs only a reread.
 
-    Tables stay until `discard` or `release`, since what an operator returns may still read them.
+    Tables stay until `discard`, or the end of the `scope` they were written in, since what an operator returns may still
+    read them. Those written in no scope stay until `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCOPE.get().paths.add(path)  # before the write, so that a write that fails leaves nothing behind either
     df.write.option("compression", "zstd").parquet(path)
-    _PATHS.add(path)
     table = spark.read.schema(df.schema).parquet(path)
     _PATH_OF[table] = path
     return table
@@ -49,7 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    _PATHS.discard(path)
+    _SCOPE.get().paths.discard(path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -58,10 +69,33 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, _PATH_OF.pop(table))
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all tables that were written inside it, and no others.
+
+    What it gives is a function that marks a written table to stay; such a table passes to the scope around this one.
+    Scopes nest, and those of other threads have nothing to do with this one.
+    """
+    mine, around, stay = Scope(), _SCOPE.get(), set()
+    token = _SCOPE.set(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        stay.add(_PATH_OF[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in mine.paths if p not in stay]:
+            _delete(spark, path)
+        _SCOPE.reset(token)
+        around.paths |= mine.paths
+
+
 def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Deletes all written tables of this driver but `keep`: for the end of a job, when its results are stored elsewhere."""
+    """Deletes the tables written so far in the scope that is open but `keep`: for the end of a job, when its results are stored."""
     stay = {_PATH_OF[t] for t in keep if t in _PATH_OF}
-    for path in [p for p in _PATHS if p not in stay]:
+    for path in [p for p in _SCOPE.get().paths if p not in stay]:
         _delete(spark, path)
 
 

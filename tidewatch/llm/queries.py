@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, embeddings, html, licenses, packing, quality, sharding, simhash, substring, toxicity
+from tidewatch.llm import centroids, decontaminate, embeddings, html, language, licenses, packing, quality, sharding, simhash, substring, toxicity, whitening
 from tidewatch.llm.common import text_bytes
 
 
@@ -74,6 +74,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.learn(docs), score="score")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.elkan_clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # an exact deviation beyond a long is null here; the operator has it as a decimal
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_embedding_near_dedup, op3_kd_sharding, op4_html_extraction, op5_license_scan, op6_simhash_near_dedup,
-        op7_quality, op8_packing, op9_decontamination, op10_toxicity, pipeline,
+        op7_quality, op8_packing, op9_decontamination, op10_toxicity, op11_language_id, op12_centroid_clustering, op13_whitening,
+        pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -119,6 +135,25 @@ FROM w LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
 
 
+def _rounds(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of op12, one after another; // rounds towards zero, so the remainder is made positive first."""
+    steps = [
+        f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x FROM v ORDER BY c LIMIT {k})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT c, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(j) GROUP BY c, j),
+m{i} AS (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY j) AS x FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins of the queries that SQL can express over whole tables; tests hold the others against brute force."""
-    return dict(_SQL)
+    return _SQL | {"op12_centroid_clustering": _rounds()}
