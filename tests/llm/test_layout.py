@@ -98,6 +98,30 @@ def test_sharding(spark, small):
     assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 8 + 2 * max(r["size"] for r in rows)
 
 
+def test_null_and_empty_texts_are_one_point(spark, tmp_path):
+    rows = [(i, None if i % 2 else "") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_kd_sharding(spark, str(tmp_path)).collect()
+    assert len(out) == 440 and len({r["shard"] for r in out if r["size"] == 1}) == 1
+
+
+def test_pipeline_leaves_other_tables_alone(spark, small):
+    """What another query has written outlives the pipeline, also one that runs at the same time; the stages' own tables go."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pathlib import Path
+
+    from tidewatch.llm.common import shared_dir
+
+    held = queries.op6_simhash_near_dedup(spark, small)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    n, before = held.count(), {p.name for p in folder.iterdir()}
+    with ThreadPoolExecutor(2) as pool:
+        counts = [f.result() for f in [pool.submit(lambda: corpus_pipeline.run(spark, small).count()) for _ in range(2)]]
+    assert counts[0] == counts[1] > 0 and held.count() == n
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert not left - {"pipeline-decontamination", *(p.rsplit("-", 1)[0] for p in ("packed-x", "pieces-x"))}, left
+
+
 def test_sharding_awkward(spark):
     rows = AWKWARD + [(50 + i, "copy") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "tie": F.lit(2), "weight": F.lit(3), "x": F.lit(4)})

@@ -22,6 +22,12 @@ def frame(spark, rows):
     return df.withColumns({"id": F.lit("clash"), "fp": F.lit(1), "spans": F.lit("x"), "t": F.lit(0), "n_words": F.lit("y")}).repartition(3)
 
 
+def test_vectors_of_great_and_tiny_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [1.0, 0.0])]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 def test_substring_small_table(spark, small):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     want = brute.substring(rows)

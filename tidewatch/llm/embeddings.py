@@ -28,6 +28,13 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def components(values) -> np.ndarray:
+    """Vectors as rows of doubles, each times a power of two that brings its greatest component near 1: cosines stay as they
+    are, and neither squares of great nor of tiny components leave the range of doubles."""
+    raw = np.stack(values.to_numpy()).astype(np.float64)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+
+
 def _bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
     edges = [dim * i // blocks for i in range(blocks + 1)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
@@ -41,7 +48,7 @@ def _visits(threshold: float, blocks: int, axes: int, with_vector: bool):
             if not len(pdf):
                 continue
             for size, part in pdf.groupby(pdf["v"].map(len)):
-                raw = np.stack(part["v"].to_numpy()).astype(np.float64)
+                raw = components(part["v"])
                 turned = (raw / np.linalg.norm(raw, axis=1)[:, None]) @ rotation(int(size))
                 for b, (lo, hi) in enumerate(_bounds(int(size), blocks)):
                     reach = np.sqrt((2 - 2 * threshold) * (hi - lo) / size) + SLACK
@@ -74,7 +81,7 @@ def _verify(threshold: float, blocks: int, tile: int = 1024, chunk: int = 1 << 1
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", kind="stable")
         b = int(pdf["cell"].iloc[0].split(":")[1])
-        raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        raw = components(pdf["v"])
         keys, n = pdf["k"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
         size = raw.shape[1]
         norm = np.linalg.norm(raw, axis=1)

@@ -32,7 +32,7 @@ BLOCK = {
 }
 CLOSES_P = BLOCK - {"br", "option", "select", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-HIDDEN = {*"head title script style noscript template svg math canvas object embed audio video iframe noembed noframes xmp map".split()}
+HIDDEN = {*"head title script style noscript template svg annotation annotation-xml canvas object embed audio video iframe noembed noframes xmp map".split()}
 DROPPED = HIDDEN | {*"nav footer aside form button select input textarea dialog menu".split()}
 LAYOUT = {"div", "section", "ul", "ol", "table", "header", "dl", "center", "details", "fieldset"} | DROPPED - HIDDEN
 WHOLE = {"html", "body", "main", "article"}
@@ -42,6 +42,8 @@ COMMENTS = {*"comment comments commentlist disqus respond reply replies".split()
 NAMES = COMMENTS | {
     *"ad ads adbox adsense banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar rail menu navbar nav navigation pagination pager toolbar footer foot masthead share sharing social related newsletter subscribe signup login widget hidden".split()
 }
+# With one of these beside it, a name is still a name inside an article.
+BESIDE = {*"area articles bar block box button buttons container form icons inner items links list module posts section slot stories top bottom unit wrap wrapper".split()}
 _STEMS = ("advert", "sponsor", "promo", "breadcrumb", "recommend")
 _PAIRS = {("site", "header"), ("page", "header"), ("skip", "link"), ("side", "bar")}
 ROLES = {*"navigation banner contentinfo complementary search dialog form".split()}
@@ -161,6 +163,10 @@ def _named_out(node: Node, half: int) -> bool:
                 if SPARED.isdisjoint(parts):
                     if not COMMENTS.isdisjoint(parts):
                         return True
+                    if node.inside and name != "itemprop" and not all(p in BESIDE or p in NAMES or p.startswith(_STEMS) for p in parts):
+                        continue  # "related-work", "social-history": the article's own matters
+                    if node.inside and parts in (["widget"], ["foot"], ["rail"], ["alert"], ["notes"]):
+                        continue
                     if node.chars <= half and (not NAMES.isdisjoint(parts) or any(p.startswith(_STEMS) for p in parts) or any(p in _PAIRS for p in zip(parts, parts[1:]))):
                         return True
     return False
@@ -208,8 +214,8 @@ def _hashes(node: Node) -> tuple[int, ...]:
 
 
 def candidates(nodes: list[Node]) -> list[Node]:
-    """Elements that can be a site's template: none that holds the article, nor its own paragraphs."""
-    return [n for n in nodes[1:] if n.chars and n.tag in BLOCK | DROPPED and n.tag not in HIDDEN | WHOLE and not n.holds and not _is_main(n) and (n.tag in LAYOUT or not n.inside)]
+    """Elements that can be a site's template: those with layout. A heading, a paragraph or a cell that recurs is text, and what holds the article is none."""
+    return [n for n in nodes[1:] if n.chars and n.tag in BLOCK | DROPPED and n.tag not in HIDDEN | WHOLE and not n.holds and not _is_main(n) and n.tag in LAYOUT]
 
 
 def template_nodes(nodes: list[Node], template: set[int]) -> set[int]:
@@ -252,8 +258,9 @@ def _articles(nodes: list[Node], out) -> list[Node]:
     return found or [n for n in nodes if n.tag == "main"][:1]
 
 
-def main_text(page: str | None, template: set[int]) -> str:
-    """The article's text: blocks in page order, one space between."""
+def main_text(page: str | None, template: set[int]) -> tuple[str, int, int, int]:
+    """The article's text, blocks in page order with one space between, and how many characters went as templates, by
+    their elements' kinds and names, and as what is outside of the article; each character counts for the first of these."""
     nodes = parse(page or "")
     measure(nodes)
     half = nodes[0].chars // 2
@@ -268,14 +275,31 @@ def main_text(page: str | None, template: set[int]) -> str:
     gone = template_nodes(nodes, template)
     roots = _articles(nodes, out)
     top = not roots
+    first = {id(n) for n in roots or [nodes[0]]}
+
+    def side(c: Node) -> bool:
+        return id(c) not in first and (c.tag in DROPPED or out(c) or (c.tag == "header" and top and not c.holds and c.depth <= 3))
+
+    by_template = by_name = 0
+    stack: list = [nodes[0]]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, Node) and c.tag not in HIDDEN:
+            if id(c) in gone and id(c) not in first:
+                by_template += c.chars
+            elif side(c):
+                by_name += c.chars
+            else:
+                stack.extend(c.children)
     text: list[str] = []
-    stack: list = [*reversed(roots or [nodes[0]])]
-    first = {id(n) for n in stack}
+    kept = 0
+    stack = [*reversed(roots or [nodes[0]])]
     while stack:
         c = stack.pop()
         if isinstance(c, str):
             text.append(html.unescape(c) if "&" in c else c)
-        elif id(c) not in first and (c.tag in DROPPED or id(c) in gone or out(c) or (c.tag == "header" and top and not c.holds and c.depth <= 3)):
+            kept += len(" ".join(c.split()))
+        elif (id(c) in gone and id(c) not in first) or side(c):
             text.append(" ")
         elif c.tag in BLOCK or id(c) in first:
             text.append(" ")
@@ -283,55 +307,69 @@ def main_text(page: str | None, template: set[int]) -> str:
             stack.extend(reversed(c.children))
         else:
             stack.extend(reversed(c.children))
-    return " ".join("".join(text).split())
+    return " ".join("".join(text).split()), by_template, by_name, nodes[0].chars - by_template - by_name - kept
 
 
 def host_of(url: Column) -> Column:
-    """The host of a URL, lower case; anything else is a host of its own text."""
+    """The host of a URL, lower case; anything else is the empty host."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10, many: int = 200) -> DataFrame:
-    """(host, hashes): subtrees on at least `least` pages of their host and on a `share` of them, or on `many`.
+def site_of(url: Column) -> Column:
+    """The sites that a page belongs to: its host, and the section of the host that the path begins with."""
+    part = F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)/", 1), F.lit(""))
+    return F.array(host_of(url), F.concat(host_of(url), F.lit("/"), part))
 
-    Counts are of pages, summed before they are shuffled, so a large host is no large task. A host has at most
-    (candidates of a page) / share hashes, or (candidates of its pages) / many.
+
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10) -> DataFrame:
+    """(site, hashes): subtrees on at least `least` pages of their host, or of a section of it, and on a `share` of them.
+
+    Counts are of pages, summed before they are shuffled, so a large host is no large task. A site has at most
+    (candidates of a page) / share hashes, however many pages it has.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for host, page in zip(pdf["host"], pdf["html"]):
+            for sites, page in zip(pdf["sites"], pdf["html"]):
                 nodes = parse(page or "")
                 measure(nodes)
-                rows += [(host, h) for h in {h for n in candidates(nodes) for h in _hashes(n)}]
-            yield pd.DataFrame(rows, columns=["host", "hash"]).astype({"hash": "int64"})
+                hashes = {h for n in candidates(nodes) for h in _hashes(n)}
+                rows += [(site, h) for site in sites for h in hashes]
+            yield pd.DataFrame(rows, columns=["site", "hash"]).astype({"hash": "int64"})
 
-    hosts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = hosts.mapInPandas(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    sizes = hosts.groupBy("host").agg(F.count("*").alias("pages"))
-    often = (F.col("n") >= share * F.col("pages")) | (F.col("n") >= many)
-    return seen.join(sizes, "host").filter(often).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    own = pages.select(site_of(F.col(url_col)).alias("sites"), F.col(html_col).alias("html"))
+    seen = own.mapInPandas(run, "site string, hash long").groupBy("site", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    sizes = own.select(F.explode("sites").alias("site")).groupBy("site").agg(F.count("*").alias("pages"))
+    return seen.join(sizes, "site").filter(F.col("n") >= share * F.col("pages")).groupBy("site").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10, many: int = 200) -> DataFrame:
-    """pages, without the html, with columns text and n_chars (code points).
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 10) -> DataFrame:
+    """pages, without the html, with columns text, n_chars (code points), n_template, n_named and n_outside.
 
-    Null and empty pages give an empty text; a null or odd URL is a host of its own. A page without article or main element gives
-    what is left of its body. Repeated rows are counted each and answered each; an empty table stays empty; columns named
-    text and n_chars give way. The table of templates is broadcast only if it has at most BROADCAST_ROWS hashes.
+    The last three are the characters that went as templates of the site, by their elements' kinds and names, and as what
+    lies outside of the article; each counts for the first that applies. Null and empty pages give an empty text; a null or
+    odd URL is of the empty host. A page without article or main element gives what is left of its body. A page is parsed in
+    one task, whole, however long. Repeated rows are counted each and answered each; an empty table stays empty; columns named
+    like the new ones give way. The table of templates is broadcast only if it has at most BROADCAST_ROWS hashes.
     """
-    templates = written(site_templates(pages, url_col, html_col, share, least, many), "site-templates")
+    templates = written(site_templates(pages, url_col, html_col, share, least), "site-templates")
     small = (templates.agg(F.sum(F.size("hashes")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
-    named = templates.select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes"))
-    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(F.broadcast(named) if small else named, "__host", "left")
-    rest = [f for f in joined.schema.fields if f.name not in ("__host", "__hashes", html_col, "text", "n_chars")]
-    keep = [f.name for f in rest]
+    joined = pages.withColumn("__sites", site_of(F.col(url_col)))
+    for i in (0, 1):
+        named = templates.select(F.col("site").alias(f"__site{i}"), F.col("hashes").alias(f"__hashes{i}"))
+        joined = joined.join(F.broadcast(named) if small else named, F.col("__sites")[i] == F.col(f"__site{i}"), "left").drop(f"__site{i}")
+    fresh = {"text": "string", "n_chars": "long", "n_template": "long", "n_named": "long", "n_outside": "long"}
+    keep = [f for f in pages.columns if f not in (html_col, *fresh)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = [main_text(page, set(hashes) if hashes is not None else set()) for page, hashes in zip(pdf[html_col], pdf["__hashes"])]
-            yield pdf[keep].assign(text=texts, n_chars=[len(t) for t in texts])
-
-    schema = joined.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    return joined.select(*keep, html_col, "__hashes").mapInPandas(run, schema)
+            found = [main_text(page, {*(() if a is None else a), *(() if b is None else b)}) for page, a, b in zip(pdf[html_col], pdf["__hashes0"], pdf["__hashes1"])]
+            texts, *counts = zip(*found) if found else [()] * 4
+            more = dict(zip(fresh, (texts, [len(t) for t in texts], *counts)))
+            yield pdf[keep].assign(**{name: pd.Series(values, index=pdf.index, dtype="object" if name == "text" else "int64") for name, values in more.items()})
+
+    schema = joined.select(*keep)
+    for name, kind in fresh.items():
+        schema = schema.withColumn(name, F.lit(None).cast(kind))
+    return joined.select(*keep, html_col, "__hashes0", "__hashes1").mapInPandas(run, schema.schema)

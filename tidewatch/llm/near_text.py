@@ -1,8 +1,9 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles, for the pipeline.
 
-Texts with the same set of shingles are one class. Classes that agree in a band of their MinHash signatures are
-candidates: at a similarity of 0.8, BANDS bands of ROWS values miss a pair with a probability of 3e-6, above it with less.
-Candidates link only if the similarity of their whole shingle sets reaches the threshold.
+Texts with the same set of shingles are one class. Classes are candidates if their five-word SimHash fingerprints are linked by
+Golay keys (`simhash.linked_fingerprints`: at most four differing bits), which finds most close copies but few pairs near 0.8, or if
+they agree in a band of their MinHash signatures: at a similarity of 0.8, BANDS bands of ROWS values miss a pair with a
+probability of 3e-6, above it with less. Candidates link only if the similarity of their whole shingle sets reaches the threshold.
 
 A band that many classes share is chained at random first. Where the chains have left different components in it, their
 shingle sets are dealt to blocks of TILE shingles, which meet two by two in tasks that give only the links that join
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Forest, WordHasher, ascii_space, connected_components, grams, mix, slices, written
+from tidewatch.llm.simhash import fingerprint, linked_fingerprints
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -62,13 +64,14 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = _hasher()
     for batch in batches:
-        fps, sizes, keys = [], [], []
-        for own in shingle_sets(batch.column(2).to_pylist(), hasher):
+        fps, sizes, keys, texts = [], [], [], batch.column(2).to_pylist()
+        sims = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts)).view(np.int64)
+        for own in shingle_sets(texts, hasher):
             fps.append(int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
             sizes.append(len(own))
             keys.append(bands(own).view(np.int64))
-        columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "print", "fp", "size", "keys"])
+        columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "print", "fp", "size", "sim", "keys"])
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +184,13 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 0.8 <= least <= 1:
         raise ValueError("the bands are made for a similarity of 0.8 or more")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("print", F.xxhash64("t"))
-    signed = written(base.select("id", "print", "t").mapInArrow(_sign, "id long, print long, fp long, size int, keys array<long>"), "signed-texts")
-    classes = written(signed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "size", "keys")).alias("one")).select("fp", "one.*"), "text-classes")
-    keyed = classes.filter("size > 0").select(F.explode("keys").alias("key"), "fp", "size")
+    signed = written(base.select("id", "print", "t").mapInArrow(_sign, "id long, print long, fp long, size int, sim long, keys array<long>"), "signed-texts")
+    classes = written(signed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "size", "sim", "keys")).alias("one")).select("fp", "one.*"), "text-classes")
+    worded = classes.filter("size > 0")
+    near = written(linked_fingerprints(worded.select(F.col("sim").alias("fp")).distinct()).select(F.col("fp").alias("sim"), "component"), "near-prints")
+    # fingerprints that have links, and those that several classes share, are keys beside the bands
+    by_print = worded.join(near, "sim", "left").select(F.xxhash64(F.coalesce("component", "sim"), F.lit("print")).alias("key"), "fp", "size")
+    keyed = worded.select(F.explode("keys").alias("key"), "fp", "size").unionByName(by_print)
     named = F.struct("no_id", "id", "print")
 
     def spelled(ends: DataFrame) -> DataFrame:

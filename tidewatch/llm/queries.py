@@ -35,7 +35,7 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template", "n_named", "n_outside")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ ROUNDS = 5
 
 
 def text_dimensions(text: str = "text") -> dict[str, Column]:
-    """Metadata of a text: its size, the share of its bytes beyond ASCII letters' one a character, and its check sum."""
+    """Metadata of a text: its size, the share of its bytes beyond ASCII letters' one a character, and its check sum; null is empty."""
     size = text_bytes(text).cast("double")
     chars = F.coalesce(F.char_length(F.col(text)), F.lit(0)).cast("double")
-    return {"log_size": F.log1p(size), "wide": (size - chars) / F.greatest(size, F.lit(1.0)), "hash": F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))}
+    return {"log_size": F.log1p(size), "wide": (size - chars) / F.greatest(size, F.lit(1.0)), "hash": F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))}
 
 
 def _by_node(values: dict[int, object], node: str = "node") -> Column:

@@ -198,20 +198,15 @@ def _frame(a: np.ndarray, b: np.ndarray, keys: np.ndarray | int = -1) -> pd.Data
     return pd.DataFrame({"key": np.broadcast_to(np.asarray(keys, np.int32), len(a)), "a": np.ascontiguousarray(a).view(np.int64), "b": np.ascontiguousarray(b).view(np.int64)})
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4, run_rows: int = RUN_ROWS) -> DataFrame:
-    """One row per input row: (id, fp, component_id), component_id the smallest id reachable by links.
+def linked_fingerprints(fps: DataFrame, most: int = 4, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(fp, component) of the fingerprints that have links, of a table of distinct ones (fp): component is the least fingerprint reachable.
 
-    Fingerprints link at `most` (up to 4) or fewer differing bits; equal fingerprints are one class and
-    meet the others once. A null id is returned with a null component, unless its class has ids; rows that repeat an id
-    are rows of their own; an empty table stays empty. Nothing quadratic leaves a task: a run of equal keys gives links
-    that span it, not its pairs. A key that more than `run_rows` fingerprints share is cut into blocks, which meet
-    two by two in tasks of their own.
+    Fingerprints link at `most` (up to 4) or fewer differing bits. A key that more than `run_rows` fingerprints share is cut
+    into blocks, which meet two by two in tasks of their own.
     """
     if not 0 <= most <= 4:
         raise ValueError("the keys guarantee at most four differing bits")
-    fps = written(with_fingerprint(docs, id_col, text_col, k), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-classes")
-    keyed = classes.select("fp").mapInArrow(_emit_keys, "key int, fp long")
+    keyed = fps.select("fp").mapInArrow(_emit_keys, "key int, fp long")
     met = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links(most, run_rows), "key int, a long, b long"), "key-links")
     edges = met.filter("key < 0").select("a", "b")
     long = met.filter("key >= 0").select("key", F.col("a").alias("fp"))
@@ -221,7 +216,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         tiles = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
         edges = edges.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(_tile_links(most), "a long, b long"))
-    comps = connected_components(edges).withColumnRenamed("id", "fp")
+    return connected_components(edges).withColumnRenamed("id", "fp")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4, run_rows: int = RUN_ROWS) -> DataFrame:
+    """One row per input row: (id, fp, component_id), component_id the smallest id reachable by links.
+
+    Fingerprints link at `most` (up to 4) or fewer differing bits; equal fingerprints are one class and
+    meet the others once. Null and wordless texts have fingerprint 0, a very long text is read whole. A null id is returned
+    with a null component, unless its class has ids; rows that repeat an id are rows of their own; an empty table stays
+    empty. Nothing quadratic leaves a task: a run of equal keys gives links that span it, not its pairs.
+    """
+    fps = written(with_fingerprint(docs, id_col, text_col, k), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-classes")
+    comps = linked_fingerprints(classes, most, run_rows)
     members = classes.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = written(members.groupBy("component").agg(F.min("first").alias("component_id")), "first-ids")  # written, so that AQE can split a large component
     named = members.join(firsts, "component").select("fp", "component_id")
