@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, near_text, packing, substring, toxicity
-from tidewatch.llm.common import release, written
+from tidewatch.llm.common import discard, scope, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.5
@@ -30,6 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles.
 
+    Candidates come from op6's Golay keys of five-word fingerprints and from MinHash bands, and are verified on whole sets.
+
     Documents without words or id all stay. Rows that repeat an id go by their own texts; of rows that repeat id and
     text, one stays.
     """
@@ -85,8 +87,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's own tables are deleted once its result is written.
     """
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, docs)
+        with scope(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
