@@ -12,18 +12,37 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fixed as K
 
 
+#: Tokens in group 1; ASCII ones of one or two characters match too, with an empty group.
+_KEPT = K.TOKEN.replace("*", "{2,}+", 1)
+_KEPT = f"({_KEPT})|[a-z0-9][a-z0-9+.#-]?+"
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with the value made once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _raw_tokens(text: Column) -> Column:
+    """Tokens of a text in order, stop words and empty ones for the too short among them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_KEPT), 1)
+
+
+def _folded(found: Column) -> Column:
+    """Tokens with aliases folded; most texts have none, and are left as they are."""
+    alias = F.create_map(*[F.lit(x) for kv in K.ALIAS.items() for x in kv])
+    names = F.array(*[F.lit(x) for x in K.ALIAS])
+    return _once(found, lambda v: F.when(F.arrays_overlap(v, names), F.transform(v, lambda t: F.coalesce(F.try_element_at(alias, t), t))).otherwise(v))
+
+
 def tokens(text: Column) -> Column:
     """All tokens of a text in order: lower-cased; ASCII ones under three characters and stop words left out; aliases folded."""
-    stop = F.array(*[F.lit(w) for w in K.STOP])
-    alias = F.create_map(*[F.lit(x) for kv in K.ALIAS.items() for x in kv])
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({K.TOKEN})"), 1)
-    kept = F.filter(found, lambda t: ~((F.length(t) < 3) & t.rlike("^[\\x00-\\x7F]*$")) & ~F.array_contains(stop, t))
-    return F.transform(kept, lambda t: F.coalesce(F.try_element_at(alias, t), t))
+    return _folded(F.filter(_raw_tokens(text), lambda t: ~t.isin("", *K.STOP)))
 
 
 def entities(text: Column, most: int = 8) -> Column:
     """The first `most` distinct tokens, in order."""
-    return F.slice(F.array_distinct(tokens(text)), 1, most)
+    distinct = F.array_except(_raw_tokens(text), F.array(*[F.lit(w) for w in ("", *K.STOP)]))
+    return F.slice(F.array_distinct(_folded(distinct)), 1, most)
 
 
 def slug(name: Column) -> Column:
@@ -48,34 +67,64 @@ def hash64(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("long")
 
 
-def _majority(lists: pd.Series) -> np.ndarray:
-    """Majority votes of the token hashes of each list, as unsigned 64-bit numbers."""
-    known: dict[str, int] = {}
-    sizes = lists.map(lambda x: 0 if x is None else len(x)).to_numpy()
-    codes = np.fromiter((known.setdefault(t, len(known)) for x in lists if x is not None for t in x), np.int64, int(sizes.sum()))
-    raw = b"".join(md5(t.encode("utf-8", "surrogatepass")).digest()[:8] for t in known)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
+def _majority(lists: pd.Series, most: int = 1 << 18) -> np.ndarray:
+    """Majority votes of the token hashes of each list, as unsigned 64-bit numbers; about `most` tokens at a time.
+
+    Stop words and empty tokens have no vote, aliases that of what they stand for.
+    """
+    known = dict.fromkeys(("", *K.STOP), 0)
+    words = [""]
+    for alias, name in K.ALIAS.items():
+        if name not in known:
+            known[name] = len(words)
+            words.append(name)
+        known[alias] = known[name]
+
+    def code(token: str) -> int:
+        at = known.get(token)
+        if at is None:
+            at = known[token] = len(words)
+            words.append(token)
+        return at
+
+    every = np.fromiter((code(t) for x in lists if x is not None for t in x), np.int64)
+    owner = np.repeat(np.arange(len(lists)), lists.map(lambda x: 0 if x is None else len(x)).to_numpy())[every > 0]
+    codes, sizes = every[every > 0], np.bincount(owner, minlength=len(lists))
+    raw = b"".join(md5(t.encode("utf-8", "surrogatepass")).digest()[:8] for t in words)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
     ends = np.cumsum(sizes)
+    starts, some = ends - sizes, np.flatnonzero(sizes)
     out = np.zeros((len(lists), 64), bool)
-    for i, (end, n) in enumerate(zip(ends, sizes)):
-        if n:
-            tally = np.bincount(codes[end - n : end], minlength=0)
-            at = np.flatnonzero(tally)
-            out[i] = 2 * (tally[at] @ bits[at].astype(np.int64)) > n
+    at = 0
+    while at < len(some):
+        # at least one row, and as many more as fit
+        to = max(at + 1, int(np.searchsorted(ends[some], starts[some[at]] + most, side="right")))
+        rows, low, end = some[at:to], starts[some[at]], ends[some[to - 1]]
+        if len(rows) == 1:
+            votes = sum(bits[codes[piece : min(piece + most, end)]].sum(axis=0, dtype=np.int64) for piece in range(low, end, most))[None]
+        else:
+            votes = np.add.reduceat(bits[codes[low:end]], starts[rows] - low, axis=0, dtype=np.int64)
+        out[rows] = 2 * votes > sizes[rows][:, None]
+        at = to
     return np.packbits(out, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
+@F.pandas_udf("long")
+def _votes(lists: pd.Series) -> pd.Series:
+    return pd.Series(_majority(lists).view(np.int64))
+
+
+def simhash(text: Column) -> Column:
+    """The SimHash of a text's tokens by majority votes over every occurrence; a text without tokens has 0."""
+    return _votes(_raw_tokens(text))
+
+
 def simhash64(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, simhash) of every row by majority votes over every token occurrence; a text without tokens has 0.
+    """(id, simhash) of every row.
 
     A row needs nothing but its own tokens, so nothing is shuffled: Arrow batches of tokens go in, a number a row comes out.
     """
-
-    @F.pandas_udf("long")
-    def votes(lists: pd.Series) -> pd.Series:
-        return pd.Series(_majority(lists).view(np.int64))
-
-    return docs.select(id_col, votes(tokens(text)).alias("simhash"))
+    return docs.select(id_col, simhash(text).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:

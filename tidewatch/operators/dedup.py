@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed as K
 from tidewatch.functions import text as T
+from tidewatch.sources.shared import kept
 
 
 def exact_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -20,15 +21,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, toks: str
     """(lid, rid) of all pairs whose token sets have a Jaccard similarity of `threshold` or more, and perhaps others.
 
     Prefix filtering: with tokens in order of rising frequency, two such sets share one of the first
-    n - ceil(threshold * n) + 1. Frequencies are counted over both sides.
+    n - ceil(threshold * n) + 1. Frequencies are counted over both sides. Equal sets meet pair by pair, so rows that are
+    alike should come as one.
     """
-    both = left.select(F.concat(F.lit("l"), F.col("lid").cast("string")).alias("k"), toks).unionByName(right.select(F.concat(F.lit("r"), F.col("rid").cast("string")).alias("k"), toks))
-    each = both.select("k", F.size(toks).alias("n"), F.explode(toks).alias("t"))
+    both = left.select(F.lit(True).alias("l"), F.col("lid").alias("k"), toks).unionByName(right.select(F.lit(False).alias("l"), F.col("rid").alias("k"), toks))
+    each = both.select("l", "k", F.size(toks).alias("n"), F.explode(toks).alias("t"))
     freq = each.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = each.join(freq, "t").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("k", "t", "n")
-    a = prefix.filter(F.col("k").startswith("l")).select(F.expr("substring(k, 2)").cast("long").alias("lid"), "t", F.col("n").alias("ln"))
-    b = prefix.filter(F.col("k").startswith("r")).select(F.expr("substring(k, 2)").cast("long").alias("rid"), "t", F.col("n").alias("rn"))
+    ranked = each.join(freq, "t").withColumn("r", F.row_number().over(Window.partitionBy("l", "k").orderBy("f", "t")))
+    prefix = kept(ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("l", "k", "t", "n"), "prefixes")
+    a = prefix.filter("l").select(F.col("k").alias("lid"), "t", F.col("n").alias("ln"))
+    b = prefix.filter("NOT l").select(F.col("k").alias("rid"), "t", F.col("n").alias("rn"))
     sized = (F.col("ln") >= threshold * F.col("rn") - 1e-9) & (F.col("rn") >= threshold * F.col("ln") - 1e-9)
     return a.join(b, "t").filter(sized).select("lid", "rid").distinct()
 
@@ -40,6 +42,14 @@ def _strong_keys() -> Column:
     return F.concat(pairs, F.transform(ends, lambda a: F.concat_ws("|", F.lit("t"), a, F.col("track"))))
 
 
+FACTS = ("ents", "track", "toks", "simhash")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """rows with column `cls`: a name for what they are compared by, so that rows which are alike share it."""
+    return rows.withColumn("cls", F.sha1(F.to_json(F.struct(*FACTS), {"ignoreNullFields": "false"})))
+
+
 def soft_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     """(cand_id, row_pos, similarity): the best ledger row by token Jaccard, the last of equals.
 
@@ -47,14 +57,17 @@ def soft_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     with a Jaccard of DUP_JACCARD; or, if keys agree strongly and subjects agree, with near SimHashes or a Jaccard of
     SOFT_JACCARD. The first case is found by prefix filtering. The others need two shared key entities, or one and the
     track, so the sides meet on pairs of entities and on entities with their track: one frequent entity makes no pairs.
+    Rows of a side that are alike in all of these are one class, compared once: of ledger rows alike the last is the only one
+    wanted, and candidates alike have the same answer. So n copies against m make one pair.
     """
-    left = cands.select(F.col("cand_id").alias("lid"), "toks")
-    right = ledger.filter(F.col("text") != "").select(F.col("pos").alias("rid"), "toks")
+    mine = kept(_classes(cands).select("cand_id", "cls", *FACTS), "candidate-classes")
+    left = kept(mine.groupBy(F.col("cls").alias("lid")).agg(*[F.any_value(c).alias(c) for c in FACTS]), "candidate-classes")
+    right = kept(_classes(ledger.filter(F.col("text") != "")).groupBy(F.col("cls").alias("rid")).agg(F.max("pos").alias("pos"), *[F.any_value(c).alias(c) for c in FACTS]), "ledger-classes")
     alike = similar_pairs(left, right, K.DUP_JACCARD)
-    keyed = cands.select(F.col("cand_id").alias("lid"), F.explode(_strong_keys()).alias("e")).join(ledger.filter(F.col("text") != "").select(F.col("pos").alias("rid"), F.explode(_strong_keys()).alias("e")), "e").select("lid", "rid")
-    pairs = alike.unionByName(keyed).distinct()
-    c = cands.select(F.col("cand_id").alias("lid"), *[F.col(x).alias(f"c_{x}") for x in ("ents", "track", "toks", "simhash")])
-    r = ledger.select(F.col("pos").alias("rid"), *[F.col(x).alias(f"r_{x}") for x in ("ents", "track", "toks", "simhash")])
+    keyed = left.select("lid", F.explode(_strong_keys()).alias("e")).join(right.select("rid", F.explode(_strong_keys()).alias("e")), "e").select("lid", "rid")
+    pairs = kept(alike.unionByName(keyed).distinct(), "ledger-pairs")
+    c = left.select("lid", *[F.col(x).alias(f"c_{x}") for x in FACTS])
+    r = right.select("rid", "pos", *[F.col(x).alias(f"r_{x}") for x in FACTS])
     full = pairs.join(c, "lid").join(r, "rid")
     sim = T.jaccard(F.col("c_toks"), F.col("r_toks"))
     shared = F.size(F.array_intersect("c_ents", "r_ents"))
@@ -63,13 +76,14 @@ def soft_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     subject = T.subjects_agree(F.col("c_toks"), F.col("r_toks"))
     rule = (F.col("sim") >= K.DUP_JACCARD) | (strong & subject & (near | (F.col("sim") >= K.SOFT_JACCARD)))
     hit = full.withColumn("sim", sim).filter(rule)
-    best = hit.groupBy("lid").agg(F.max(F.struct("sim", "rid")).alias("b"))
-    return best.select(F.col("lid").alias("cand_id"), F.col("b.rid").alias("row_pos"), F.col("b.sim").alias("similarity"))
+    best = hit.groupBy("lid").agg(F.max(F.struct("sim", "pos")).alias("b"))
+    return mine.select("cand_id", F.col("cls").alias("lid")).join(best, "lid").select("cand_id", F.col("b.pos").alias("row_pos"), F.col("b.sim").alias("similarity"))
 
 
 def matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(cand_id, row_pos, how): exact matches first, soft ones for the rest."""
-    exact = exact_matches(cands, ledger)
+    """(cand_id, row_pos, how): exact matches first, soft ones for the rest. Each side is made once, and the answer is a table that may be read often."""
+    cands, ledger = kept(cands, "candidates"), kept(ledger, "ledger")
+    exact = kept(exact_matches(cands, ledger), "exact-matches")
     rest = cands.join(exact, "cand_id", "left_anti")
     soft = soft_matches(rest, ledger).select("cand_id", "row_pos", F.lit("soft").alias("how"))
     return exact.withColumn("how", F.lit("exact")).unionByName(soft)
@@ -92,9 +106,10 @@ def fold_samples(old: Column, new: Column, most: int = K.SAMPLES_CAP) -> Column:
 def upsert(old: DataFrame, new: DataFrame, key: str = "canonical_key") -> DataFrame:
     """Ledger state after new cards: first_seen kept, last_seen and score of the newest, pushes added up, sources united.
 
-    Both sides aggregate, so the order of their rows doesn't matter; equal times go to the greater score.
+    Both sides aggregate, so the order of their rows doesn't matter; equal times go to the greater score. What is held of a
+    key's sources are its different sets, merged in each task before the shuffle, not one for each of its cards.
     """
     every = old.unionByName(new)
     last = F.max(F.struct("last_seen", "last_score", "lifecycle_stage")).alias("__l")
-    out = every.groupBy(key).agg(F.min("first_seen").alias("first_seen"), last, F.sum("push_count").alias("push_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_set")))).alias("source_set"))
+    out = every.groupBy(key).agg(F.min("first_seen").alias("first_seen"), last, F.sum("push_count").alias("push_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_set")))).alias("source_set"))
     return out.select(key, "first_seen", "__l.last_seen", "__l.last_score", "__l.lifecycle_stage", "push_count", "source_set")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed as K
 from tidewatch.operators.roster import FAVES_FLOOR
+from tidewatch.sources.shared import kept
 
 
 def card_errors(track: Column, dims: dict[str, Column], score: Column, good_evidence: Column, n_sources: Column, why_now: Column, action: Column) -> Column:
@@ -70,7 +71,8 @@ def buckets(cards: DataFrame, errors: str = "errors", score: str = "final_score"
     """
     cards = cards.withColumn("passed", F.size(errors) == 0)
     bar = F.when(F.col(side) == "demand", K.DEMAND_BAR).otherwise(K.ARCHIVE_BAR)
-    cards = cards.withColumn("archivable", F.col("passed") & (F.col(score) >= bar))
+    # the cards are made once, for the choice of the best and for the answer
+    cards = kept(cards.withColumn("archivable", F.col("passed") & (F.col(score) >= bar)), "gated-cards")
     top = cards.filter(F.col("passed") & (F.col(score) >= K.PUSH_BAR)).orderBy(F.desc(score), pos or id_col).limit(most).select(id_col, F.lit(True).alias("pushable"))
     out = cards.join(F.broadcast(top), id_col, "left").withColumn("pushable", F.coalesce("pushable", F.lit(False)))
     return out.withColumn("bucket", F.when(F.col("pushable"), "pushable").when(F.col("archivable"), "digest_only").when(F.col("passed"), "passed").otherwise("blocked"))

@@ -58,8 +58,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     A ledger row stores the first 400 characters of its text (K.LEDGER_TEXT), and its tokens are those of what it stores;
     a candidate's are those of its whole text.
     """
-    d = keyed(spark, sf_dir)
-    hashed = d.join(T.simhash64(d, "doc_id", F.col("text")), "doc_id")
+    hashed = keyed(spark, sf_dir).withColumn("simhash", T.simhash(F.col("text")))
     cands = hashed.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "cand_id").drop("text")
     stored = F.substring("text", 1, K.LEDGER_TEXT)
     ledger = hashed.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "pos").withColumn("text", stored).withColumn("toks", T.entities(F.col("text"), 64))
