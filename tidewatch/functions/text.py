@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewatch.functions import fixed as K
 
@@ -109,7 +110,7 @@ def _majority(lists: pd.Series, most: int = 1 << 18) -> np.ndarray:
     return np.packbits(out, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _votes(lists: pd.Series) -> pd.Series:
     return pd.Series(_majority(lists).view(np.int64))
 

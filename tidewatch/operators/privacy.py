@@ -126,7 +126,9 @@ def receipt(grants: DataFrame, findings: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("declared"), F.count("hit").alias("used")).withColumn("never_fired", F.col("declared") - F.col("used"))
 
 
-SUFFIXES = ["-config", "-data", "-private", "-internal"]
+# What companions of a repository are called after it.
+SUFFIXES = ["-config", "-data", "-private", "-secrets"]
+MAP_DAYS = 30
 
 
 def derivation_witness(names: DataFrame, public: DataFrame, suffixes: list[str] = SUFFIXES) -> DataFrame:
@@ -137,6 +139,29 @@ def derivation_witness(names: DataFrame, public: DataFrame, suffixes: list[str]
     return met.groupBy("owner", "name").agg(F.min_by(F.when(F.col("known"), F.col("stem")), F.when(F.col("known"), F.col("i"))).alias("witness"))
 
 
+def cross_repo_tokens(repos: DataFrame, self_name: str | None, map_age_days: float | None) -> DataFrame:
+    """(token, kind, owner, witness): names of private repositories that no text should give away, one row a name.
+
+    repos: (owner, name, private), a map of `map_age_days`; without an age there is no map and no token. A name counts if it is
+    distinctive: five characters or more, and a companion's suffix or at least two marks (- or _). The own repository and
+    its companions don't count. A name is `derived` if its owner has the public repository that it follows from, unless the map
+    is older than MAP_DAYS; else it is `linkage`. Of owners with one name, one that makes it linkage goes first, then
+    the least: the severer reading counts.
+    """
+    if map_age_days is None:
+        return repos.limit(0).select(F.col("name").alias("token"), F.lit("").alias("kind"), "owner", F.lit("").alias("witness"))
+    own = [self_name, *[self_name + s for s in SUFFIXES]] if self_name else []
+    marks = F.length("name") - F.length(F.regexp_replace("name", "[-_]", ""))
+    ends = F.lit(False)
+    for s in SUFFIXES:
+        ends = ends | F.endswith("name", F.lit(s))
+    names = repos.filter(F.col("private") & (F.length("name") >= 5) & (ends | (marks >= 2)) & ~F.col("name").isin(own)).select("owner", "name").distinct()
+    found = derivation_witness(names, repos.filter(~F.col("private")))
+    witness = F.col("witness") if map_age_days <= MAP_DAYS else F.lit(None).cast("string")
+    best = found.groupBy("name").agg(F.min(F.struct(witness.isNotNull().alias("derived"), "owner", witness.alias("witness"))).alias("b"))
+    return best.select(F.col("name").alias("token"), F.when(F.col("b.derived"), "derived").otherwise("linkage").alias("kind"), "b.owner", "b.witness")
+
+
 def is_template(path: Column) -> Column:
     """Files that restate the rule they are made from."""
     name = F.lower(F.substring_index(path, "/", -1))

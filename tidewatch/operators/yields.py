@@ -59,12 +59,34 @@ def prune(roster: DataFrame, weeks: DataFrame, spared: DataFrame, floor: int = K
 
 
 def propose(evidence: DataFrame, roster: DataFrame, least: int = K.PROPOSE_MIN) -> DataFrame:
-    """Names outside the roster with enough opportunities: (name, n_opps, tracks), the most first."""
+    """Names outside the roster with enough opportunities: (name, n_opps, tracks, sample_url).
+
+    sample_url is the first address that is not blank of a name's evidence, by `pos` (then by address); null without columns
+    pos and url, or if it has none.
+    """
     fresh = evidence.join(roster.select("name"), "name", "left_anti")
-    found = fresh.groupBy("name").agg(F.countDistinct("opp_id").alias("n_opps"), F.array_join(F.array_sort(F.collect_set("track")), ",").alias("tracks"))
+    url = F.lit(None).cast("string")
+    if {"pos", "url"} <= {*evidence.columns}:
+        url = F.min(F.when(F.trim("url") != "", F.struct("pos", "url")))["url"]
+    found = fresh.groupBy("name").agg(F.countDistinct("opp_id").alias("n_opps"), F.array_join(F.array_sort(F.collect_set("track")), ",").alias("tracks"), url.alias("sample_url"))
     return found.filter(F.col("n_opps") >= least)
 
 
+def history_days(pulls: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:
+    """One row (days): from the first dated pull to now; without a dated pull from the first dated record; 0 without either, or if it lies ahead."""
+    first = pulls.agg(F.min("ts").alias("a")).crossJoin(evidence.agg(F.min("ts").alias("b")))  # one row each
+    days = (F.unix_micros(now) - F.unix_micros(F.coalesce("a", "b"))) / F.lit(86_400_000_000)
+    return first.select(F.greatest(F.lit(0.0), F.coalesce(days, F.lit(0.0))).alias("days"))
+
+
+def sets_compared(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
+    """(key, in_both, only_new, only_old) of the union of two sets: intersection, both differences, and so the symmetric one, in one full join. Null is an element like any other."""
+    a = old.select(key).distinct().select(F.col(key).alias("__a"), F.lit(True).alias("o"))
+    b = new.select(key).distinct().select(F.col(key).alias("__b"), F.lit(True).alias("n"))
+    j = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full_outer")
+    return j.select(F.when(F.col("o"), F.col("__a")).otherwise(F.col("__b")).alias(key), (F.col("o").isNotNull() & F.col("n").isNotNull()).alias("in_both"), F.col("o").isNull().alias("only_new"), F.col("n").isNull().alias("only_old"))
+
+
 def suggest_filters(ratio: DataFrame, roster: DataFrame) -> DataFrame:
     """Rostered names without a filter that are pulled often and contribute something, but rarely."""
     bare = roster.filter(F.coalesce(F.trim("topic_filter"), F.lit("")) == "").select("name")
@@ -89,8 +111,7 @@ def report(roster: DataFrame, evidence: DataFrame, pulls: DataFrame, now: Column
     found, pulled = evidence.filter("kind = 'handle'"), pulls.filter("kind = 'handle'")
     inside = found.filter(window_of(F.col("ts"), start, now))
     spared = inside.filter(F.col("faves") < pre_viral).select("name").distinct()
-    oldest = evidence.select("ts").unionByName(pulls.select("ts")).agg(F.min("ts").alias("oldest"))
-    warm = oldest.filter(F.unix_micros(now) - F.unix_micros("oldest") >= K.MIN_HISTORY_DAYS * 86_400_000_000).select(F.lit(True).alias("warm"))
+    warm = history_days(pulls, evidence, now).filter(F.col("days") >= K.MIN_HISTORY_DAYS).select(F.lit(True).alias("warm"))
     out = prune(roster, weekly(pulled, found, now, K.PRUNE_WEEKS), spared, floor).select("name").join(F.broadcast(warm), how="cross").select("name")  # warm: at most one row
     off = roster.filter(~F.col("enabled")).select("name")
     ratio = ratios(numerator(found, start, now), denominator(pulled, start, now))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidewatch.functions import aliases
 from tidewatch.functions import text as T
-from tidewatch.operators import dedup, yields
+from tidewatch.operators import dedup, rings, yields
 from tidewatch.plans.catalog import query, table
 
 
@@ -84,7 +84,7 @@ WHERE name NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING
 def q_propose_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users outside the roster (customers of one segment) with two or more opportunities."""
     roster = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("name"))
-    return yields.propose(evidence(events(spark, sf_dir)), roster)
+    return yields.propose(evidence(events(spark, sf_dir)), roster).drop("sample_url")
 
 
 @query(f"""
@@ -103,9 +103,13 @@ def q_suggest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS name, count(*) AS n, count(*) FILTER (WHERE value < 5) AS n_early, bool_or(value < 5) AS pre_viral FROM events WHERE event_type = 'purchase' GROUP BY ALL")
 def q_pre_viral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with a find of little engagement yet."""
-    early = F.col("value") < 5
-    return events(spark, sf_dir).filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n"), F.count_if(early).alias("n_early"), F.bool_or(early).alias("pre_viral"))
+    """Users with a find of little engagement yet, which goes by one of six names in a variant, as a number or as a text."""
+    e = events(spark, sf_dir).filter("event_type = 'purchase'")
+    name = F.element_at(F.array(*[F.lit(n) for n in aliases.ENGAGEMENT]), (F.col("event_id") % 6 + 1).cast("int"))
+    mark = F.when(F.col("event_id") % 2 == 0, '"').otherwise("")
+    held = F.parse_json(F.concat(F.lit('{"'), name, F.lit('": '), mark, F.col("value").cast("string"), mark, F.lit(', "other": 0}')))
+    early = aliases.any_below(held, aliases.ENGAGEMENT, 5)
+    return e.withColumn("early", early).groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n"), F.count_if("early").alias("n_early"), F.bool_or("early").alias("pre_viral"))
 
 
 @query("""
@@ -120,12 +124,13 @@ def q_drift_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yields.identity_flags(roster, sweep)
 
 
-@query("SELECT date_diff('day', min(ts), TIMESTAMP '2024-01-31') AS days, count(*) FILTER (WHERE event_type = 'view') AS n_pulls, sum(CASE WHEN event_type = 'view' THEN event_id % 4 ELSE 0 END)::BIGINT AS kept FROM events")
+@query("SELECT round((epoch_us(TIMESTAMP '2024-01-31') - min(epoch_us(ts)) FILTER (WHERE event_type = 'view')) / 86400000000, 6) AS days, count(*) FILTER (WHERE event_type = 'view') AS n_pulls, sum(CASE WHEN event_type = 'view' THEN event_id % 4 ELSE 0 END)::BIGINT AS kept FROM events")
 def q_history_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of history, pulls and what they kept."""
     e = events(spark, sf_dir)
-    view = F.col("event_type") == "view"
-    return e.agg(F.datediff(day(NOW), F.min("ts")).cast("long").alias("days"), F.count_if(view).alias("n_pulls"), F.sum(F.when(view, F.col("event_id") % 4).otherwise(0)).alias("kept"))
+    p = e.filter("event_type = 'view'").select(F.lit("handle").alias("kind"), F.lit("all").alias("name"), "ts", (F.col("event_id") % 4).alias("kept"))
+    span = yields.history_days(p, evidence(e), day(NOW)).select(F.round("days", 6).alias("days"))
+    return span.crossJoin(yields.denominator(p, day("1970-01-01"), day("2100-01-01")).select(F.col("pulls").alias("n_pulls"), "kept"))  # one row each
 
 
 @query("""
@@ -178,9 +183,12 @@ SELECT user_id AS name, count(*) AS n, min(event_id) AS oldest, max(event_id) AS
 """)
 def q_ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last thirty samples of each user."""
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    last = events(spark, sf_dir).withColumn("rn", rn).filter("rn <= 30")
-    return last.groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n"), F.min("event_id").alias("oldest"), F.max("event_id").alias("newest"), F.round(F.sum("value"), 4).alias("total"))
+    e = events(spark, sf_dir).withColumnRenamed("user_id", "name")
+    early, late = e.filter(F.col("ts") < day("2024-01-20")), e.filter(F.col("ts") >= day("2024-01-20"))
+    rings_of = lambda df: rings.ring_buffer(df, "name", ["ts", "event_id"], ["value"])
+    held = rings.merge_rings(rings_of(early), rings_of(late), "name")
+    total = F.aggregate("samples", F.lit(0.0), lambda acc, s: acc + s["value"])
+    return held.select("name", F.size("samples").cast("long").alias("n"), F.array_min("samples.event_id").alias("oldest"), F.array_max("samples.event_id").alias("newest"), F.round(total, 4).alias("total"))
 
 
 @query("""
@@ -217,10 +225,9 @@ SELECT coalesce(a.user_id, b.user_id) AS name, a.user_id IS NOT NULL AND b.user_
 def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection, differences and symmetric difference of two user sets, in one full outer join."""
     e = events(spark, sf_dir)
-    old = e.filter((F.col("event_type") == "purchase") & (F.col("ts") < F.lit("2024-01-05").cast("timestamp"))).select(F.col("user_id").alias("name"), F.lit(True).alias("o")).distinct()
-    new = e.filter((F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-27").cast("timestamp"))).select(F.col("user_id").alias("name"), F.lit(True).alias("n")).distinct()
-    j = old.join(new, "name", "full_outer")
-    return j.select("name", (F.col("o").isNotNull() & F.col("n").isNotNull()).alias("in_both"), F.col("o").isNull().alias("only_new"), F.col("n").isNull().alias("only_old"))
+    old = e.filter((F.col("event_type") == "purchase") & (F.col("ts") < day("2024-01-05"))).select(F.col("user_id").alias("name"))
+    new = e.filter((F.col("event_type") == "click") & (F.col("ts") >= day("2024-01-27"))).select(F.col("user_id").alias("name"))
+    return yields.sets_compared(old, new)
 
 
 @query("SELECT event_type, (props->>'$.k')::BIGINT % 10 AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
