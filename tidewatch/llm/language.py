@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidewatch.llm.common import slices
+from tidewatch.llm.common import scope, slices, written
 
 SAMPLE_ROWS = 1_000
+BROADCAST_ROWS = 10_000
 LONGEST = 5
 UNKNOWN = "und"
 _PLAIN = re.compile("[a-z]+")
@@ -129,16 +129,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(text, lang): of each language at most `rows` documents that are not held out, those of the least hashes; equal rows count once.
+    """(text, lang): all documents of a language that are not held out, or about `rows` of them if there are more; of equal rows one is given.
 
-    A limit of rows by language is a window that Spark applies in each task before the shuffle, so a language with most of
-    the documents makes no long partition; only languages, hashes and one bound a language are shuffled, no texts.
+    A document is picked if a hash of its id and text falls in the share of its language, so no text is shuffled before it is
+    picked and a language with most of the documents makes no long partition. The shares, a row a language, are broadcast
+    only if they are at most BROADCAST_ROWS.
     """
-    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("__h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
-    bounds = known.select("lang", "__h").withColumn("__n", place).filter(F.col("__n") <= rows).groupBy("lang").agg(F.max("__h").alias("__most"))
-    return known.join(bounds, "lang").filter("__h <= __most").groupBy("__h", "lang", "text").agg(F.lit(1)).select("text", "lang")
+    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
+    known = known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    shares = written(known.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share")), "language-shares")
+    if shares.count() <= BROADCAST_ROWS:
+        shares = F.broadcast(shares)
+    place = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) * 2.0**-53  # even over 0 to 1
+    return known.filter("text IS NOT NULL").join(shares, "lang").filter(place < F.col("share")).groupBy("id", "lang", "text").agg(F.lit(1)).select("text", "lang")
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +159,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Figures of each language from at most `rows` documents of it; held-out rows and rows with a null id, text or language don't count.
+    """Figures of each language from all, or about `rows`, documents of it; held-out rows and rows with a null id, text or language don't count.
 
     Words and n-grams are counted in Spark; those of the sample seen at least `least` times in all reach the driver. No
     usable row gives a model that knows no language.
     """
-    sample = training_rows(docs, rows, id_col, text_col, lang_col)
-    counted = sample.mapInArrow(_tally, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).cache()
-    try:
+    with scope(docs.sparkSession):
+        sample = training_rows(docs, rows, id_col, text_col, lang_col)
+        counted = written(sample.mapInArrow(_tally, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
         padded = F.concat(F.lit(" "), "item", F.lit(" "))
         size = F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("padded"))))
         sized = counted.select("lang", "n", padded.alias("padded")).withColumn("size", size)
@@ -172,8 +175,6 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = 3, id_col: str
         items = counted.withColumn("size", F.lit(0)).unionByName(grams.groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
         known = items.groupBy("size", "item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n")).filter(F.col("n") >= least)
         found = known.orderBy("size", "item").select("size", "item", "by").toArrow()
-    finally:
-        counted.unpersist()
     by = found["by"].combine_chunks()
     lang, n = by.flatten().field("lang").to_pylist(), by.flatten().field("n").to_numpy()
     names = sorted({*lang})
