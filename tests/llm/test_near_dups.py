@@ -289,4 +289,4 @@ def test_components_can_be_split(spark):
             below = plan[plan.index("SortMergeJoin") :]
             assert "HashAggregate" not in below, below
     common.release(spark)
-    assert not common._PATHS
+    assert not common._SCOPE.get().paths
