@@ -36,8 +36,10 @@ def test_substring_small_table(spark, small):
     assert any(n for _, n, _ in want.values())
 
 
-def test_substring_awkward(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_bytes", [0, common.BROADCAST_BYTES])
+def test_substring_awkward(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(substring, "MANY", 2)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast_bytes)
     df = frame(spark, AWKWARD + [(100 + i, f"{PASSAGE} extra {i}") for i in range(30)]).drop("n_words")
     want = brute.substring([tuple(r) for r in df.select("doc_id", "text").collect()])
     out = substring.remove_repeats(df, shard_rows=20)
@@ -48,6 +50,17 @@ def test_substring_awkward(spark, monkeypatch):
     assert kept[1] is None and kept[6] == "head six" and kept[5] == f"{PASSAGE} tail five"
 
 
+def test_a_side_is_broadcast_by_the_measured_size_of_its_rows(spark):
+    """A small file of long arrays is merged, though Spark itself would broadcast it; an empty table is broadcast."""
+    with common.scope(spark):
+        rows = spark.range(2000).withColumn("spans", F.array_repeat(F.struct(F.lit(1).alias("at"), F.lit(2).alias("length")), 1000))
+        table, none = common.written(rows, "spans"), common.written(rows.limit(0), "spans")
+        plan = lambda side: spark.range(2000).join(side, "id")._jdf.queryExecution().sparkPlan().toString()
+        size = 32 + 32 * F.size("spans")
+        assert "BroadcastHashJoin" in plan(table) and "SortMergeJoin" in plan(common.measured(table, size))
+        assert "BroadcastHashJoin" in plan(common.measured(table.limit(10), size)) and "BroadcastHashJoin" in plan(common.measured(none, size))
+
+
 def test_substring_frequent_fingerprint(spark, monkeypatch):
     """A five-word phrase of low hash in ever new contexts must not put all its stretches in one shard."""
     hasher = substring.WordHasher(substring.ascii_space())

@@ -99,6 +99,21 @@ def release(spark: SparkSession, *keep: DataFrame) -> None:
         _delete(spark, path)
 
 
+#: What the rows of a side that is broadcast may take, as measured; a few times of it in memory.
+BROADCAST_BYTES = 8 << 20
+
+
+def measured(table: DataFrame, row_bytes: Column, total: int | None = None) -> DataFrame:
+    """A written table as a side of a join: broadcast where its rows take BROADCAST_BYTES at most, else merged.
+
+    Left to itself Spark goes by the size of the files, and compressed arrays are many times larger as rows. `row_bytes` is
+    what a row takes; their sum is read from the table where `total` doesn't give it. An empty table is broadcast.
+    """
+    if total is None:
+        total = table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table.hint("merge")
+
+
 def text_bytes(text: str | Column = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(text) if isinstance(text, str) else text), F.lit(0)).cast("long")

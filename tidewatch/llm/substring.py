@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHasher, ascii_space, discard, grams, mix, slices, sliding_min, written
+from tidewatch.llm.common import WordHasher, ascii_space, discard, grams, measured, mix, slices, sliding_min, written
 
 GRAM = 5
 CHUNK = 1 << 20
@@ -280,11 +280,11 @@ def _frequent(stretches: DataFrame, shard_rows: int) -> DataFrame:
 def _locate_singles(stretches: DataFrame, span: int) -> DataFrame:
     """(doc, at, length) of every phrase of the stretches that a document before it has too, without a shard."""
     worded = stretches.filter("words IS NOT NULL").groupBy("fp", "print").agg(F.first("words").alias("words"))
-    full = stretches.drop("words").join(worded, ["fp", "print"])
+    full = stretches.drop("words").join(worded.hint("merge"), ["fp", "print"])
     singles = written(full.select("words", "docs", "ids", "at").mapInArrow(_singles(span), "phrase binary, docs array<long>, ids array<long>, at array<int>"), "single-phrases")
     ends = singles.groupBy("phrase").agg(F.min(F.array_min("ids")).alias("low"), F.max(F.array_max("ids")).alias("high"))
     ends = written(ends.filter("low < high"), "recurring-singles")  # written, so that AQE can split a frequent phrase
-    met = singles.join(ends, "phrase").select("low", F.inline(F.arrays_zip("docs", "ids", "at")))
+    met = singles.join(measured(ends, 48 + F.length("phrase")), "phrase").select("low", F.inline(F.arrays_zip("docs", "ids", "at")))
     return met.filter("ids > low").select(F.col("docs").alias("doc"), "at", F.lit(span).alias("length"))
 
 
@@ -304,28 +304,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = _with_doc(docs, id_col, text_col).filter("__doc IS NOT NULL")
     asked = base.select("__doc", F.col(text_col).cast("string")).mapInArrow(_fingerprints(span), "key long, fp long, doc long, kind byte")
     recurring = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_recurring, "doc long, fp long")
-    recurring = written(recurring, "recurring-phrases")
-    shards = max(1, -(-recurring.count() // shard_rows))
-    wanted = recurring.groupBy(F.col("doc").alias("__key")).agg(F.collect_set("fp").alias("__fps"))
-    stretches = base.select("__doc", "__id", text_col).join(wanted, F.col("__doc") == F.col("__key"))
+    wanted = written(recurring.groupBy(F.col("doc").alias("__key")).agg(F.collect_set("fp").alias("__fps")), "recurring-phrases")
+    n, docs_of = wanted.agg(F.coalesce(F.sum(F.size("__fps")), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-n // shard_rows))
+    stretches = base.select("__doc", "__id", text_col).join(measured(wanted, F.lit(0), 8 * n + 40 * docs_of), F.col("__doc") == F.col("__key"))
     stretches = stretches.mapInArrow(_stretches(span, text_col), "fp long, print long, words binary, low long, high long, docs array<long>, ids array<long>, at array<int>")
     stretches = written(stretches, "stretches")
     frequent = written(_frequent(stretches, shard_rows), "frequent-fingerprints")
     many = frequent.count()
     rest = stretches
     if many:
-        known = F.broadcast(frequent) if many <= BROADCAST_ROWS else frequent
+        known = F.broadcast(frequent) if many <= BROADCAST_ROWS else frequent.hint("merge")
         rest = stretches.join(known, "fp", "left_anti")
     rows = rest.filter("words IS NOT NULL").select(F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("part"), "fp", "print", "words", "low", "high")
     hits = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_locate(span), "fp long, print long, at array<int>, n array<int>, first array<long>")
     hits = written(hits.select("fp", "print", F.arrays_zip("at", "n", "first").alias("hits")), "stretch-hits")  # written, so that AQE can split a frequent stretch
-    met = rest.select("fp", "print", F.arrays_zip("docs", "ids", "at").alias("who")).join(hits, ["fp", "print"]).select(F.explode("who").alias("x"), "hits")
+    met = rest.select("fp", "print", F.arrays_zip("docs", "ids", "at").alias("who")).join(measured(hits, 48 + 40 * F.size("hits")), ["fp", "print"]).select(F.explode("who").alias("x"), "hits")
     met = met.select(F.col("x.docs").alias("doc"), F.col("x.at").alias("from"), F.explode(F.filter("hits", lambda h: h["first"] < F.col("x.ids"))).alias("h"))
     located = met.select("doc", (F.col("from") + F.col("h.at")).alias("at"), (F.col("h.n") + F.lit(span - 1)).alias("length"))
     if many:
         located = located.unionByName(_locate_singles(stretches.join(known, "fp", "left_semi"), span))
     spans = written(located.groupBy("doc").agg(F.collect_set(F.struct("at", "length")).alias("spans")), "repeated-spans")
-    discard(recurring, stretches, frequent, hits)
+    discard(wanted, stretches, frequent, hits)
     return spans
 
 
@@ -360,6 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")  # columns of these names give way
     spans = repeated_spans(docs, id_col, text_col, span, shard_rows).select(F.col("doc").alias("__key"), F.col("spans").alias("__spans"))
+    spans = measured(spans, 32 + 32 * F.size("__spans"))
     joined = _with_doc(docs, id_col, text_col).join(spans, F.col("__doc") == F.col("__key"), "left").drop("__id", "__doc", "__key")
     fields = [*[f for f in joined.schema.fields if f.name not in ("__spans", *([] if with_text else [text_col]))]]
     names = [f.name for f in fields]
