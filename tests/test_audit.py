@@ -1,5 +1,7 @@
 """Roster, evidence, structural scan, dashes, redaction and settings on small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,32 @@ def test_readers_and_lanes(spark, tmp_path):
     assert signals.count() == 2 and tuple(pull.first()) == ("v2ex", 4, 2)
 
 
+def test_lines_of_jsonl(spark, tmp_path):
+    """A byte order mark, bad bytes and a value of another type cost nothing else; torn, shared and blank lines and what is no object go."""
+    lines = [b'\xef\xbb\xbf{"id": "mark", "n": 1}', b"", b"  ", b'{"id": "byte\xff", "n": 2}', b'{"id": "torn"', b'{"id": "a"}{"id": "b"}', b'{"id": "a"}, {"id": "b"}', b'{"id": "rest"} x', b"[1]", b'"x"', b"7", b'{"id": "text", "n": "x"}', b'\t{"id": "more", "m": {"a": []}}\r', b"{}"]
+    (tmp_path / "a.jsonl").write_bytes(b"\n".join(lines))
+    (tmp_path / "b.jsonl").write_bytes(b"")
+    got = feeds.read_jsonl(spark, f"{tmp_path}/*.jsonl", "id string, n int").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("mark", 1), ("byte\ufffd", 2), ("text", None), ("more", None), (None, None)], key=str)
+
+
+def test_well_formed_evidence(spark):
+    kind = "e array<struct<url: string, source: string, ts: string>>"
+    rows = [(None,), ([],), ([("u", "s", "t"), ("", "s", "t"), ("u", None, "t"), ("u", "s", None), None],)]
+    assert [r[0] for r in spark.createDataFrame(rows, kind).select(evidence.well_formed(F.col("e"))).collect()] == [0, 0, 1]
+
+
+def test_quoted_voices(spark):
+    """A voice that is rostered, malformed, missing or the handle itself is none; names are compared without case and @."""
+    voices = ["@New_One", "rostered", "@ROSTERED", "me", "@Me", "much-too-long", "", None, "a" * 16, "new_one"]
+    tweets = [{"id": str(i), "url": f"p{i}", "text": "x", "likeCount": 9, "quoted_tweet": {"url": f"q{i}", "author": {"userName": v}}} for i, v in enumerate(voices)] + [{"id": "x", "text": "x", "likeCount": 9}]
+    roster = spark.createDataFrame([("Me", "t", 1, True, ""), ("@Rostered", "t", 2, False, "")], "handle string, track string, tier int, enabled boolean, topic_filter string")
+    pages = spark.createDataFrame([("@me", json.dumps({"tweets": tweets}), 0)], "handle string, body string, pos int")
+    signals, pulls = feeds.collect_timelines(roster, pages, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r["url"] for r in signals.filter("via_handle = 'Me'").collect()) == ["q0", "q9"]
+    assert signals.filter("via_handle IS NULL").count() == 11 and pulls.first()["kept"] == 11
+
+
 def test_golden_draws_and_pseudonyms(spark):
     """Values that the standard library gives for these seeds, written down."""
     df = spark.createDataFrame([("ai", 2.0, 3.0), ("saas", 1.0, 1.0)], "track string, a double, b double")

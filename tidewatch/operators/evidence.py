@@ -41,6 +41,12 @@ def opportunity_key(opportunity_id: Column, canonical_key: Column, row_id: Colum
     return F.coalesce(F.concat(F.lit("op:"), F.trim(_said(opportunity_id))), F.concat(F.lit("ck:"), F.trim(_said(canonical_key))), F.concat(F.lit("id:"), row_id.cast("string")))
 
 
+def well_formed(evidence: Column) -> Column:
+    """How many items have an address, a source and a time; 0 without evidence."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    return F.coalesce(F.size(F.filter(evidence, lambda e: said(e["url"]) & said(e["source"]) & said(e["ts"]))), F.lit(0))
+
+
 def representative(evidence: Column) -> Column:
     """The first community item of a card, else its first item, else null."""
     return F.coalesce(F.get(F.filter(evidence, lambda e: is_community(e)), 0), F.get(evidence, 0))

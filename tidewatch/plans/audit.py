@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed as K
 from tidewatch.functions import scoring as S
-from tidewatch.operators import bandit, classify, evidence, privacy, roster
+from tidewatch.operators import bandit, classify, evidence, gate, privacy, roster
 from tidewatch.plans.catalog import query, table
 
 _DOMAINS = ", ".join(f"'{d}'" for d in privacy.PERSONAL_DOMAINS)
@@ -120,3 +120,52 @@ _TOPICS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(x, '{w}')" for w in t.lo
 def q_focus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The focus topics that each document has a word of."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.focus_tags(F.lower(F.coalesce("text", F.lit("")))), ",").alias("tags"))
+
+
+_PLACES = r"""text || CASE doc_id % 6 WHEN 0 THEN ' Ship to: Main St 94' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN ' postal code 12345' WHEN 2 THEN ' /home/dev' || CAST(doc_id AS VARCHAR) || '/x' WHEN 3 THEN ' C:\Users\Alice\x C:\Users\pat7'
+  WHEN 4 THEN ' ~/.secrets/key' || CAST(doc_id AS VARCHAR) ELSE ' zip file 54321' END"""
+_USERS = ", ".join(f"'{u}'" for u in privacy.GENERIC_USERS)
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {_PLACES} AS text FROM documents)
+SELECT DISTINCT * FROM (SELECT doc_id, 'ZIP' AS label, unnest(regexp_extract_all(text, '(?i)(?:\bzip\s*code\b|\bpostal\s*code\b|邮编|\bship(?:ping)?\s+to\b|\bdeliver\s+to\b)[^\n]{{0,24}}?\b([0-9]{{5}})\b', 1)) AS value FROM t) WHERE value NOT IN ('10001', '00000', '12345', '90210')
+UNION ALL SELECT DISTINCT * FROM (SELECT doc_id, 'USER-PATH' AS label, unnest(regexp_extract_all(text, '(?:[A-Za-z]:\\{{1,4}}Users\\{{1,4}}|/(?:home|Users)/)[A-Za-z0-9][\w.\-]{{0,31}}')) AS value FROM t) WHERE lower(regexp_extract(value, '([^\\/]*)$', 1)) NOT IN ({_USERS})
+UNION ALL SELECT DISTINCT doc_id, 'PRIVATE-PATH', unnest(regexp_extract_all(text, '(?i)(?:~|\$HOME|\$env:USERPROFILE|\$env:HOME|%USERPROFILE%)[\\/]\.secrets\b[\w./\\-]*')) FROM t
+""")
+def q_scan_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postal codes and home paths: each document is given one, some of which are allowed or none."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_PLACES.replace("\\", "\\\\").replace("VARCHAR", "STRING")))
+    return privacy.scan(docs, "doc_id", "text", private_dirs=["secrets"]).filter("label IN ('ZIP', 'USER-PATH', 'PRIVATE-PATH')")
+
+
+@query("""
+WITH a AS (SELECT c_nationkey::VARCHAR AS track, 1.0::DOUBLE + count(*) FILTER (WHERE c_acctbal > 5000) AS a, 1.0::DOUBLE + count(*) FILTER (WHERE c_acctbal <= 5000) AS b FROM customer GROUP BY ALL)
+SELECT track, round(a / (a + b), 6) AS theta, round(a * b / ((a + b) * (a + b) * (a + b + 1)), 9) AS variance FROM a ORDER BY theta DESC, track LIMIT 1
+""")
+def q_best_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation whose customers reward most, by the means of posteriors that differ, with its variance."""
+    won = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("track"), (F.col("c_acctbal") > 5000).cast("double").alias("reward"))
+    arms = bandit.fold_rewards(spark.createDataFrame([], "track string, alpha double, beta double, n long"), won)
+    a, b = F.col("alpha"), F.col("beta")
+    return bandit.best_track(arms.select("track", F.round(bandit.posterior_mean(a, b), 6).alias("theta"), F.round(bandit.posterior_variance(a, b), 9).alias("variance")))
+
+
+_FLAWS = ", ".join(f"CASE WHEN id % {12 + i} = 0 OR (id * {i}) % 130 - 10 NOT BETWEEN 0 AND 100 THEN 'breakdown.{n}' END" for i, n in enumerate(K.DIMENSIONS, 1))
+
+
+@query(f"""
+SELECT id, array_to_string(list_filter([CASE WHEN id % 11 = 0 THEN 'track' END, {_FLAWS}, CASE WHEN id % 17 = 0 OR id % 120 - 5 NOT BETWEEN 0 AND 100 THEN 'final_score' END, CASE WHEN good < 2 THEN 'evidence' END, CASE WHEN n < 2 THEN 'sources' END,
+  CASE WHEN id % 13 = 0 THEN 'why_now' END, CASE WHEN id % 9 = 0 THEN 'action' END], lambda e: e IS NOT NULL), ',') AS errors, good
+FROM (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_linenumber % 4 <> 0 AND l_suppkey % 5 <> 0 AND l_partkey % 7 <> 0) AS good, count(DISTINCT l_suppkey % 3) AS n FROM lineitem GROUP BY ALL)
+""")
+def q_gate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the gate: dimensions and scores that are missing or out of range, evidence without address, source or time."""
+    item = F.struct(
+        F.when(F.col("l_linenumber") % 4 == 0, "").otherwise("http://u").alias("url"), F.when(F.col("l_suppkey") % 5 != 0, "s").alias("source"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_shipdate")).alias("ts"),
+    )
+    cards = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("evidence"), F.countDistinct(F.col("l_suppkey") % 3).alias("n"))
+    k, good = F.col("id"), evidence.well_formed(F.col("evidence"))
+    dims = {name: F.when(k % (12 + i) != 0, (k * i) % 130 - 10) for i, name in enumerate(K.DIMENSIONS, 1)}
+    errors = gate.card_errors(F.when(k % 11 == 0, "").otherwise("t"), dims, F.when(k % 17 != 0, k % 120 - 5), good, F.col("n"), F.when(k % 13 == 0, " ").otherwise("now"), F.when(k % 9 != 0, "act"))
+    return cards.select("id", F.array_join(errors, ",").alias("errors"), good.cast("long").alias("good"))

@@ -151,12 +151,54 @@ def q_fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("lineno").cast("long").alias("lineno"), "fenced")
 
 
-@query()
+_DASH, _BLANK = "[–—]+", r"[\s\x0B\x{85}\p{Z}]"
+
+
+def _undashed(x: str) -> str:
+    """SQL of prose without its dashes, rule by rule."""
+    ends = rf"(?:[ \t]+{_DASH}[ \t]*|{_DASH}[ \t]+)"
+    rules = [
+        (rf"{_BLANK}+{_DASH}{_BLANK}+", ", "), (rf"([A-Za-z0-9]){_DASH}([A-Za-z0-9])", r"\1 to \2"), (rf"{ends}(\r?)\z", r",\1"),
+        (rf"\A[ \t]*{_DASH}[ \t]+", ""), (rf"[ \t]+{_DASH}[ \t]*|{_DASH}[ \t]+", ", "), (_DASH, ","),
+    ]
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+def _cells(x: str) -> str:
+    """SQL of a table row without dashes; its bars are doubled meanwhile, so that two cells don't share one."""
+    rules = [(rf"\|{_BLANK}*{_DASH}{_BLANK}*\|", "| none |"), (rf"\|{_BLANK}*{_DASH}{_BLANK}*?(\r?)\z", r"| none\1"), (rf"\|({_BLANK}*){_DASH}([ \t][^\s\x0B\x{{85}}\p{{Z}}])", r"|\1-\2")]
+    x = f"replace({x}, '|', '||')"
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"replace({x}, '||', '|')"
+
+
+def _dashes_sql(text: str) -> str:
+    return rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS lineno FROM (SELECT doc_id, {text} AS t FROM documents)),
+f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS m FROM l), g AS (SELECT *, m OR sum(m::INT) OVER (PARTITION BY doc_id ORDER BY lineno) % 2 = 1 AS fenced FROM f),
+r AS (SELECT doc_id, lineno, fenced, line, CASE WHEN regexp_matches(line, '^ {{0,3}}\|.*\|') THEN {_cells('line')} ELSE line END AS row FROM g),
+p AS (SELECT *, regexp_split_to_array(row, '`[^`]*`') AS prose, regexp_extract_all(row, '`[^`]*`') AS code FROM r)
+SELECT doc_id, lineno::INT AS lineno, CASE WHEN fenced THEN line ELSE array_to_string(list_transform(range(1, len(prose) + 1), lambda i: {_undashed('prose[i]')} || coalesce(code[i], '')), '') END AS line FROM p
+"""
+
+
+@query(_dashes_sql("replace(text, ',', '—')"))
 def q_dash_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashes of prose and table lines rewritten; commas of the text stand for dashes, for the table has none."""
     return guards.rewrite_dashes(docs(spark, sf_dir).select("doc_id", F.translate("text", ",", "—").alias("text")))
 
 
+@query(_dashes_sql("regexp_replace(replace(replace(replace(replace(text, '. ', chr(10)), ',', '—'), ' and ', ' — '), ' the ', '`'), '(?m)^([A-M][^\\n]*) (is|of|to|in) ', '| — |\\1| – |— \\2|', 'g')"))
+def q_dash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashes rewritten by where they stand: one sentence a line, 'and' a spaced dash, 'the' a mark of inline code, and some lines rows of a table."""
+    text = F.expr(r"""replace(replace(replace(replace(text, '. ', '\n'), ',', '—'), ' and ', ' — '), ' the ', '`')""")
+    rows = F.regexp_replace(text, r"(?m)^([A-M][^\n]*) (is|of|to|in) ", "| — |$1| – |— $2|")
+    return guards.rewrite_dashes(docs(spark, sf_dir).select("doc_id", rows.alias("text")))
+
+
 @query(r"SELECT page_id, CASE WHEN regexp_full_match(trim(url), 'https?://[^\s<>]+') THEN trim(url) ELSE '' END AS clean FROM pages")
 def q_url_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that can be linked to."""

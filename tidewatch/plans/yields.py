@@ -87,6 +87,26 @@ def q_propose_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yields.propose(evidence(events(spark, sf_dir)), roster).drop("sample_url")
 
 
+@query("""
+SELECT user_id AS name, count(DISTINCT event_id // 2) AS n_opps, arg_min('http://u/' || event_id % 1000, event_id) FILTER (WHERE event_id % 3 <> 0) AS sample_url FROM events
+WHERE event_type = 'purchase' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY ALL HAVING count(DISTINCT event_id // 2) >= 2
+""")
+def q_propose_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users outside the roster with the first address of their evidence that is not blank."""
+    e = events(spark, sf_dir).filter("event_type = 'purchase'")
+    url = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit("http://u/"), F.col("event_id") % 1000))
+    found = e.select(F.expr("event_id div 2").alias("opp_id"), F.col("user_id").alias("name"), F.lit("t").alias("track"), F.col("event_id").alias("pos"), url.alias("url"))
+    roster = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("name"))
+    return yields.propose(found, roster).select("name", "n_opps", "sample_url")
+
+
+@query("SELECT round((epoch_us(TIMESTAMP '2024-01-31') - min(epoch_us(ts))) / 86400000000, 6) AS days FROM events WHERE event_type = 'purchase'")
+def q_history_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of history where no pull has a time: the records tell."""
+    e = events(spark, sf_dir)
+    return yields.history_days(pulls(e).withColumn("ts", F.lit(None).cast("timestamp")), evidence(e), day(NOW)).select(F.round("days", 6).alias("days"))
+
+
 @query(f"""
 WITH n AS (SELECT name, count(DISTINCT opp_id) AS contributions FROM ({_EV}) GROUP BY ALL), d AS (SELECT user_id AS name, count(*) AS pulls FROM events WHERE event_type <> 'purchase' GROUP BY ALL)
 SELECT name, contributions, pulls, round(contributions / pulls, 6) AS yield FROM n JOIN d USING (name) JOIN customer ON c_custkey = name

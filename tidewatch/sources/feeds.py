@@ -24,8 +24,15 @@ SIGNAL = ("source", "origin", "url", "signal", "ts", "origin_handle", "origin_so
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Intact lines of JSONL files; blank and corrupt ones are left out. A glob reads many months."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The lines of JSONL files that hold one JSON object; blank and corrupt ones are left out. A glob reads many months.
+
+    Bytes that are no UTF-8 are replaced and their line stays, and so does a line with a value of another type, which is null.
+    """
+    line = F.trim(F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", ""), F.lit(" \t\r"))
+    lines = spark.read.text(path).withColumn("value", line)
+    # within brackets a line that is torn, or that two records share, is no JSON or no list of one
+    whole = F.startswith("value", F.lit("{")) & (F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1)
+    return lines.filter(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
