@@ -9,6 +9,7 @@ from tidewatch.functions import fixed as K
 from tidewatch.functions import text as T
 from tidewatch.operators import guards
 from tidewatch.plans.catalog import query, table
+from tidewatch.plans.redaction_sql import redaction
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +49,19 @@ def q_secret_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "token", F.round(T.char_entropy(F.col("token")), 6).alias("entropy"))
 
 
-@query()
+_TURNS = "SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations"
+
+
+@query(f"SELECT id, redacted, found FROM ({redaction(_TURNS, guards.EGRESS, guards.MAY_HAVE)})")
 def q_redact_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and turns of conversations with personal data replaced in place (numbering is sequential, so no SQL twin)."""
+    """Documents and turns of conversations with personal data replaced in place."""
     d = docs(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text")
     r = d.unionByName(c).withColumn("r", guards.redact(F.col("text"), guards.EGRESS))
     return r.select("id", "r.redacted", F.to_json("r.found").alias("found"))
 
 
-@query()
+@query(f"SELECT id AS doc_id, total > 0 AS has_pii, redacted FROM ({redaction('SELECT doc_id AS id, text FROM documents', guards.CORE, guards.MAY_HAVE)})")
 def q_redact_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after the stricter redaction that takes links and handles too."""
     r = docs(spark, sf_dir).withColumn("r", guards.redact(F.col("text"), guards.CORE))
