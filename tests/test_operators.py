@@ -161,12 +161,7 @@ def test_timeline_pages_of_the_last_response(spark):
     assert {tuple(r) for r in pulls.collect()} == {("a", 3, 3), ("b", 0, 0)}
 
 
-def test_sinks(spark, tmp_path):
-    cards = spark.createDataFrame([("k1", T0, True), ("k2", T0, False)], "canonical_key string, last_seen timestamp, passed boolean")
-    sinks.append_archive(cards, str(tmp_path / "a"), dry_run=True)
-    assert not (tmp_path / "a").exists()
-    sinks.append_archive(cards, str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "a")).count() == 1
+def test_pull_shards(spark, tmp_path):
     pulls = spark.createDataFrame([("r", T0, "h", 1)], "run_id string, ts timestamp, handle string, kept int")
     sinks.append_pulls(pulls, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("ym = '2026-06'").count() == 1

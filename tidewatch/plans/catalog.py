@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tidewatch.plans import audit, cards, feeds, guards, matching, ranking, runs, trees, yields  # noqa: F401
+    from tidewatch.plans import archives, audit, cards, feeds, guards, matching, ranking, runs, trees, yields  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

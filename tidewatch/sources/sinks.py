@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from tidewatch.operators import dedup
 
 
-def append_archive(cards: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
-    """Appends the cards that pass the gate, by date of last_seen; a dry run writes nothing. Returns what is (or would be) written."""
-    kept = cards.filter("passed").withColumns({"date": F.to_date("last_seen"), "schema_version": F.lit(1)})
-    if not dry_run:
-        kept.write.mode("append").partitionBy("date").parquet(path)
-    return kept
-
-
 def append_pulls(pulls: DataFrame, path: str, dry_run: bool = False) -> None:
     """Appends pull rows by month, so a replay reads the months of its window only."""
     if not dry_run:
