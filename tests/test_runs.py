@@ -165,6 +165,17 @@ def test_state_table_compare_and_set(spark, tmp_path):
     assert a.get("n") == 5
 
 
+def test_a_number_that_was_taken_and_deleted_is_a_conflict(spark, tmp_path):
+    a, b = (StateTable(spark, str(tmp_path / "state"), keep=2) for _ in range(2))
+    version, values = a.snapshot()
+    for i in range(4):
+        b.put("n", i)
+    with pytest.raises(Conflict):
+        a.commit(version, values | {"n": 9})
+    assert a.get("n") == 3 and a.update(lambda v: v | {"m": v["n"]}) == {"n": 3, "m": 3}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=000000000004", "v=000000000005"]
+
+
 def test_watermark_waits_for_all_lanes(spark, tmp_path, monkeypatch):
     runs = lanes.LaneRuns(spark, str(tmp_path))
     asked = []
