@@ -188,6 +188,49 @@ def test_vectors_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def grown_vectors(n, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = rng.standard_normal((n, 64))
+    rows[n // 2 : n // 2 + n // 8] = rows[: n // 8] + 0.02 * rng.standard_normal((n // 8, 64))
+    return rows
+
+
+def test_vectors_that_no_grid_prunes_are_sent_once_a_tile(spark, monkeypatch):
+    """Evenly spread vectors: what is sent to tasks is a vector a tile, not one for each cell near it."""
+    rows = grown_vectors(600)
+    sent = []
+    plain = embeddings._verify
+
+    def counted(*args):
+        total = spark.sparkContext.accumulator(0)
+        sent.append(total)
+        run = plain(*args)
+
+        def f(pdf):
+            total.add(len(pdf))
+            return run(pdf)
+
+        return f
+
+    monkeypatch.setattr(embeddings, "_verify", counted)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, cell_values=150 * 64).collect()}
+    assert got == brute.vectors([(i, r.tolist()) for i, r in enumerate(rows)])
+    assert sent[-1].value <= 600 * 4
+
+
+def test_vectors_that_a_grid_prunes(spark):
+    """Vectors in few narrow clusters keep the grid, and each way finds the same links."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((40, 64))
+    rows = [(i, (centre[i % 40] + 0.15 * rng.standard_normal(64)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute.vectors(rows)
+    for axes, cell_values in ((None, 640), (3, 1 << 21)):
+        out = embeddings.near_vectors(df, axes=axes, cell_values=cell_values).collect()
+        assert {r["id"]: (r["n_links"], r["component_id"]) for r in out} == want
+
+
 def jaccard_groups(docs, least=0.8):
     sets = {}
     for i, t in docs:
