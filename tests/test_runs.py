@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -45,6 +46,32 @@ def test_most_specific_grant_wins(spark):
     assert grants.granted(f.limit(0), g).collect() == []
 
 
+def test_grants_against_all_pairs(spark):
+    """Many grants on a few keys, against the rule pair by pair; what is joined grows with the findings, not with findings times grants."""
+    rng = random.Random(3)
+    time = lambda d: None if d is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    f = [(i, rng.choice(["A", "b", None]), rng.choice(["history", "tree", None]), rng.choice(["r", "s", None]), rng.choice(["x/y/f", "x/z", "", None]), time(rng.choice([None, *range(12)]))) for i in range(150)]
+    g = [(100 + i, rng.choice(["a", "B"]), rng.choice(["all", *["history-only"] * 3, "none"]), rng.choice(["r", "q", None]), rng.choice(["x", "x/y/", "", None]), time(rng.choice([None, *range(12)]))) for i in rng.sample(range(1000), 60)]
+    best, used, ran = {}, dict.fromkeys((r[0] for r in g), 0), dict.fromkeys((r[0] for r in g), 0)
+    for i, token, domain, repo, path, at in f:
+        met = []
+        for pos, t, scope, r, prefix, expires in g:
+            head = (prefix or "").strip("/")
+            if token and domain and token.lower() == t.lower() and r in (None, repo) and (not head or f"{path or ''}/".startswith(f"{head}/")) and (expires is None or at is None or at < expires):
+                met.append(((r is None, -len([p for p in head.split("/") if p]), pos), pos, scope == "all" or (scope == "history-only" and domain == "history")))
+        first = min((m[0] for m in met if m[2]), default=None)
+        best[i] = first and first[2]
+        for rank, pos, applies in met:
+            used[pos] += applies and rank == first
+            ran[pos] += not applies and (first is None or rank < first)
+    findings = spark.createDataFrame(f, "finding long, token string, domain string, repo string, path string, at timestamp")
+    held = spark.createDataFrame(g, "pos long, token string, scope string, repo string, prefix string, expires timestamp")
+    assert {r["finding"]: r["grant_pos"] for r in grants.granted(findings, held).collect()} == best
+    assert {r["pos"]: (r["suppressed"], r["live_collisions"]) for r in grants.grant_uses(findings, held).collect()} == {p: (used[p], ran[p]) for p in used}
+    few = held.unionByName(held.withColumn("pos", F.col("pos") + 10_000)).unionByName(held.withColumn("pos", F.col("pos") + 20_000))
+    assert grants._met(findings, grants._spans(grants._held(few))).count() == grants._met(findings, grants._spans(grants._held(held))).count()
+
+
 def test_cross_repo_tokens(spark):
     rows = [
         ("a", "tool", False), ("a", "tool-data", True), ("a", "tool-secrets", True), ("b", "tool-data", True), ("a", "notes", True), ("a", "two-part_name", True), ("a", "mine-config", True), ("a", "mine-hidden-thing", True), ("c", "tool-data", True), ("a", "x-y", True), ("a", None, True), ("a", "a-b-c", False),
