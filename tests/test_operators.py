@@ -165,3 +165,30 @@ def test_pull_shards(spark, tmp_path):
     pulls = spark.createDataFrame([("r", T0, "h", 1)], "run_id string, ts timestamp, handle string, kept int")
     sinks.append_pulls(pulls, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("ym = '2026-06'").count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingles_are_shuffled_once_at_most(spark):
+    line = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    docs = spark.createDataFrame([(3, line), (1, line), (2, "x " + line), (1, line), (1, line + " y"), (4, None), (None, line)], "doc_id long, text string")
+    refs = spark.createDataFrame([(7, line), (8, "x " + line)], "item_id long, text string")
+    pairs = guards.shared_first_owners(docs)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 23)]
+    assert plan_of(guards.shared_first_owners(docs.filter("doc_id = 3"))).count("hashpartitioning(shingle") == 1
+    share = guards.duplicate_share(docs, refs)
+    assert {r["doc_id"]: (r["n_shingles"], r["n_dup"]) for r in share.collect()} == {1: (24, 23), 2: (24, 24), 3: (23, 23), None: (23, 23)}
+    assert {tuple(r) for r in guards.top_offenders(docs, refs).collect()} == {(1, 7, 23), (1, 8, 23), (2, 7, 23), (2, 8, 24), (3, 7, 23), (3, 8, 23), (None, 7, 23), (None, 8, 23)}
+    for df in (guards.duplicate_share(docs.filter("doc_id = 3"), refs), guards.top_offenders(docs.filter("doc_id = 3"), refs)):
+        assert "hashpartitioning(shingle" not in plan_of(df)
+
+
+def test_a_configuration_is_parsed_once(spark):
+    from tidewatch.operators import gate
+
+    df = spark.createDataFrame([("[1]",), ("{",), (None,)], "c string").select(gate.setting_errors(F.col("c")).alias("e"))
+    assert [r["e"] for r in df.collect()] == [["not an object"], ["not an object"], []]
+    # of the whole, and of the four lists of a source
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1 + 4

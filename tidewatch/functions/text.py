@@ -18,7 +18,7 @@ _KEPT = K.TOKEN.replace("*", "{2,}+", 1)
 _KEPT = f"({_KEPT})|[a-z0-9][a-z0-9+.#-]?+"
 
 
-def _once(value: Column, f) -> Column:
+def once(value: Column, f) -> Column:
     """f(value) with the value made once, however often f names it."""
     return F.transform(F.array(value), f)[0]
 
@@ -32,7 +32,7 @@ def _folded(found: Column) -> Column:
     """Tokens with aliases folded; most texts have none, and are left as they are."""
     alias = F.create_map(*[F.lit(x) for kv in K.ALIAS.items() for x in kv])
     names = F.array(*[F.lit(x) for x in K.ALIAS])
-    return _once(found, lambda v: F.when(F.arrays_overlap(v, names), F.transform(v, lambda t: F.coalesce(F.try_element_at(alias, t), t))).otherwise(v))
+    return once(found, lambda v: F.when(F.arrays_overlap(v, names), F.transform(v, lambda t: F.coalesce(F.try_element_at(alias, t), t))).otherwise(v))
 
 
 def tokens(text: Column) -> Column:
@@ -146,10 +146,11 @@ def subjects_agree(a: Column, b: Column) -> Column:
 
 def prose_words(text: Column) -> Column:
     """Lower-case words of prose: fences, table rows, link targets and markup marks taken out, words without letters dropped."""
-    plain = F.regexp_replace(text, r"(?s)```.*?```", " ")
-    plain = F.regexp_replace(plain, r"(?m)^\s*\|.*\|\s*$", " ")
-    plain = F.regexp_replace(plain, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = F.regexp_replace(plain, r"[`*_#>]", " ")
+    # what a pattern cannot do without is looked for first: most texts have none of it
+    plain = F.when(text.contains("```"), F.regexp_replace(text, r"(?s)```.*?```", " ")).otherwise(text)
+    plain = once(plain, lambda t: F.when(t.contains("|"), F.regexp_replace(t, r"(?m)^\s*\|.*\|\s*$", " ")).otherwise(t))
+    plain = once(plain, lambda t: F.when(t.contains("]("), F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(t))
+    plain = F.translate(plain, "`*_#>", "     ")
     return F.filter(F.split(F.lower(plain), r"\s+"), lambda w: w.rlike(r"\p{L}"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed as K
 from tidewatch.functions import text as T
+from tidewatch.sources.shared import kept
 
 _U = "(?U)"
 REDACTED = "struct<redacted: string, found: map<string, int>>"
@@ -200,17 +201,27 @@ def lines_with_fences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (id, shingle), a shingle as its 64-bit hash."""
+    """Distinct (id, shingle), a shingle as its 64-bit hash.
+
+    A row's shingles are made distinct where it lies; only rows that repeat an id are compared with each other.
+    """
     words = docs.select(id_col, T.prose_words(F.col(text_col)).alias("words"))
     # explode_outer: explode would add a filter on the array, and so compute the words again for each shingle.
     # A shingle is known by 64 bits of its words from here on: an eighth of what its text would shuffle.
-    return words.select(id_col, F.explode_outer(F.transform(T.shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("shingle")).filter("shingle IS NOT NULL").distinct()
+    hashes = F.array_distinct(F.transform(T.shingles(F.col("words")), lambda s: F.xxhash64(s)))
+    rows = words.select(id_col, F.explode_outer(hashes).alias("shingle")).filter("shingle IS NOT NULL")
+    twice = kept(docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__id"), "repeated-ids")
+    if twice.isEmpty():
+        return rows
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").distinct())
 
 
 def duplicate_share(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", ref_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, n_dup, dup_pct): a document's distinct shingles that some reference has too."""
     own = shingle_rows(docs, id_col, text_col)
-    known = shingle_rows(refs, ref_col, text_col).select("shingle").distinct().withColumn("dup", F.lit(1))
+    # a table, so that Spark knows its size, and few references are broadcast
+    known = kept(shingle_rows(refs, ref_col, text_col).select("shingle").distinct(), "known-shingles").withColumn("dup", F.lit(1))
     joined = own.join(known, "shingle", "left")
     out = joined.groupBy(id_col).agg(F.count("*").alias("n_shingles"), F.count("dup").alias("n_dup"))
     return out.withColumn("dup_pct", F.round(100 * F.col("n_dup") / F.greatest("n_shingles", F.lit(1)), 2))
@@ -221,18 +232,21 @@ def top_offenders(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", ref_
 
     A report of the top few by definition; what is counted for it covers all shingles of all references.
     """
-    own, known = shingle_rows(docs, id_col, text_col), shingle_rows(refs, ref_col, text_col)
+    own, known = shingle_rows(docs, id_col, text_col), kept(shingle_rows(refs, ref_col, text_col), "known-shingles")
     shared = own.join(known, "shingle").groupBy(id_col, ref_col).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), F.desc(ref_col)))
     return shared.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 
 def shared_first_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12) -> DataFrame:
-    """(a, b, n): pairs of documents that own many shingles together; of each shingle the two least owners count."""
-    rows = shingle_rows(docs, id_col, text_col)
-    first = rows.groupBy("shingle").agg(F.min(id_col).alias("a"), F.count("*").alias("owners")).filter("owners > 1")
-    second = rows.join(first, "shingle").filter(F.col(id_col) > F.col("a")).groupBy("shingle", "a").agg(F.min(id_col).alias("b"))
-    return second.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """(a, b, n): pairs of documents that own many shingles together; of each shingle the two least owners count.
+
+    One shuffle by shingle, before which each task keeps its two least owners only: a shingle that all have makes no large group.
+    """
+    rows = shingle_rows(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    first = F.row_number().over(Window.partitionBy("shingle").orderBy(id_col))
+    two = rows.withColumn("__rank", first).filter("__rank <= 2").groupBy("shingle").agg(F.min(id_col).alias("a"), F.max(id_col).alias("b"), F.count("*").alias("__n"))
+    return two.filter("__n = 2").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def covered(path: Column, prefixes: list[str]) -> Column:
