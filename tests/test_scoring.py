@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,14 @@ def test_ranks_and_discordant_pairs_against_brute_force(spark, bucket_rows):
     assert drift.discordant(r).first()["n"] == bad
     assert drift.discordant(r, block=7).first()["n"] == bad
     assert drift.discordant(r.limit(0)).first()["n"] == 0
+
+
+def test_discordant_pairs_send_a_card_twice(spark):
+    rng = random.Random(8)
+    q = [rng.randrange(40) for _ in range(90)]
+    assert drift.inversions(np.array(q)) == sum(a > b for i, a in enumerate(q) for b in q[i + 1 :])
+    assert drift.inversions(np.array([], int)) == drift.inversions(np.array([4])) == 0
+    ranks = spark.range(300).select((F.col("id") + 1).alias("ra"), (F.lit(300) - F.col("id")).alias("rb"))
+    found = drift.discordant(ranks, 300, 40)
+    assert found.first()["n"] == 300 * 299 // 2
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a level

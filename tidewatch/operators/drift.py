@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed as K
+from tidewatch.sources.shared import kept
 
 BUCKET_ROWS = 1 << 20
 SAMPLES = 32
@@ -48,29 +53,55 @@ def ranked(scores: DataFrame, n: int | None = None, bucket_rows: int = BUCKET_RO
     return placed.select("id", "a", "b", "ra", "rb")
 
 
+def inversions(q: np.ndarray) -> int:
+    """Pairs of whole numbers of which the earlier is the greater: as a radix sort meets them, bit by bit from the top."""
+    q = np.unique(q, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(q.max()).bit_length() - 1 if len(q) else -1, -1, -1):
+        node, ones = q >> (bit + 1), (q >> bit) & 1  # q is sorted by node
+        before = np.cumsum(ones) - ones
+        start = before[np.searchsorted(node, node)]
+        total += int((before - start)[ones == 0].sum())
+        q = q[np.argsort(q >> bit, kind="stable")]
+    return total
+
+
+def _within(by: str, then: str):
+    """Discordant pairs of a block, of whose cards only the positions are sent."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(pdf.sort_values(by)[then].to_numpy())]})
+
+    return run
+
+
 def discordant(ranks: DataFrame, n: int | None = None, block: int = 1 << 17) -> DataFrame:
-    """One row (n): pairs ordered one way by ra and the other by rb, counted as a merge sort would, level by level.
+    """One row (n): pairs ordered one way by ra and the other by rb.
 
-    On each level, two cards meet whose positions by ra differ in that bit but in none above it; of those, the later ones
-    that rb puts first are counted by a running sum over rb. A running sum covers at most `block` cards; what lies in
-    earlier blocks is added from their counts. Rows grow as n log n, no pair is formed.
+    Positions by either rank are cut into blocks of at least `block` cards, and of the root of n. Pairs within one block of ra are counted
+    there; those of two blocks of ra but one of rb, in that block; all others by running sums over the counts of cards by
+    both blocks. A card is sent twice whatever n is, no pair is formed, and there are no more counts than cards.
     """
     n = ranks.count() if n is None else n
-    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, n.bit_length() - 1))))
-    rows = ranks.select((F.col("ra") - 1).alias("p"), "rb", levels.alias("level"))
-    rows = rows.select("level", F.expr("shiftright(p, level + 1)").alias("node"), F.expr("shiftright(p, level) & 1").alias("late"), "rb", F.floor((F.col("rb") - 1) / block).alias("block"))
-    passed = F.sum("late").over(Window.partitionBy("level", "node", "block").orderBy("rb").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = F.sum(F.when(F.col("late") == 0, F.col("passed")).otherwise(0))
-    blocks = rows.withColumn("passed", passed).groupBy("level", "node", "block").agg(inside.alias("inside"), F.sum("late").alias("late"), F.count_if(F.col("late") == 0).alias("early"))
-    before = F.sum("late").over(Window.partitionBy("level", "node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    pairs = F.col("inside") + F.col("early") * F.coalesce("before", F.lit(0))
-    return blocks.withColumn("before", before).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("n"))
+    block = max(block, math.isqrt(n) + 1)
+    of = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
+    rows = ranks.select("ra", "rb", of("ra").alias("a"), of("rb").alias("b"))
+    same = rows.select("a", "ra", "rb").groupBy("a").applyInPandas(_within("ra", "rb"), "n long")
+    crossed = rows.select("b", "rb", "a").groupBy("b").applyInPandas(_within("rb", "a"), "n long")
+    sides = ranks.sparkSession.range(-(-n // block))
+    every = sides.select(F.col("id").cast("int").alias("a")).crossJoin(sides.select(F.col("id").cast("int").alias("b")))
+    cells = every.join(rows.groupBy("a", "b").agg(F.count("*").alias("cards")), ["a", "b"], "left").na.fill(0, ["cards"])
+    left = cells.withColumn("left", F.sum("cards").over(Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    below = left.withColumn("met", F.sum("left").over(Window.partitionBy("b").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)))
+    apart = below.select((F.col("cards") * F.coalesce("met", F.lit(0))).alias("n"))
+    return same.unionByName(crossed).unionByName(apart).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def rank_drift(scores: DataFrame, push_bar: float = K.PUSH_BAR) -> DataFrame:
     """One row: n, tau (normalised Kendall distance), max_shift, push_churn, top_churn and the verdict on the change."""
+    scores = kept(scores.select("id", "a", "b"), "scores")  # read to count, to place and to compare, made once
     n = scores.count()
-    r = ranked(scores, n)
+    r = kept(ranked(scores, n).select("a", "b", "ra", "rb"), "ranks")
     half = max(1, n // 2)
     out = r.agg(
         F.lit(n).cast("long").alias("n"),
