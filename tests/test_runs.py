@@ -351,3 +351,33 @@ def test_history_and_proposals(spark):
     assert got == {"new": (3, "a,b", "u2"), "bare": (2, "a", None)}
     sets = yields.sets_compared(spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "name string"), spark.createDataFrame([("b",), ("c",), (None,)], "name string"))
     assert sorted((str(r["name"]), *r[1:]) for r in sets.collect()) == [("None", True, False, False), ("a", False, False, True), ("b", True, False, False), ("c", False, True, False)]
+
+
+def test_frequent_entities_make_no_pairs(spark):
+    """Rows that share entities and track but not their texts don't meet; what does match is found, against the rule pair by pair."""
+    facts = "ents array<string>, track string, toks array<string>, simhash long"
+    row = lambda side, i: (i, ["alpha", "beta"], "t", [f"{side}{i}", "alpha", "beta", *[f"{side}{i}x{j}" for j in range(20)]], ((i + 1000 * len(side)) * 0x9E3779B97F4A7C15) % (1 << 62))
+    left, right = (spark.createDataFrame([row(s, i) for i in range(1, 60)], f"{k} long, {facts}") for s, k in (("c", "lid"), ("rr", "rid")))
+    assert dedup._soft_pairs(left, right).count() == 0
+    rng = random.Random(6)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            toks = rng.sample("abcdefghijkl", rng.choice([0, 1, 2, 3, 4, 6, 9]))
+            out.append((i, toks[:3], rng.choice("xy"), toks, rng.choice([0, -1, 5, 1 << 63 - 1]) ^ rng.choice([0, 1, 3, 7, 15, 1 << 40])))
+        return out
+
+    c, r = some(120), some(120)
+    want = {}
+    for i, ents, track, toks, h in c:
+        for pos, e2, t2, k2, g in r:
+            a, b = set(toks), set(k2)
+            sim = len(a & b) / len(a | b) if a and b else 0.0
+            shared = len({*ents} & {*e2})
+            subject = not a or not b or a <= b or b <= a or toks[0] == k2[0]
+            near = g != 0 and bin((h ^ g) & (1 << 64) - 1).count("1") <= 3
+            if sim >= 0.83 or ((shared >= 2 or (shared >= 1 and track == t2)) and subject and (near or sim >= 0.45)):
+                want[i] = max(want.get(i, (-1, -1)), (sim, pos))
+    cands, book = spark.createDataFrame(c, f"cand_id long, {facts}"), spark.createDataFrame([(*x, "text") for x in r], f"pos long, {facts}, text string")
+    assert {x["cand_id"]: (x["similarity"], x["row_pos"]) for x in dedup.soft_matches(cands, book).collect()} == want

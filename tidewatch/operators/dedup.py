@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,30 @@ def exact_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     return cands.select("cand_id", "canonical_key").join(first, "canonical_key").select("cand_id", "row_pos")
 
 
+def _ranked_tokens(left: DataFrame, right: DataFrame, toks: str = "toks") -> DataFrame:
+    """(l, k, n, first, t, r): tokens of both sides, each row's numbered by rising frequency over both."""
+    side = lambda df, l, k: df.select(F.lit(l).alias("l"), F.col(k).alias("k"), toks)  # noqa: E731, E741
+    each = side(left, True, "lid").unionByName(side(right, False, "rid")).select("l", "k", F.size(toks).alias("n"), F.get(toks, F.lit(0)).alias("first"), F.explode(toks).alias("t"))
+    freq = each.groupBy("t").agg(F.count("*").alias("f"))
+    r = F.row_number().over(Window.partitionBy("l", "k").orderBy("f", "t"))
+    return kept(each.join(freq, "t").withColumn("r", r).drop("f"), "ranked-tokens")
+
+
+def _prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
+    return ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+
+
+def _meeting(a: DataFrame, b: DataFrame, on: list[str], rule: Column) -> DataFrame:
+    """(lid, rid) of candidates of a and ledger rows of b that share `on`."""
+    x = a.filter("l").select(F.col("k").alias("lid"), F.col("n").alias("ln"), *on)
+    y = b.filter("NOT l").select(F.col("k").alias("rid"), F.col("n").alias("rn"), *on)
+    return x.join(y, on).filter(rule).select("lid", "rid").distinct()
+
+
+def _sized(threshold: float) -> Column:
+    return (F.col("ln") >= threshold * F.col("rn") - 1e-9) & (F.col("rn") >= threshold * F.col("ln") - 1e-9)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, toks: str = "toks") -> DataFrame:
     """(lid, rid) of all pairs whose token sets have a Jaccard similarity of `threshold` or more, and perhaps others.
 
@@ -24,22 +50,36 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, toks: str
     n - ceil(threshold * n) + 1. Frequencies are counted over both sides. Equal sets meet pair by pair, so rows that are
     alike should come as one.
     """
-    both = left.select(F.lit(True).alias("l"), F.col("lid").alias("k"), toks).unionByName(right.select(F.lit(False).alias("l"), F.col("rid").alias("k"), toks))
-    each = both.select("l", "k", F.size(toks).alias("n"), F.explode(toks).alias("t"))
-    freq = each.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = each.join(freq, "t").withColumn("r", F.row_number().over(Window.partitionBy("l", "k").orderBy("f", "t")))
-    prefix = kept(ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("l", "k", "t", "n"), "prefixes")
-    a = prefix.filter("l").select(F.col("k").alias("lid"), "t", F.col("n").alias("ln"))
-    b = prefix.filter("NOT l").select(F.col("k").alias("rid"), "t", F.col("n").alias("rn"))
-    sized = (F.col("ln") >= threshold * F.col("rn") - 1e-9) & (F.col("rn") >= threshold * F.col("ln") - 1e-9)
-    return a.join(b, "t").filter(sized).select("lid", "rid").distinct()
+    prefix = _prefixes(_ranked_tokens(left, right, toks), threshold)
+    return _meeting(prefix, prefix, ["t"], _sized(threshold))
+
 
+def _near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lid, rid) of all pairs with SimHashes within DUP_HAMMING bits, the ledger's not 0: of DUP_HAMMING + 3 blocks of bits they share three."""
+    blocks = K.DUP_HAMMING + 3
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in (edges[i : i + 2] for i in some)) for some in combinations(range(blocks), 3)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("i", "e")
+    x = left.select("lid", F.col("simhash").alias("h"), keys)
+    y = right.filter("simhash <> 0").select("rid", F.col("simhash").alias("g"), keys)
+    return x.join(y, ["i", "e"]).filter(T.hamming(F.col("h"), F.col("g")) <= K.DUP_HAMMING).select("lid", "rid").distinct()
 
-def _strong_keys() -> Column:
-    """What two rows must share to agree strongly: a pair of entities, or an entity and the track."""
-    ends = F.array_sort(F.array_distinct("ents"))
-    pairs = F.flatten(F.transform(ends, lambda a, i: F.transform(F.slice(ends, i + 2, F.size(ends)), lambda b: F.concat_ws("|", F.lit("p"), a, b))))
-    return F.concat(pairs, F.transform(ends, lambda a: F.concat_ws("|", F.lit("t"), a, F.col("track"))))
+
+def _soft_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lid, rid) of all pairs that may match, and perhaps others.
+
+    With a Jaccard of DUP_JACCARD: prefix filtering. With one of SOFT_JACCARD and subjects that agree: of the same first
+    token, and sharing a token of their prefixes; or one within the other, so that the rarest token of the one is in the
+    other. With near SimHashes: blocks of bits.
+    """
+    ranked = _ranked_tokens(left, right)
+    high, low, rarest = _prefixes(ranked, K.DUP_JACCARD), _prefixes(ranked, K.SOFT_JACCARD), ranked.filter("r = 1")
+    alike = _meeting(high, high, ["t"], _sized(K.DUP_JACCARD))
+    led = _meeting(low, low, ["first", "t"], _sized(K.SOFT_JACCARD))
+    within = _meeting(rarest, ranked, ["t"], _sized(K.SOFT_JACCARD) & (F.col("ln") <= F.col("rn")))
+    around = _meeting(ranked, rarest, ["t"], _sized(K.SOFT_JACCARD) & (F.col("rn") <= F.col("ln")))
+    return alike.unionByName(led).unionByName(within).unionByName(around).unionByName(_near_pairs(left, right)).distinct()
 
 
 FACTS = ("ents", "track", "toks", "simhash")
@@ -55,17 +95,15 @@ def soft_matches(cands: DataFrame, ledger: DataFrame) -> DataFrame:
 
     Both sides have columns ents (key entities), track, toks (at most 64 tokens) and simhash. A row matches
     with a Jaccard of DUP_JACCARD; or, if keys agree strongly and subjects agree, with near SimHashes or a Jaccard of
-    SOFT_JACCARD. The first case is found by prefix filtering. The others need two shared key entities, or one and the
-    track, so the sides meet on pairs of entities and on entities with their track: one frequent entity makes no pairs.
+    SOFT_JACCARD. The sides meet on what the texts' similarity demands (`_soft_pairs`), rare tokens and bits of SimHashes: a
+    frequent pair of entities makes no pairs.
     Rows of a side that are alike in all of these are one class, compared once: of ledger rows alike the last is the only one
     wanted, and candidates alike have the same answer. So n copies against m make one pair.
     """
     mine = kept(_classes(cands).select("cand_id", "cls", *FACTS), "candidate-classes")
     left = kept(mine.groupBy(F.col("cls").alias("lid")).agg(*[F.any_value(c).alias(c) for c in FACTS]), "candidate-classes")
     right = kept(_classes(ledger.filter(F.col("text") != "")).groupBy(F.col("cls").alias("rid")).agg(F.max("pos").alias("pos"), *[F.any_value(c).alias(c) for c in FACTS]), "ledger-classes")
-    alike = similar_pairs(left, right, K.DUP_JACCARD)
-    keyed = left.select("lid", F.explode(_strong_keys()).alias("e")).join(right.select("rid", F.explode(_strong_keys()).alias("e")), "e").select("lid", "rid")
-    pairs = kept(alike.unionByName(keyed).distinct(), "ledger-pairs")
+    pairs = kept(_soft_pairs(left, right), "ledger-pairs")
     c = left.select("lid", *[F.col(x).alias(f"c_{x}") for x in FACTS])
     r = right.select("rid", "pos", *[F.col(x).alias(f"r_{x}") for x in FACTS])
     full = pairs.join(c, "lid").join(r, "rid")
