@@ -381,3 +381,23 @@ def test_frequent_entities_make_no_pairs(spark):
                 want[i] = max(want.get(i, (-1, -1)), (sim, pos))
     cands, book = spark.createDataFrame(c, f"cand_id long, {facts}"), spark.createDataFrame([(*x, "text") for x in r], f"pos long, {facts}, text string")
     assert {x["cand_id"]: (x["similarity"], x["row_pos"]) for x in dedup.soft_matches(cands, book).collect()} == want
+
+
+def test_a_family_of_near_copies_makes_no_table_of_pairs(spark, monkeypatch):
+    """Rows of one first token that all match are judged where they meet, over a grid of slices; the answers are those of all pairs."""
+    facts = "ents array<string>, track string, toks array<string>, simhash long"
+    rng = random.Random(4)
+    some = lambda side: [["alpha", *rng.sample([f"s{i}" for i in range(40)], 34), *[f"{side}{i}x{j}" for j in range(9)]] for i in range(150)]
+    mine, book = some("c"), some("r")
+    left, right = (spark.createDataFrame([(i, x[:8], "t", x, 1 << i % 60) for i, x in enumerate(rows)], f"{k} long, {facts}") for rows, k in ((mine, "lid"), (book, "rid")))
+    assert dedup._soft_pairs(left, right).count() == 0  # 22,500 when pairs were listed first
+    want = {}
+    for i, a in enumerate(mine):
+        for pos, b in enumerate(book):
+            sim, shared = len({*a} & {*b}) / len({*a} | {*b}), len({*a[:8]} & {*b[:8]})
+            if shared and (sim >= 0.45 or bin(1 << i % 60 ^ 1 << pos % 60).count("1") <= 3):
+                want[i] = max(want.get(i, (-1, -1)), (sim, pos))
+    cands, ledger_rows = left.withColumnRenamed("lid", "cand_id"), right.withColumnRenamed("rid", "pos").withColumn("text", F.lit("text"))
+    for most in (dedup.SLICE, 40):
+        monkeypatch.setattr(dedup, "SLICE", most)
+        assert {x["cand_id"]: (x["similarity"], x["row_pos"]) for x in dedup.soft_matches(cands, ledger_rows).collect()} == want
