@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import aliases
 from tidewatch.functions import text as T
 from tidewatch.operators import dedup, grants, privacy, replay, rings, yields
+from tidewatch.plans import matching
 from tidewatch.sources import binaries, ledger, shards
 from tidewatch.streaming import lanes, pulse, state
 from tidewatch.streaming.keyvalue import Conflict, StateTable
@@ -401,3 +402,14 @@ def test_a_family_of_near_copies_makes_no_table_of_pairs(spark, monkeypatch):
     for most in (dedup.SLICE, 40):
         monkeypatch.setattr(dedup, "SLICE", most)
         assert {x["cand_id"]: (x["similarity"], x["row_pos"]) for x in dedup.soft_matches(cands, ledger_rows).collect()} == want
+
+
+def test_branch_lists_no_pairs_of_one_first_token(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    text = lambda i: " ".join(["alpha", *rng.sample([f"word{j}" for j in range(20)], 16), f"own{i}"])
+    spark.createDataFrame([(i, text(i), "en", "web", i) for i in range(80)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    held, plain = {}, dedup.kept
+    monkeypatch.setattr(dedup, "kept", lambda df, name: held.update({name: plain(df, name)}) or held[name])
+    rows = matching.q_branch(spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and all(r["branch"] != "NEW" for r in rows)
+    assert held["ledger-pairs"].count() == 0  # 1,600 when pairs were listed first
